@@ -150,7 +150,7 @@ def dedup(documents: DataFrame, *, width: int = 20, id_col: str = "doc_id", text
         did, kind = F.col("doc_id") - F.lit(low or 0), pa.int64()
     else:
         did, kind = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text")), pa.struct([("id", pa.int64()), ("text", pa.int64())])
-    docs = docs.select(did.alias("did"), "doc_id", "text").repartition("did")
+    docs = docs.select(did.alias("did"), "text").repartition("did")  # one exchange, read by each of the four passes
     keys, span = [("h1", pa.int64()), ("h2", pa.int64())], [("did", kind), ("at", pa.int32()), ("number", pa.int32())]
     ddl = ("did long" if packs else "did struct<id:bigint,text:bigint>") + ", at int, number int"
 
@@ -207,20 +207,20 @@ def dedup(documents: DataFrame, *, width: int = 20, id_col: str = "doc_id", text
                 out, begin = block.joined(~covered)
                 texts = [out[a : max(a, b - 1)].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
                 removed = np.bincount(block.wdoc[covered], minlength=len(block.start))
-                arrays = [batch.column("doc_id").slice(block.rows.start, len(texts)), pa.array(block.n_words.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in texts])]
+                arrays = [batch.column("did").slice(block.rows.start, len(texts)), pa.array(block.n_words.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in texts])]
                 if keep_text:
                     arrays.append(pa.array(texts, pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(arrays)])
+                yield pa.RecordBatch.from_arrays(arrays, names=["did", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(arrays)])
 
-    plain = docs.select("did", "text")
-    high_level = plain.mapInArrow(_rows(tile_rows, pa.schema(keys + span)), f"h1 long, h2 long, {ddl}")
+    high_level = docs.mapInArrow(_rows(tile_rows, pa.schema(keys + span)), f"h1 long, h2 long, {ddl}")
     live = by_document(first(high_level, "number"), "tiles")
-    low_level = plain.join(live, "did").mapInArrow(_rows(anchor_rows, pa.schema([("sym", pa.int64()), *span])), f"sym long, {ddl}")
+    low_level = docs.join(live, "did").mapInArrow(_rows(anchor_rows, pa.schema([("sym", pa.int64()), *span])), f"sym long, {ddl}")
     repeated = low_level.groupBy("sym").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sym")
     wanted = by_document(low_level.join(repeated, "sym"), "wanted")
-    windows = plain.join(wanted, "did").mapInArrow(_rows(window_rows, pa.schema([*keys, *span[:2]])), 'h1 long, h2 long, ' + ddl.rpartition(',')[0])
+    windows = docs.join(wanted, "did").mapInArrow(_rows(window_rows, pa.schema([*keys, *span[:2]])), 'h1 long, h2 long, ' + ddl.rpartition(',')[0])
     firsts = by_document(first(windows).withColumn("number", F.lit(1)), "firsts")
-    joined = docs.join(live, "did", "left").join(wanted, "did", "left").join(firsts, "did", "left").select("doc_id", "text", "tiles", "wanted", "firsts")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    out = joined.mapInArrow(result, schema)
-    return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
+    joined = docs.join(live, "did", "left").join(wanted, "did", "left").join(firsts, "did", "left").select("did", "text", "tiles", "wanted", "firsts")
+    kept = ["n_words long", "n_removed long", "kept_sha256 string", *["kept_text string"] * keep_text]
+    out = joined.mapInArrow(result, ", ".join([ddl.partition(",")[0], *kept]))
+    ident = F.col("did") + F.lit(low or 0) if packs else F.when(F.col("did.id") > -(1 << 63), F.col("did.id"))
+    return out.select(ident.alias(id_col), *(x.split()[0] for x in kept))
