@@ -221,6 +221,6 @@ def dedup(documents: DataFrame, *, width: int = 20, id_col: str = "doc_id", text
     firsts = by_document(first(windows).withColumn("number", F.lit(1)), "firsts")
     joined = docs.join(live, "did", "left").join(wanted, "did", "left").join(firsts, "did", "left").select("did", "text", "tiles", "wanted", "firsts")
     kept = ["n_words long", "n_removed long", "kept_sha256 string", *["kept_text string"] * keep_text]
-    out = joined.mapInArrow(result, ", ".join([ddl.partition(",")[0], *kept]))
+    out = joined.mapInArrow(result, ", ".join([ddl.split(", at int")[0], *kept]))
     ident = F.col("did") + F.lit(low or 0) if packs else F.when(F.col("did.id") > -(1 << 63), F.col("did.id"))
     return out.select(ident.alias(id_col), *(x.split()[0] for x in kept))
