@@ -25,10 +25,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import groups
+
+    return groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op4_quality_rules": op4_quality_rules,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
