@@ -147,7 +147,7 @@ def dedup(documents: DataFrame, *, width: int = 20, id_col: str = "doc_id", text
     bits = max(1, ((size or 0) // 2 + 1).bit_length())
     packs = rows == ids and (0 if high is None else high - low).bit_length() + bits <= 62
     if packs:  # id and place in one number: cheap to aggregate
-        did, kind = F.col("doc_id") - F.lit(low or 0), pa.int64()
+        did, kind = F.coalesce(F.col("doc_id") - F.lit(low or 0), F.lit(0)), pa.int64()  # never null: else some reads of the exchange below get a filter and one of their own
     else:
         did, kind = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text")), pa.struct([("id", pa.int64()), ("text", pa.int64())])
     docs = docs.select(did.alias("did"), "text").repartition("did")  # one exchange, read by each of the four passes
@@ -216,6 +216,7 @@ def dedup(documents: DataFrame, *, width: int = 20, id_col: str = "doc_id", text
     live = by_document(first(high_level, "number"), "tiles")
     low_level = docs.join(live, "did").mapInArrow(_rows(anchor_rows, pa.schema([("sym", pa.int64()), *span])), f"sym long, {ddl}")
     repeated = low_level.groupBy("sym").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sym")
+    repeated = repeated.repartition(F.xxhash64("sym"))  # so that the join has an exchange on either side, and can split a hot symbol
     wanted = by_document(low_level.join(repeated, "sym"), "wanted")
     windows = docs.join(wanted, "did").mapInArrow(_rows(window_rows, pa.schema([*keys, *span[:2]])), 'h1 long, h2 long, ' + ddl.rpartition(',')[0])
     firsts = by_document(first(windows).withColumn("number", F.lit(1)), "firsts")
