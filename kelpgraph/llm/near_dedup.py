@@ -5,11 +5,11 @@
    which lowers the variance). Ranks are dealt level by level; a document stops as soon as all its slots are filled.
 2. Documents of one set are one class; only its smallest id goes on.
 3. Bands of the signature are buckets. Buckets with the same members count once; large ones are split into pairs of
-   blocks, so no task holds more than two blocks. Within a bucket, pairs whose signatures agree too little to reach the
-   threshold are dropped, and the links of most agreement that span the bucket are candidates, not all pairs.
-4. Candidates are confirmed on the full sets. Then all pairs of a bucket that the confirmed links leave apart are
-   confirmed as well, so no link between components is lost for want of a candidate.
-5. Components of the confirmed links give the groups.
+   blocks, so no task holds more than two blocks of documents.
+4. Within a bucket, pairs whose signatures agree too little to reach the threshold are dropped. The others are confirmed
+   on the full sets, those of most agreement first, unless links already confirmed connect them, and each in one of the
+   buckets that it shares. What comes out are links that span a bucket's connections, never its pairs.
+5. Components of the links give the groups.
 
 A pair at the threshold of 0.85 misses all of 24 bands of 5 with a probability of 8e-7; its signatures agree in under
 0.67 of 120 slots (5.5 standard deviations below) with about 2e-8.
@@ -122,83 +122,66 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[p
         yield rest
 
 
-def _candidates(percent: int, span: bool):  # noqa: ANN202
-    """Pairs (u, v) of each bucket: with span, those of most agreement that span it, else all of unequal components."""
+def _links(width: int, percent: int):  # noqa: ANN202
+    """Links (u, v) that are confirmed on the full sets and span what they connect within each bucket."""
 
-    def pairs(i: int, j: int, rep: np.ndarray, n: np.ndarray, side: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> np.ndarray:
-        size = len(rep)
-        agree = np.zeros((size, size), np.int16)
+    def candidates(column: dict[str, np.ndarray], sig: np.ndarray, bands: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of rows of one bucket that can be linked, and their agreement. A pair counts in one bucket alone: that
+        of the least key that they share (of buckets with the same members it is the least that was kept, too)."""
+        sig, bands, n, side = sig[a:b], bands[a:b], column["n"][a:b], column["side"][a:b]
+        agree = np.zeros((b - a, b - a), np.int16)
         for slot in range(SLOTS):
             agree += sig[:, slot, None] == sig[None, :, slot]
-        small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
-        fits = (agree >= LEAST_AGREEMENT * SLOTS) & (100 * small >= percent * large) & (rep[:, None] < rep[None, :])
-        if i != j:
+        fits = np.triu(agree >= LEAST_AGREEMENT * SLOTS, 1)
+        if column["i"][a] != column["j"][a]:
             fits &= side[:, None] != side[None, :]
-        if not span:
-            fits &= comp[:, None] != comp[None, :]
-        a, b = np.nonzero(fits)
-        if span and len(a) > 1:
-            order = np.argsort(-agree[a, b], kind="stable")
-            a, b = a[order].tolist(), b[order].tolist()
-            up, keep = list(range(size)), []
-            for k, (x, y) in enumerate(zip(a, b, strict=True)):
-                while up[x] != x:
-                    up[x] = x = up[up[x]]
-                while up[y] != y:
-                    up[y] = y = up[up[y]]
-                if x != y:
-                    up[x] = y
-                    keep.append(k)
-            a, b = np.array(a)[keep], np.array(b)[keep]
-        return np.stack((rep[a], rep[b]))
+        x, y = np.nonzero(fits)
+        shared = np.where(bands[x] == bands[y], bands[x], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+        good = (shared == column["key"][a]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[good], y[good]
+        return x + a, y + a, agree[x, y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, ["key", "i", "j"]):
-            column = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "rep", "n", "side", "comp")}
+            column = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "rep", "n", "side")}
             sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
+            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             new = np.ones(table.num_rows, bool)
             new[1:] = np.any([column[c][1:] != column[c][:-1] for c in ("key", "i", "j")], axis=0)
             start = np.append(np.flatnonzero(new), table.num_rows)
-            found = []
-            two = start[:-1][np.diff(start) == 2]  # most buckets: all at once
-            if len(two):
-                n, rep = column["n"], column["rep"]
-                agree = (sig[two] == sig[two + 1]).sum(axis=1)
-                fits = (agree >= LEAST_AGREEMENT * SLOTS) & (100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1]))
-                fits &= (column["i"][two] == column["j"][two]) | (column["side"][two] != column["side"][two + 1])
-                if not span:
-                    fits &= column["comp"][two] != column["comp"][two + 1]
-                a, b = rep[two[fits]], rep[two[fits] + 1]
-                found.append(np.stack((np.minimum(a, b), np.maximum(a, b))))
-            for a, b in zip(start[:-1], start[1:], strict=True):
-                if b - a > 2:
-                    c = {k: x[a:b] for k, x in column.items()}
-                    found.append(pairs(c["i"][0], c["j"][0], c["rep"], c["n"], c["side"], c["comp"], sig[a:b]))
-            if found:
-                u, v = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    return run
-
-
-def _confirm(width: int, percent: int):  # noqa: ANN202
-    def sets(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        block = next(blocks(batch, column, 1 << 62))
-        doc, element = shingles(block, width)
-        return doc, element, np.bincount(doc, minlength=len(block.start))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch, "a"):
-                rows = batch.slice(part.rows.start, part.rows.stop - part.rows.start)
-                (da, ea, na), (db, eb, nb) = sets(rows, "a"), sets(rows, "b")
-                doc, element = np.concatenate((da, db)), np.concatenate((ea, eb))
-                order = np.lexsort((element, doc))
-                doc, element = doc[order], element[order]
-                shared = doc[1:][(doc[1:] == doc[:-1]) & (element[1:] == element[:-1])]
-                both = np.bincount(shared, minlength=rows.num_rows)
-                good = pa.array(100 * both >= percent * (na + nb - both))
-                yield rows.select(["u", "v"]).filter(good)
+            size = np.diff(start)
+            two = start[:-1][size == 2]  # most buckets: dropped or not all at once
+            two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= LEAST_AGREEMENT * SLOTS]
+            found = [candidates(column, sig, bands, a, b) for a, b in sorted([(a, a + 2) for a in two.tolist()] + [(a, b) for a, b, k in zip(start[:-1].tolist(), start[1:].tolist(), size.tolist(), strict=True) if k > 2])]
+            u, v = [], []
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (y := up.get(x, x)) != x:  # noqa: B023
+                    up[x] = up.get(y, y)  # noqa: B023
+                    x = y
+                return x
+
+            for x, y, agree in found:
+                if not len(x):
+                    continue
+                need = np.unique(np.concatenate((x, y)))
+                rows = table.select(["text"]).take(pa.array(need)).combine_chunks().to_batches()[0]
+                block = next(blocks(rows, limit=1 << 62))
+                doc, element = shingles(block, width)
+                edge = np.searchsorted(doc, np.arange(len(need) + 1))
+                order = np.argsort(-agree, kind="stable")
+                for c, d in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                    if root(c) == root(d):
+                        continue
+                    k, m = np.searchsorted(need, (c, d))
+                    p, q = element[edge[k] : edge[k + 1]], element[edge[m] : edge[m + 1]]
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * both >= percent * (len(p) + len(q) - both):
+                        up[root(c)] = root(d)
+                        u.append(column["rep"][c])
+                        v.append(column["rep"][d])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -222,33 +205,15 @@ def groups(documents: DataFrame, *, width: int = 5, percent: int = 85, id_col: s
     buckets = buckets.groupBy("size", "f", "g").agg(F.min("key").alias("key"))  # buckets with the same members: once
     members = save(banded.join(buckets.select("key", "size"), "key").select("key", "size", "rep", "s1"))
 
-    def candidates(rows: DataFrame, span: bool) -> DataFrame:
-        parts = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = rows.withColumn("side", F.pmod(F.xxhash64("rep", "s1"), parts).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        rows = rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "rep", "n", "side", "comp", "signature")
-        rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-        return rows.mapInArrow(_candidates(percent, span), "u long, v long").distinct()
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("a")), "u")
-        pairs = pairs.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("b")), "v")
-        return pairs.select("u", "v", "a", "b").mapInArrow(_confirm(width, percent), "u long, v long")
-
-    body = unique.select("rep", "s1", "n", "signature")
-    spans = save(candidates(members.join(body, ["rep", "s1"]).withColumn("comp", F.lit(0).cast("long")), True))
-    ends = spans.select(F.col("u").alias("did")).union(spans.select("v")).distinct()
-    texts = save(docs.join(ends, "did").select(F.col("did").alias("rep"), "text").dropDuplicates(["rep"]))
-    links = save(confirmed(spans))
-    labels = save(components(links))
-    # buckets that confirmed links leave apart: there every pair of unequal components counts
-    placed = members.join(ends.withColumnRenamed("did", "rep"), "rep").join(labels.withColumnsRenamed({"node": "rep", "component": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    placed = save(placed)
-    apart = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    rest = candidates(placed.join(apart, "key").join(body, ["rep", "s1"]), False)
-    more = save(confirmed(rest.join(spans, ["u", "v"], "left_anti")))
-    if not more.isEmpty():
-        labels = save(components(links.unionByName(more)))
+    # always by a shuffle of both: how many ids there are grows with the input
+    ends = members.select(F.col("rep").alias("did")).distinct().hint("merge")
+    texts = save(docs.join(ends, "did").select(F.col("did").alias("rep"), F.xxhash64("text").alias("h"), "text").dropDuplicates(["rep", "h"]).drop("h"))
+    rows = members.join(unique.select("rep", "s1", "n", "bands", "signature"), ["rep", "s1"]).join(texts, "rep")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("rep", "s1"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "rep", "n", "side", "bands", "signature", "text")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    labels = save(components(rows.mapInArrow(_links(width, percent), "u long, v long")))
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("comp"))
     out = signed.select("did", "n", "s1", "s2").join(save(named), ["s1", "s2"], "left")
     comp = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("did"))
