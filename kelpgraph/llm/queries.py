@@ -49,16 +49,46 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
-        "op4_quality_rules": op4_quality_rules,
-        "op10_near_dedup": op10_near_dedup,
+        "op2_mixing": op2_mixing,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_quality_rules": op4_quality_rules,
+        "op5_packing": op5_packing,
         "op6_language_id": op6_language_id,
         "op7_toxicity": op7_toxicity,
+        "op8_sharding": op8_sharding,
+        "op9_topk": op9_topk,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import mixing, topk
+
+    return {"op2_mixing": mixing.oracle(), "op9_topk": topk.oracle()}
