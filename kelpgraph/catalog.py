@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from .registry import ORACLES, QUERIES, Query
 
-Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "agg_07_degrees"
+FLAGSHIP = "str_09_manifold_state"
+MODULES = ["graph", "traversal", "fields", "regions", "similarity", "rules", "logs", "sources"]
+
+
+def _load() -> None:
+    for m in MODULES:
+        import_module(f"kelpgraph.queries.{m}")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)
