@@ -64,25 +64,21 @@ def rows_of(cells: np.ndarray, slots: int = SLOTS) -> list[np.ndarray]:
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each language the documents that have an n-gram, by its cell, one row for each task."""
+    """(lang, cell, documents of it that have the cell) of each task."""
     counts: dict[str, np.ndarray] = {}
-    number: dict[str, int] = {}
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         for block in blocks(batch):
             own = langs[block.rows]
-            for lang in own:
-                number[lang] = number.get(lang, 0) + 1
-                if lang not in counts:
-                    counts[lang] = np.zeros(1 << CELLS, np.uint16)
             for doc, cells in ngrams(block):
                 once = np.unique((doc.astype(U) << U(CELLS)) | cells)
                 where, cell = (once >> U(CELLS)).astype(np.int64), (once & U((1 << CELLS) - 1)).astype(np.int64)
                 for lang in set(own):
                     mine = np.array([x == lang for x in own])[where]
-                    np.add.at(counts[lang], cell[mine], 1)
+                    np.add.at(counts.setdefault(lang, np.zeros(1 << CELLS, np.uint32)), cell[mine], 1)
     for lang, c in counts.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([number[lang]], pa.int64()), pa.array([c.tobytes()], pa.binary())], names=["lang", "n", "counts"])
+        cell = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cell), pa.string()), pa.array(cell.astype(np.int32)), pa.array(c[cell].astype(np.int64))], names=["lang", "cell", "n"])
 
 
 class Filters:
@@ -129,15 +125,14 @@ def learn(labelled: DataFrame, *, sample: int = SAMPLE, least_share: float = LEA
     # a literal map, not a join: the text isn't shuffled by language, of which one may hold most rows
     most = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, int((1 << 30) * min(1, sample / r.rows)))))
     chosen = labelled.where(F.pmod(F.xxhash64(F.lit(5), "text"), 1 << 30) < most[F.col("lang")]).select("lang", "text")
-    counted = chosen.repartition(4, F.xxhash64("text")).mapInArrow(_document_counts, "lang string, n long, counts binary").collect()
-    langs = sorted({r.lang for r in counted})
-    filters = Filters(langs)
-    cells = np.arange(1 << CELLS, dtype=U)
-    for k, lang in enumerate(langs):
-        own = [r for r in counted if r.lang == lang]
-        total = np.sum([np.frombuffer(r.counts, np.uint16).astype(np.int64) for r in own], axis=0)
-        enough = total >= max(1, least_share * sum(r.n for r in own))
-        filters.add(k, cells[enough])
+    number = {r.lang: r.rows for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    cells = chosen.mapInArrow(_document_counts, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    enough = F.create_map(*(F.lit(x) for lang, rows in number.items() for x in (lang, max(1.0, least_share * rows)))) if number else None
+    filters = Filters(sorted(number))
+    # at most 2**CELLS cells a language, whatever the number of tasks
+    found = cells.where(F.col("n") >= enough[F.col("lang")]).groupBy("lang").agg(F.collect_list("cell").alias("cells")).collect() if number else []
+    for r in found:
+        filters.add(filters.langs.index(r.lang), np.array(r.cells, U))
     return filters
 
 
