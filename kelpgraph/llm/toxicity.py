@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +68,16 @@ def _word_cells(word: str) -> list[int]:
 
 @dataclass
 class Model:
-    place: np.ndarray  # of a cell's feature, or -1
+    cells: np.ndarray  # of the features, in order
     weights: np.ndarray
     bias: float
-    scale: float = 1.0
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Of a cell its feature, or -1; made where it is used, so that only the cells travel."""
+        out = np.full(1 << CELLS, -1, np.int32)
+        out[self.cells] = np.arange(len(self.cells))
+        return out
 
     def features(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, feature, value) of the features that occur; value: log of 1 + occurrences."""
@@ -82,37 +89,33 @@ class Model:
     def score(self, block: Block) -> np.ndarray:
         doc, feature, value = self.features(block)
         margin = self.bias + np.bincount(doc, self.weights[feature] * value, len(block.start))
-        return 1 / (1 + np.exp(-np.clip(self.scale * margin, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
 def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each label that have a cell, one row for each task: the sample is bounded, and dealt to few."""
-    counts, number = np.zeros((2, 1 << CELLS), np.uint16), [0, 0]
+    """(cell, documents of label 0, of label 1 that have it), for each block."""
     for batch in batches:
         labels = batch.column("label").to_numpy()
-        for block in blocks(batch):
+        for block in blocks(batch, limit=1 << 23):
             doc, cell = occurrences(block)
             once = np.unique((doc << CELLS) | cell)
-            own = labels[block.rows]
-            which = own[once >> CELLS]
-            for k in (0, 1):
-                np.add.at(counts[k], (once & ((1 << CELLS) - 1))[which == k], 1)
-                number[k] += int((own == k).sum())
-    for k in (0, 1):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([number[k]], pa.int64()), pa.array([counts[k].tobytes()], pa.binary())], names=["label", "n", "counts"])
-
-
-def choose(counts: np.ndarray, number: np.ndarray, features: int) -> np.ndarray:
-    """The cells that differ most between the labels, in standard errors of the difference."""
-    rate = (counts + 0.5) / (number[:, None] + 1)
-    error = np.sqrt((rate * (1 - rate) / (number[:, None] + 1)).sum(axis=0))
-    score = np.abs(rate[1] - rate[0]) / error
-    score[counts.sum(axis=0) < 5] = 0
-    best = np.argsort(-score, kind="stable")[:features]
-    return best[score[best] > 3]
-
-
-def counterfactuals(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, kinds: list[list[np.ndarray]], features: int) -> np.ndarray:
+            cell, which = once & ((1 << CELLS) - 1), labels[block.rows][once >> CELLS]
+            both = [np.bincount(cell[which == k], minlength=1 << CELLS) for k in (0, 1)]
+            some = np.flatnonzero(both[0] + both[1])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(b[some].astype(np.int64)) for b in both)], names=["cell", "clean", "toxic"])
+
+
+def choose(labelled: DataFrame, number: tuple[int, int], features: int) -> np.ndarray:
+    """The cells whose document frequencies differ most between the labels, in standard errors (over 3)."""
+    sums = labelled.mapInArrow(_cell_counts, "cell int, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    rate = {c: (F.col(c) + 0.5) / (n + 1) for c, n in zip(("clean", "toxic"), number, strict=True)}
+    error = F.sqrt(rate["clean"] * (1 - rate["clean"]) / (number[0] + 1) + rate["toxic"] * (1 - rate["toxic"]) / (number[1] + 1))
+    score = F.abs(rate["toxic"] - rate["clean"]) / error
+    best = sums.where("clean + toxic >= 5").select("cell", score.alias("score")).where("score > 3").orderBy(F.desc("score"), "cell").limit(features)
+    return np.array(sorted(r.cell for r in best.collect()), np.int64)
+
+
+def counterfactuals(feature: np.ndarray, value: np.ndarray, kinds: list[list[np.ndarray]], features: int) -> np.ndarray:
     """Changes of feature values, a row for each document, identity term in it and term put in its place."""
     out = []
     for terms in kinds:
@@ -129,14 +132,15 @@ def counterfactuals(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, kin
     return np.array(out[:200_000]).reshape(len(out[:200_000]), features)
 
 
-def fit(n: int, label: np.ndarray, doc: np.ndarray, feature: np.ndarray, value: np.ndarray, features: int, gram: np.ndarray, *, steps: int = 300, swap: float = 10.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias. gram: the mean outer product of the counterfactual changes, over the features."""
+def fit(n: int, label: np.ndarray, doc: np.ndarray, feature: np.ndarray, value: np.ndarray, features: int, touched: np.ndarray, gram: np.ndarray, *, steps: int = 200, swap: float = 10.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias. gram: the mean outer product of the counterfactual changes, over the touched features."""
     theta, first, second = np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1)
     weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
     for step in range(1, steps + 1):
         margin = theta[-1] + np.bincount(doc, theta[feature] * value, n)
         slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label) * weight
-        grad = np.append(np.bincount(feature, slope[doc] * value, features) + decay * theta[:-1] + 2 * swap * (gram @ theta[:-1]), slope.sum())
+        grad = np.append(np.bincount(feature, slope[doc] * value, features) + decay * theta[:-1], slope.sum())
+        grad[touched] += 2 * swap * (gram @ theta[touched])
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta = theta - 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return theta[:-1], float(theta[-1])
@@ -153,20 +157,14 @@ def _cut(margin: np.ndarray, label: np.ndarray) -> float:
 
 def train(labelled: DataFrame, *, features: int = FEATURES, swap: float = 10.0) -> Model:
     """A model of rows of text and label (0 or 1), few enough for one task's memory (see classify)."""
-    empty = Model(np.full(1 << CELLS, -1, np.int32), np.zeros(1), -4.0)
-    dealt = labelled.repartition(4, F.xxhash64("text"))
-    counted = dealt.mapInArrow(_cell_counts, "label int, n long, counts binary").collect()
-    number = np.array([sum(r.n for r in counted if r.label == k) for k in (0, 1)])
-    if not number.all():
-        return empty
-    counts = np.array([np.sum([np.frombuffer(r.counts, np.uint16).astype(np.int32) for r in counted if r.label == k], axis=0) for k in (0, 1)])
-    chosen = choose(counts, number, features)
+    seen = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not (seen.get(0) and seen.get(1)):
+        return Model(np.zeros(1, np.int64), np.zeros(1), -4.0)
+    chosen = choose(labelled, (seen[0], seen[1]), features)
     terms = {kind: [_word_cells(w) for w in words] for kind, words in IDENTITIES.items()}
     always = np.array(sorted({c for kind in terms.values() for cells in kind for c in cells}))
     cells = np.union1d(chosen, always)
-    place = np.full(1 << CELLS, -1, np.int32)
-    place[cells] = np.arange(len(cells))
-    model = Model(place, np.zeros(len(cells)), 0.0)
+    model = Model(cells, np.zeros(len(cells)), 0.0)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,20 +174,17 @@ def train(labelled: DataFrame, *, features: int = FEATURES, swap: float = 10.0)
                 rows = [(feature[a:b].astype(np.int32).tobytes(), value[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(block.rows.start, len(rows)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["label", "feature", "value"])
 
-    rows = sorted(dealt.mapInArrow(values, "label int, feature binary, value binary").collect(), key=lambda r: (r.label, r.feature, r.value))
+    rows = sorted(labelled.mapInArrow(values, "label int, feature binary, value binary").collect(), key=lambda r: (r.label, r.feature, r.value))
     label = np.array([r.label for r in rows], float)
     found = [np.frombuffer(r.feature, np.int32) for r in rows]
     doc = np.repeat(np.arange(len(rows)), [len(x) for x in found])
     feature, value = np.concatenate(found).astype(np.int64), np.concatenate([np.frombuffer(r.value) for r in rows])
-    kinds = [[place[c] for c in kind] for kind in terms.values()]
-    touched = np.unique(place[always])
-    narrow = np.full(len(cells), -1)
-    narrow[touched] = np.arange(len(touched))
-    changes = counterfactuals(doc, feature, value, kinds, len(cells)) if np.isin(feature, touched).any() else np.zeros((0, len(cells)))
-    gram = np.zeros((len(cells), len(cells)))
-    if len(changes):
-        part = changes[:, touched]
-        gram[np.ix_(touched, touched)] = part.T @ part / len(part)
+    place = np.searchsorted(cells, always)
+    touched = np.unique(place)
+    kinds = [[np.searchsorted(touched, np.searchsorted(cells, c)) for c in kind] for kind in terms.values()]
+    inside = np.isin(feature, touched)
+    changes = counterfactuals(np.searchsorted(touched, feature[inside]), value[inside], kinds, len(touched))
+    gram = changes.T @ changes / max(1, len(changes))
     # margins from models that haven't seen the row place the cut
     margins = np.zeros(len(rows))
     part = np.arange(len(rows)) % 3
@@ -197,9 +192,9 @@ def train(labelled: DataFrame, *, features: int = FEATURES, swap: float = 10.0)
         inside, mine = part[doc] != k, np.flatnonzero(part != k)
         new = np.zeros(len(rows), np.int64)
         new[mine] = np.arange(len(mine))
-        w, b = fit(len(mine), label[mine], new[doc[inside]], feature[inside], value[inside], len(cells), gram, swap=swap)
+        w, b = fit(len(mine), label[mine], new[doc[inside]], feature[inside], value[inside], len(cells), touched, gram, swap=swap)
         margins[part == k] = (b + np.bincount(doc, w[feature] * value, len(rows)))[part == k]
-    w, b = fit(len(rows), label, doc, feature, value, len(cells), gram, swap=swap)
+    w, b = fit(len(rows), label, doc, feature, value, len(cells), touched, gram, swap=swap)
     model.weights, model.bias = w, b - _cut(margins, label) + float(np.log(CUT / (1 - CUT)))
     return model
 
