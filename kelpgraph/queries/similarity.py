@@ -1 +1,111 @@
-"""Queries."""
+"""MinHash, near names and set similarity over the documents and symbols."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..bindings import symbols, table, with_views
+from ..operators import similarity as sm
+from ..registry import query
+
+WORDS = "list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9_]+'))"
+
+
+def words(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", sm.word_set(F.col("text")).alias("tokens"))
+
+
+@query("lsh_02_token_hash", f"SELECT DISTINCT token, ('0x' || substr(sha256(token), 7, 2) || substr(sha256(token), 5, 2) || substr(sha256(token), 3, 2) || substr(sha256(token), 1, 2))::BIGINT AS h FROM (SELECT unnest({WORDS}) AS token FROM documents)")
+def token_hash(spark: SparkSession, sf: str) -> DataFrame:
+    t = words(spark, sf).select(F.explode("tokens").alias("token")).distinct()
+    return t.select("token", sm.token_hash(F.col("token")).alias("h"))
+
+
+A, B = (f"[{', '.join(map(str, x))}]" for x in sm.family())
+H = f"""t AS (SELECT doc_id, unnest({WORDS}) AS token FROM documents), h AS (SELECT doc_id, ('0x' || substr(sha256(token), 7, 2) || substr(sha256(token), 5, 2) || substr(sha256(token), 3, 2) || substr(sha256(token), 1, 2))::HUGEINT AS h FROM t)"""
+
+
+@query("lsh_03_minhash", f"""WITH {H}, f AS (SELECT unnest({A[: A.index(",") * 0] + A})::HUGEINT AS a, unnest({B})::HUGEINT AS b, unnest(range(128)) AS k), m AS (SELECT doc_id, k, min((a * h + b) % 2147483647) AS v FROM h, f WHERE k < 8 GROUP BY 1, 2)
+    SELECT doc_id, list(v::BIGINT ORDER BY k) AS head FROM m GROUP BY doc_id""")
+def minhash(spark: SparkSession, sf: str) -> DataFrame:
+    s = sm.signatures(words(spark, sf).where("size(tokens) > 0"), "doc_id", "tokens")
+    return s.select("doc_id", F.slice("signature", 1, 8).alias("head"))
+
+
+@query("lsh_04_bands")
+def bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that share a band, by band; tests compare the keys with a plain model."""
+    s = sm.signatures(words(spark, sf).where("size(tokens) > 0"), "doc_id", "tokens")
+    b = s.select(F.posexplode("bands").alias("band", "value"))
+    return b.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("band").agg(F.count(F.lit(1)).alias("buckets"), F.sum("n").alias("documents"))
+
+
+@query("lsh_08_similar_documents")
+def similar(spark: SparkSession, sf: str) -> DataFrame:
+    """For each document the ten most similar that share a band, similarity >= .7."""
+    s = sm.signatures(words(spark, sf).where("size(tokens) > 0"), "doc_id", "tokens")
+    return sm.band_join(s, "doc_id").select("a", "b", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query("lsh_05_jaccard", f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents) SELECT x.doc_id, round(len(list_intersect(x.w, y.w)) / greatest(1, len(list_distinct(list_concat(x.w, y.w))))::DOUBLE, 6) AS jaccard FROM d x JOIN d y ON y.doc_id = x.doc_id + 1""")
+def jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    w = words(spark, sf)
+    j = w.join(w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("tokens").alias("other")), "doc_id")
+    return j.select("doc_id", F.round(sm.jaccard(F.col("tokens"), F.col("other")), 6).alias("jaccard"))
+
+
+@query("set_07_path_jaccard", "WITH c AS (SELECT c_custkey AS id, list_distinct(list(o_orderpriority)) AS p FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1) SELECT x.id, round(len(list_intersect(x.p, y.p)) / len(list_distinct(list_concat(x.p, y.p)))::DOUBLE, 6) AS jaccard FROM c x JOIN c y ON y.id = x.id + 1")
+def path_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderpriority").alias("p"))
+    j = c.join(c.select((F.col("id") - 1).alias("id"), F.col("p").alias("q")), "id")
+    return j.select("id", F.round(sm.jaccard(F.col("p"), F.col("q")), 6).alias("jaccard"))
+
+
+@query("fn_10_tokenizers", f"SELECT doc_id, len({WORDS}) AS words, len(list_filter(list_distinct(regexp_split_to_array(lower(trim(text)), '[ \\t\\r\\n]+')), lambda t: t <> '')) AS spaced FROM documents")
+def tokenizers(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.size(sm.word_set(F.col("text"))).alias("words"), F.size(sm.space_set(F.col("text"))).alias("spaced"))
+
+
+NAMES = "n AS (SELECT DISTINCT substr(lower(c_mktsegment), 1, 3) || (c_custkey % 300) AS name FROM customer)"
+
+
+@query("joi_08_close_names", f"WITH {NAMES} SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name)::INT AS distance FROM n a JOIN n b ON a.name < b.name WHERE levenshtein(a.name, b.name) <= 1")
+def close_names(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "customer").select(F.concat(F.substring(F.lower("c_mktsegment"), 1, 3), F.col("c_custkey") % 300).alias("name"))
+    return sm.close_names(n, 1)
+
+
+@query("fn_02_bounded_edit_distance", "WITH t AS (SELECT p_partkey, p_name, lead(p_name) OVER (ORDER BY p_partkey) AS q FROM part) SELECT p_partkey, CASE WHEN levenshtein(p_name, q) <= 5 THEN levenshtein(p_name, q) ELSE -1 END::INT AS distance FROM t WHERE q IS NOT NULL")
+def edit_distance(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    j = p.select("p_partkey", "p_name").join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("q")), "p_partkey")
+    return j.select("p_partkey", F.levenshtein("p_name", "q", 5).alias("distance"))
+
+
+TYPOS = "t AS (SELECT 'standart' AS token UNION ALL SELECT 'promos' UNION ALL SELECT 'larg' UNION ALL SELECT 'zzzzzz'), v AS (SELECT DISTINCT lower(p_type) AS word FROM part)"
+
+
+@query("top_10_fuzzy_token", f"WITH {TYPOS} SELECT token, word, round(1 - d / 3.0::DOUBLE, 6) AS confidence FROM (SELECT token, word, levenshtein(token, word) AS d, row_number() OVER (PARTITION BY token ORDER BY levenshtein(token, word), word) AS rn FROM t, v) WHERE rn = 1 AND d < 3")
+def fuzzy(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.broadcast(spark.createDataFrame([("standart",), ("promos",), ("larg",), ("zzzzzz",)], "token string"))  # the query's own tokens
+    v = table(spark, sf, "part").select(F.lower("p_type").alias("word")).distinct()
+    d = v.crossJoin(t).withColumn("d", F.levenshtein("token", "word", 2)).where("d >= 0")
+    best = d.groupBy("token").agg(F.min(F.struct("d", "word")).alias("b"))
+    return best.select("token", F.col("b.word").alias("word"), F.round(1 - F.col("b.d") / 3.0, 6).alias("confidence"))
+
+
+@query("lsh_09_feature_text", with_views("SELECT id, 'role:' || role || ' intent:' || intent || ' ' || array_to_string(list_transform(tags, lambda t: 'tag:' || t), ' ') || ' name:' || name AS feature_text FROM symbols", "symbols"))
+def feature_text(spark: SparkSession, sf: str) -> DataFrame:
+    tags = F.array_join(F.transform("tags", lambda t: F.concat(F.lit("tag:"), t)), " ")
+    return symbols(spark, sf).select("id", F.concat_ws(" ", F.concat(F.lit("role:"), "role"), F.concat(F.lit("intent:"), "intent"), tags, F.concat(F.lit("name:"), "name")).alias("feature_text"))
+
+
+@query("lsh_10_drift", f"""WITH d AS (SELECT doc_id, md5(text) AS h FROM documents), b AS (SELECT doc_id, list_transform(range(16), lambda k: substr(h, 2 * k + 1, 1)) AS bands FROM d)
+    SELECT x.doc_id, round(len(list_filter(range(1, 17), lambda k: x.bands[k] <> y.bands[k])) / 16.0::DOUBLE, 6) AS drift, len(list_filter(range(1, 17), lambda k: x.bands[k] <> y.bands[k])) / 16.0::DOUBLE < 0.3 AS stable FROM b x JOIN b y ON y.doc_id = x.doc_id + 1""")
+def drift(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.substring(F.md5(F.col("text").cast("binary")), 2 * k + 1, F.lit(1))).alias("bands"))
+    j = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("bands").alias("other")), "doc_id")
+    x = F.aggregate(F.zip_with("bands", "other", lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, v: s + v) / 16.0
+    return j.select("doc_id", F.round(x, 6).alias("drift"), (x < 0.3).alias("stable"))
