@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpgraph.llm import mixing, near_dedup, packing, quality_rules, substring_dedup, tables
@@ -16,10 +16,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("kept").select("doc_id", *(F.col(f"in_{c}").alias(c) for c in COLUMNS[1:]))
 
 
+def _key(column: str = "doc_id") -> Column:
+    """The id, and the least number for none: a plain key to join by."""
+    return F.coalesce(F.col(column), F.lit(-(1 << 63)))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id. Documents without an id go, but one."""
-    kept = near_dedup.groups(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.id), "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """One document of each group of near-duplicates: that of the smallest id. Repeated rows of one id become one."""
+    found = tables.save(near_dedup.groups(docs).where("kept").groupBy(_key().alias("key")).agg(F.count(F.lit(1)).alias("rows")))
+    out = docs.withColumn("key", _key()).join(found.select("key"), "key", "left_semi")
+    if not found.where("rows > 1").isEmpty():
+        out = out.dropDuplicates(["key"])
+    return out.select(COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +35,15 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A document that repeats nothing keeps its text as it is, lines and all.
     """
-    found = substring_dedup.dedup(docs, keep_text=True).select(F.col("doc_id").alias("id"), "n_words", "n_removed", "kept_text")
-    joined = docs.join(found, docs.doc_id.eqNullSafe(found.id)).where("n_words > n_removed")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
+    found = substring_dedup.dedup(docs, carry=["text", "lang", "source"]).where("n_words > n_removed")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("in_text"))
+    return found.select("doc_id", text.alias("text"), F.col("in_lang").alias("lang"), F.col("in_source").alias("source"), F.char_length(text).cast("long").alias("n_chars"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture takes, once for each epoch."""
-    chosen = mixing.mix(docs).select(F.col("doc_id").alias("id"), "copies")
-    joined = docs.join(chosen, docs.doc_id.eqNullSafe(chosen.id))
+    chosen = mixing.mix(docs).select(_key().alias("key"), "copies")
+    joined = docs.withColumn("key", _key()).join(chosen, "key")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import save
+from .tables import drop, save
 
 #: Links that one task's union-find takes (some 100 MB); more are contracted by distributed rounds first.
 TASK_LINKS = 1_000_000
@@ -48,12 +48,20 @@ def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
         step = save(least.select(F.col("u").alias("node"), F.col("m.to").alias("to")))
         steps.append(step)
         ends = links.join(step.withColumnsRenamed({"node": "u", "to": "a"}), "u").join(step.withColumnsRenamed({"node": "v", "to": "b"}), "v")
-        links = save(ends.where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        before, links = links, save(ends.where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        drop(before)
         number = links.count()
+    tables = [links]
     roots = links.repartition(1).mapInPandas(_union_find, "node long, root long")
     for step in reversed(steps):
-        known = save(roots).withColumnRenamed("node", "to")
-        roots = step.join(known, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-    roots = save(roots)
-    least = roots.groupBy("root").agg(F.min("node").alias("component"))
-    return roots.join(save(least), "root").select("node", F.least("component", "node").alias("component")) if steps else roots.select("node", F.col("root").alias("component"))
+        known = save(roots)
+        tables.append(known)
+        roots = step.join(known.withColumnRenamed("node", "to"), "to", "left").select("node", F.coalesce("root", "to").alias("root"))
+    if steps:
+        roots = save(roots)
+        least = save(roots.groupBy("root").agg(F.min("node").alias("least")))
+        tables += [roots, least, *steps]
+        roots = roots.join(least, "root").select("node", F.least("least", "node").alias("root"))
+    out = save(roots.select("node", F.col("root").alias("component")))
+    drop(*tables)
+    return out

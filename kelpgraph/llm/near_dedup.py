@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import save
+from .tables import drop, save
 from .tokens import U, WORDS, Block, blocks, mix
 
 BANDS, ROWS = 24, 5
@@ -213,9 +213,11 @@ def groups(documents: DataFrame, *, width: int = 5, percent: int = 85, id_col: s
     rows = rows.withColumn("side", F.pmod(F.xxhash64("rep", "s1"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "rep", "n", "side", "bands", "signature", "text")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    labels = save(components(rows.mapInArrow(_links(width, percent), "u long, v long")))
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("comp"))
-    out = signed.select("did", "n", "s1", "s2").join(save(named), ["s1", "s2"], "left")
+    labels = components(rows.mapInArrow(_links(width, percent), "u long, v long"))
+    named = save(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("comp")))
+    rows = save(signed.select("did", "n", "s1", "s2"))
+    drop(signed, classes, unique, members, texts, labels)
+    out = rows.join(named, ["s1", "s2"], "left")
     comp = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("did"))
     ident = lambda c: F.when(c > -(1 << 63), c)
     return out.select(ident(F.col("did")).alias(id_col), F.col("n").alias("n_shingles"), ident(comp).alias("component_id"), (F.col("did") == comp).alias("kept"))

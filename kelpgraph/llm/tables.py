@@ -25,3 +25,12 @@ def save(frame: DataFrame) -> DataFrame:
     path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes tables that save() returned, once all that reads them is written."""
+    for frame in frames:
+        jvm, conf = frame.sparkSession._jvm, frame.sparkSession._jsc.hadoopConfiguration()
+        for file in frame.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(conf).delete(path, True)
