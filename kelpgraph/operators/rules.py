@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +42,14 @@ def _texts(names: list[str]) -> Column:
     return F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
 
 
+def _has(word: str) -> Callable[[Column], Column]:
+    return lambda x: x.contains(word)
+
+
 def _any_in(items: Column, patterns: list[str]) -> Column:
     out = F.lit(False)
     for p in patterns:
-        out = out | F.exists(items, lambda x, p=p: x.contains(p))
+        out = out | F.exists(items, _has(p))
     return out
 
 
@@ -57,7 +63,7 @@ def _contains_any(text: Column, patterns: list[str]) -> Column:
 def _count_in(items: Column, patterns: list[str]) -> Column:
     out = F.lit(0)
     for p in patterns:
-        out = out + F.exists(items, lambda x, p=p: x.contains(p)).cast("int")
+        out = out + F.exists(items, _has(p)).cast("int")
     return out
 
 
