@@ -1,7 +1,7 @@
 """Shards of near-equal bytes, tokens and rows.
 
 Method. Vector bin packing: groups of equal texts are vectors of bytes, tokens and rows, as shares of the whole; the
-largest first, each goes to the shard whose residual capacity has the greatest dot product with it. Groups of more than
+largest first, each goes to the shard with room for its bytes whose residual capacity has the greatest dot product with it. Groups of more than
 a sixteenth of a small part of a shard are packed one by one (there is a bounded number of those); all others fall by a
 hash of their text into buckets, which are packed as such. A group that would fill a large part of a shard is split.
 
@@ -23,18 +23,20 @@ BUCKETS = 4096
 #: A group with over 1/LARGE of a shard is packed by itself; one with over 1/SPLIT of a shard is split in parts.
 LARGE, SPLIT = 64, 4
 #: Repeated rows of one document go so many to an item.
-COPIES = 256
+COPIES = 16
 CHUNK = 50_000
 
 
 def assign(items: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item (rows of bytes, tokens, rows): greatest dot product with what the shard has left."""
+    """The shard of each item (rows of bytes, tokens, rows): of those with room for its bytes, the one with the greatest
+    dot product with what it has left; if none has room, that with the most bytes left. So sizes come out near equal."""
     total = items.sum(axis=0)
     share = items / np.where(total > 0, total, 1)
     residual = np.full((shards, items.shape[1]), 1 / shards)
     out = np.zeros(len(items), np.int64)
     for k in np.lexsort((np.arange(len(items)), -share.sum(axis=1), -share.max(axis=1))):
-        out[k] = np.argmax(residual @ share[k])
+        room = residual[:, 0] >= share[k, 0]
+        out[k] = np.argmax(np.where(room, residual @ share[k], -np.inf)) if room.any() else np.argmax(residual[:, 0])
         residual[out[k]] -= share[k]
     return out
 
