@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-one, zero = F.lit(1.0), F.lit(0.0)
+
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -17,7 +17,7 @@ def gravity(in_degree: Column) -> Column:
 
 
 def structural_mass(degree: Column, most: Column) -> Column:
-    return F.least(one, degree / (2.0 * most))
+    return F.least(F.lit(1.0), degree / (2.0 * most))
 
 
 def structural_friction(complexity: Column) -> Column:
@@ -37,7 +37,7 @@ def soft_cap(energy: Column) -> Column:
 
 
 def adjusted_friction(friction: Column, energy: Column) -> Column:
-    return clamp(friction * (1 - 0.3 * F.least(one, energy / 10.0)), 0.0, 1.0)
+    return clamp(friction * (1 - 0.3 * F.least(F.lit(1.0), energy / 10.0)), 0.0, 1.0)
 
 
 def legacy_energy(gravity_: Column, heat: Column) -> Column:
@@ -45,11 +45,11 @@ def legacy_energy(gravity_: Column, heat: Column) -> Column:
 
 
 def runtime_energy(centrality: Column, frequency: Column, tau: Column, entropy: Column) -> Column:
-    return F.greatest(zero, 0.4 * centrality + 0.3 * F.least(one, frequency / 1000.0) - 0.5 * tau + 0.2 * entropy)
+    return F.greatest(F.lit(0.0), 0.4 * centrality + 0.3 * F.least(F.lit(1.0), frequency / 1000.0) - 0.5 * tau + 0.2 * entropy)
 
 
 def runtime_friction(tau: Column, noise: Column) -> Column:
-    return F.least(one, (1 - tau) * (1 + noise))
+    return F.least(F.lit(1.0), (1 - tau) * (1 + noise))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -84,8 +84,8 @@ def logistic_friction(f: Column) -> Column:
 
 def transition(uphill: Column, align: Column, friction: Column, dist: Column, intent: Column) -> Column:
     """Cost of a step: misalignment, friction, distance and rising energy, less the intent's pull; at least 0."""
-    base = 0.35 * (1 - align) + 0.25 * logistic_friction(friction) + 0.15 * log_norm(dist) + 0.40 * F.greatest(zero, uphill) - 0.55 * intent
-    return F.greatest(zero, base * (1 + 0.3 * friction))
+    base = 0.35 * (1 - align) + 0.25 * logistic_friction(friction) + 0.15 * log_norm(dist) + 0.40 * F.greatest(F.lit(0.0), uphill) - 0.55 * intent
+    return F.greatest(F.lit(0.0), base * (1 + 0.3 * friction))
 
 
 def heuristic(dist: Column, align: Column, mass: Column, friction: Column) -> Column:
@@ -132,4 +132,4 @@ def trust(f: Column, r: Column, u: Column, c: Column, drift: Column, verified: C
 
 
 def cumulative_barrier(delta: Column, friction: Column) -> Column:
-    return F.greatest(zero, delta) + 0.5 * friction
+    return F.greatest(F.lit(0.0), delta) + 0.5 * friction
