@@ -19,13 +19,13 @@ def states(spark: SparkSession, sf: str) -> DataFrame:
 
 
 METRICS = ["centrality", "betweenness", "clustering", "tau_persistence", "entry_variance"]
-ROUND = ", ".join(f"round(round({m}, 6) + 1e-9, 6) AS {m}" for m in METRICS)
+ROUND = ", ".join(f"round({m} + 1e-9, 6) AS {m}" for m in METRICS)
 PCT = ", ".join(f"round(cume_dist() OVER (ORDER BY {m}), 6) AS pct_{m}" for m in METRICS)
 
 
 @query("str_09_manifold_state", with_views(f"WITH m AS (SELECT id, frequency, {ROUND} FROM states) SELECT id, frequency, {', '.join(METRICS)}, {PCT} FROM m", "states"))
 def manifold(spark: SparkSession, sf: str) -> DataFrame:
-    s = states(spark, sf).select("id", "frequency", *(r6(r6(m) + 1e-9).alias(m) for m in METRICS))
+    s = states(spark, sf).select("id", "frequency", *(r6(F.col(m) + 1e-9).alias(m) for m in METRICS))
     return rounded(st.percentiles(s, *METRICS), *(f"pct_{m}" for m in METRICS))
 
 
