@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import save
+
 
 def ends(edges: DataFrame) -> DataFrame:
     """Each edge seen from either end: id, o and i (1 for the end that it leaves or enters), and the weight there."""
@@ -114,14 +116,16 @@ def percentiles(rows: DataFrame, *metrics: str) -> DataFrame:
     """pct_<metric>: the share of values not above the row's.
 
     Ranks come from counts of distinct values and their running sum, so what one task sorts is distinct values, not rows.
+    The rows are written first: each metric reads them, and they are joined with all ranks.
     """
-    total = rows.agg(F.count(F.lit(1)).alias("rows_"))
+    rows = save(rows)
+    total = rows.count()
+    out = rows
     for m in metrics:
         counts = rows.groupBy(m).agg(F.count(F.lit(1)).alias("k"))
-        share = F.sum("k").over(Window.orderBy(m)) / F.col("rows_")
-        rank = counts.crossJoin(F.broadcast(total)).select(m, share.alias(f"pct_{m}"))  # total: one row
-        rows = rows.join(rank, m)
-    return rows
+        share = F.sum("k").over(Window.orderBy(m)) / F.lit(total)
+        out = out.join(counts.select(m, share.alias(f"pct_{m}")), m)
+    return out
 
 
 def normaliser(edges: DataFrame) -> DataFrame:

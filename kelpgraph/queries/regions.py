@@ -21,10 +21,10 @@ BASE = f"""base AS (SELECT id, {ROLE} AS role, out_degree, in_degree, round(cent
 def base(spark: SparkSession, sf: str) -> DataFrame:
     s = st.states(calls(spark, sf))
     role, _ = st.topology_role(*(F.col(c) for c in ("in_degree", "out_degree", "centrality", "betweenness", "clustering")))
-    return s.select(
+    return save(s.select(
         "id", role.alias("role"), "out_degree", "in_degree", r6("centrality").alias("centrality"), r6("betweenness").alias("betweenness"), r6("clustering").alias("clustering"), r6("tau_persistence").alias("tau"),
         r6(F.col("structural_noise") + 1e-9).alias("noise"), "frequency", r6(F.col("entry_variance") + 1e-9).alias("entry_variance"), r6(2.5 + 4 * F.col("centrality") * (1 - F.col("clustering"))).alias("energy"),
-    )
+    ))
 
 
 def region_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,7 +190,7 @@ def shared(spark: SparkSession, sf: str) -> DataFrame:
 @query("str_24_communities")
 def communities(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes of communities by label propagation; no SQL twin (an iteration)."""
-    c = rg.communities(save(calls(spark, sf)), 5)
+    c = rg.communities(calls(spark, sf), 5)
     return c.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
 
 

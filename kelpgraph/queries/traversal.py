@@ -21,7 +21,7 @@ def starts(spark: SparkSession, *ids: str) -> DataFrame:
 
 
 def everything(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    e = save(calls(spark, sf))
+    e = calls(spark, sf)
     return tv.bfs(e, e.select(F.col("src").alias("id")), DEPTH, tau=TAU)
 
 
@@ -60,7 +60,7 @@ def event_totals(spark: SparkSession, sf: str) -> DataFrame:
     e2 AS (SELECT v.start, c.src, c.dst, c.weight >= 0.5 AS ok FROM v1 v JOIN calls c ON c.src = v.node)
     SELECT 1 AS depth, ok AS passed_gate, count(*) AS n FROM e1 GROUP BY ok UNION ALL SELECT 2, ok, count(*) FROM e2 GROUP BY ok""", "calls"))
 def rejected(spark: SparkSession, sf: str) -> DataFrame:
-    e = save(calls(spark, sf))
+    e = calls(spark, sf)
     _, events = tv.bfs(e, e.select(F.col("src").alias("id")), 1, tau=0.5, log_rejected=True)
     return events.groupBy("depth", "passed_gate").agg(F.count(F.lit(1)).alias("n"))
 
@@ -128,33 +128,33 @@ def recursive(body: str, *views: str) -> str:
 
 @query("trv_08_propagate", recursive(f"WITH {HARD} SELECT node, round(weight, 6) AS weight FROM best", "calls"))
 def propagate(spark: SparkSession, sf: str) -> DataFrame:
-    r = pg.propagate(save(calls(spark, sf)), starts(spark, "sym::1"), tau=0.2, soft=False)
+    r = pg.propagate(calls(spark, sf), starts(spark, "sym::1"), tau=0.2, soft=False)
     return r.select("node", r6("weight").alias("weight"))
 
 
 @query("trv_08_propagate_soft")
 def propagate_soft(spark: SparkSession, sf: str) -> DataFrame:
     """Soft tau and a bonus: rises on cycles, so it ends by rounds; tests compare with a plain model."""
-    r = pg.propagate(save(calls(spark, sf)), starts(spark, "sym::1"), tau=0.05, soft=True, rounds=6)
+    r = pg.propagate(calls(spark, sf), starts(spark, "sym::1"), tau=0.05, soft=True, rounds=6)
     return r.select("node", r6("weight").alias("weight"), "converged")
 
 
 @query("top_03_propagate_topk", recursive(f"WITH {HARD} SELECT node, round(weight, 6) AS weight FROM best ORDER BY round(weight, 6) DESC, node LIMIT 25", "calls"))
 def propagate_topk(spark: SparkSession, sf: str) -> DataFrame:
-    r = pg.propagate(save(calls(spark, sf)), starts(spark, "sym::1"), tau=0.2, soft=False)
+    r = pg.propagate(calls(spark, sf), starts(spark, "sym::1"), tau=0.2, soft=False)
     return r.select("node", r6("weight").alias("weight")).orderBy(F.desc("weight"), "node").limit(25)
 
 
 @query("agg_28_query_metrics", recursive(f"WITH {HARD} SELECT count(*) AS subgraph_size, round(avg(weight), 6) AS avg_weight, round(min(weight), 6) AS min_weight FROM best", "calls"))
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
-    r = pg.propagate(save(calls(spark, sf)), starts(spark, "sym::1"), tau=0.2, soft=False)
+    r = pg.propagate(calls(spark, sf), starts(spark, "sym::1"), tau=0.2, soft=False)
     return r.agg(F.count(F.lit(1)).alias("subgraph_size"), r6(F.avg("weight")).alias("avg_weight"), r6(F.min("weight")).alias("min_weight"))
 
 
 @query("trv_12_paths", recursive(f"WITH {HARD} SELECT node, round(weight, 6) AS weight FROM best", "calls"))
 def paths(spark: SparkSession, sf: str) -> DataFrame:
     """Every path's product of weights is the weight that propagation found."""
-    e = save(calls(spark, sf))
+    e = calls(spark, sf)
     p = pg.paths(pg.propagate(e, starts(spark, "sym::1"), tau=0.2, soft=False))
     steps = p.select("node", F.explode(F.zip_with("path", F.slice("path", 2, 1000), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))).alias("s")).select("node", "s.src", "s.dst").where("dst is not null")
     product = steps.join(e, ["src", "dst"]).groupBy("node").agg(F.product("weight").alias("weight"))
@@ -167,7 +167,7 @@ def _tier(tau: float) -> str:
 
 @query("trv_14_tiers", recursive(f"WITH {_tier(0.3)}, {_tier(0.25)} SELECT 'core' AS tier, node, round(weight, 6) AS weight FROM best30 UNION ALL SELECT 'extended', node, round(weight, 6) FROM best25", "calls"))
 def tier(spark: SparkSession, sf: str) -> DataFrame:
-    r = pg.tiers(save(calls(spark, sf)), starts(spark, "sym::1"), {"core": 0.3, "extended": 0.25})
+    r = pg.tiers(calls(spark, sf), starts(spark, "sym::1"), {"core": 0.3, "extended": 0.25})
     return r.select("tier", "node", r6("weight").alias("weight"))
 
 
@@ -176,7 +176,7 @@ def tier(spark: SparkSession, sf: str) -> DataFrame:
     l2 AS (SELECT DISTINCT t.src AS node FROM top t JOIN l1 ON l1.node = t.dst JOIN g ON g.id = l1.node WHERE gravity >= 0.55 AND t.src <> 'sym::1' AND t.src NOT IN (SELECT node FROM l1))
     SELECT node, depth, round(gravity * 0.5::DOUBLE * 0.9::DOUBLE, 6) AS escape FROM (SELECT 'sym::1' AS node, 0 AS depth UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT node, 2 FROM l2) JOIN g ON g.id = node""", "calls", "degrees"))
 def reverse_traversal(spark: SparkSession, sf: str) -> DataFrame:
-    e = save(calls(spark, sf))
+    e = calls(spark, sf)
     d = save(st.degrees(e).select("id", energy.gravity(F.col("in_degree")).alias("gravity")))
     back = st.strongest(tv.reverse(e), 10).join(d.withColumnRenamed("id", "src"), "src").where("gravity >= 0.55").select("src", "dst", "kind", "weight")
     visits, _ = tv.bfs(save(back), starts(spark, "sym::1"), 2)
@@ -189,7 +189,7 @@ def reverse_traversal(spark: SparkSession, sf: str) -> DataFrame:
     scored AS (SELECT start, node, depth, round(b.weight * f.centrality * pow(0.5, depth), 6) AS score FROM both_ b JOIN features f ON f.id = b.node)
     SELECT start, node, depth, score FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY score DESC, node) AS rn FROM scored) WHERE rn <= 10""", "calls", "features"))
 def upstream(spark: SparkSession, sf: str) -> DataFrame:
-    e = save(calls(spark, sf))
+    e = calls(spark, sf)
     f = st.features(e).select("id", F.col("centrality").alias("magnitude"))
     u = tv.upstream(e, starts(spark, "sym::1", "sym::2", "sym::3"), f, k=1_000_000).withColumn("score", r6("score"))
     return u.withColumn("rank", F.row_number().over(Window.partitionBy("start").orderBy(F.desc("score"), "node"))).where("rank <= 10").select("start", "node", "depth", "score")
@@ -216,14 +216,14 @@ def sink_escape(spark: SparkSession, sf: str) -> DataFrame:
     s3 AS (SELECT s.start, c.dst AS node, max(p * weight) AS p FROM s2 s JOIN calls c ON c.src = s.node WHERE p * weight >= 0.3 GROUP BY 1, 2), s4 AS (SELECT s.start, c.dst AS node, max(p * weight) AS p FROM s3 s JOIN calls c ON c.src = s.node WHERE p * weight >= 0.3 GROUP BY 1, 2)
     SELECT start, node, round(p, 6) AS product FROM s4""", "calls"))
 def path_decay(spark: SparkSession, sf: str) -> DataFrame:
-    return tv.path_decay(save(calls(spark, sf)), depth=3, tau=0.3).select("start", "node", r6("product").alias("product"))
+    return tv.path_decay(calls(spark, sf), depth=3, tau=0.3).select("start", "node", r6("product").alias("product"))
 
 
 @query("trv_23_region_reachability", with_views("""WITH e AS (SELECT src FROM (SELECT src, sum(weight) AS w FROM calls GROUP BY src) ORDER BY round(w, 6) DESC, src LIMIT 3), d1 AS (SELECT DISTINCT dst AS node FROM calls JOIN e USING (src) WHERE dst NOT IN (SELECT src FROM e)),
     d2 AS (SELECT DISTINCT c.dst AS node FROM calls c JOIN d1 ON d1.node = c.src WHERE c.dst NOT IN (SELECT src FROM e) AND c.dst NOT IN (SELECT node FROM d1))
     SELECT node, depth FROM (SELECT node, 1 AS depth FROM d1 UNION ALL SELECT node, 2 FROM d2) ORDER BY depth, node LIMIT 50""", "calls"))
 def region_reach(spark: SparkSession, sf: str) -> DataFrame:
-    e = save(calls(spark, sf))
+    e = calls(spark, sf)
     top = e.groupBy("src").agg(r6(F.sum("weight")).alias("w")).orderBy(F.desc("w"), "src").limit(3).select(F.col("src").alias("id"))
     visits, _ = tv.bfs(e, top, 2)
     near = visits.groupBy("node").agg(F.min("depth").alias("depth")).where("depth > 0")
@@ -238,7 +238,7 @@ def coupling_reach(spark: SparkSession, sf: str) -> DataFrame:
 @query("trv_17_greedy_ascent")
 def greedy(spark: SparkSession, sf: str) -> DataFrame:
     """From many starts at once to the best unvisited successor by weight times rise in centrality, at most 5 steps."""
-    e = save(calls(spark, sf))
+    e = calls(spark, sf)
     f = st.features(e).select("id", "centrality")
     scored = save(e.join(f.withColumnsRenamed({"id": "src", "centrality": "a"}), "src").join(f.withColumnsRenamed({"id": "dst", "centrality": "b"}), "dst").select("src", "dst", r6((F.col("b") - F.col("a")) * F.col("weight")).alias("score")))
     state = save(f.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path")))
