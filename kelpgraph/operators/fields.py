@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import energy as en
+from .ranks import running_total
 
 
 def entropy(weights: DataFrame, key: str, weight: str, kind: str = "log2") -> DataFrame:
@@ -84,19 +85,10 @@ def simulate(paths: DataFrame, key: str = "path_id", pos: str = "pos", e: str =
 
 
 def rank_energy(states: DataFrame, column: str = "energy") -> DataFrame:
-    """energy_rank: place by falling energy over the number of rows, from 0, ties by id.
-
-    The order is cut into ranges of energy; places within a range are numbered by themselves and the ranges' sizes
-    summed, so no task sorts all rows.
-    """
-    low, high, n = states.agg(F.min(column), F.max(column), F.count(F.lit(1))).first()
-    width = ((high or 0) - (low or 0)) or 1.0
-    part = F.least(F.lit(999), F.floor((F.lit(high) - F.col(column)) / width * 1000)).cast("int")
-    s = states.withColumn("part", part)
-    sizes = s.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size")).drop("size")  # at most 1000 rows
-    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc(column), "id")) - 1
-    return s.withColumn("own", place).join(F.broadcast(before), "part").withColumn("energy_rank", (F.col("own") + F.col("before")) / F.lit(max(n, 1))).drop("part", "own", "before")
+    """energy_rank: place by falling energy over the number of rows, from 0, ties by id."""
+    n = states.count()
+    ranked = running_total(states.withColumn("one_", F.lit(1)), column, "one_", descending=True, ties="id")
+    return ranked.withColumn("energy_rank", (F.col("upto") - 1) / F.lit(max(n, 1))).drop("one_", "upto")
 
 
 def clamp01(c: Column) -> Column:

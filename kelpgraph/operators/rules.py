@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import roles
+from .ranks import running_total
 
 #: Intents by what a symbol calls, imports, its path, name and kind, in the order that decides ties.
 INTENTS: dict[str, dict[str, list[str]]] = {
@@ -120,18 +121,10 @@ def refine(results: DataFrame, budget: int) -> DataFrame:
 
 
 def cut_at(rows: DataFrame, budget: int, *, keep_first_over: bool) -> DataFrame:
-    """Rows in order of weight (ties by id) while the sum of their tokens is within the budget.
-
-    Sums by weight find the weight at which it ends; only rows of that weight are ordered.
-    """
-    per = rows.groupBy("weight").agg(F.sum("tokens").alias("mass"))
-    reached = F.sum("mass").over(Window.orderBy(F.desc("weight")))
-    per = per.withColumn("before", reached - F.col("mass")).drop("mass")
-    inside = rows.join(per, "weight")
-    own = F.sum("tokens").over(Window.partitionBy("weight").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    inside = inside.withColumn("upto", F.col("before") + own)
+    """Rows in order of weight (ties by id) while the sum of their tokens is within the budget."""
+    inside = running_total(rows, "weight", "tokens", descending=True, ties="id")
     limit = F.col("upto") - F.col("tokens") <= budget if keep_first_over else F.col("upto") <= budget
-    return inside.where(limit).drop("before", "upto")
+    return inside.where(limit).drop("upto")
 
 
 def top_by_intent(rows: DataFrame, k: int = 3) -> DataFrame:
@@ -225,7 +218,8 @@ def lock_order(atoms: DataFrame) -> DataFrame:
     """thread, first, then: `then` is acquired while `first` is held."""
     acq = atoms.where("op = 'ACQ'").select("thread", F.col("arg").alias("first"), F.col("pos").alias("p"))
     rel = atoms.where("op = 'REL'").select("thread", F.col("arg").alias("first"), F.col("pos").alias("r"))
-    held = acq.join(rel, ["thread", "first"], "left").where("r is null or r > p").groupBy("thread", "first", "p").agg(F.min("r").alias("r"))
+    after = acq.join(rel, ["thread", "first"]).where("r > p").groupBy("thread", "first", "p").agg(F.min("r").alias("r"))
+    held = acq.join(after, ["thread", "first", "p"], "left")
     later = atoms.where("op = 'ACQ'").select("thread", F.col("arg").alias("then"), F.col("pos").alias("q"))
     return held.join(later, "thread").where("q > p and (r is null or q < r) and first != then").select("thread", "first", "then").distinct()
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import save
+from .ranks import running_total
 
 
 def ends(edges: DataFrame) -> DataFrame:
@@ -115,16 +116,15 @@ def friction(ricci: Column) -> Column:
 def percentiles(rows: DataFrame, *metrics: str) -> DataFrame:
     """pct_<metric>: the share of values not above the row's.
 
-    Ranks come from counts of distinct values and their running sum, so what one task sorts is distinct values, not rows.
-    The rows are written first: each metric reads them, and they are joined with all ranks.
+    Ranks come from counts of distinct values and their running sum, which no single task holds. The rows are written
+    first: each metric reads them, and they are joined with all ranks.
     """
     rows = save(rows)
     total = rows.count()
     out = rows
     for m in metrics:
         counts = rows.groupBy(m).agg(F.count(F.lit(1)).alias("k"))
-        share = F.sum("k").over(Window.orderBy(m)) / F.lit(total)
-        out = out.join(counts.select(m, share.alias(f"pct_{m}")), m)
+        out = out.join(running_total(counts, m, "k").select(m, (F.col("upto") / F.lit(total)).alias(f"pct_{m}")), m)
     return out
 
 

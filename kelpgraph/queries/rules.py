@@ -381,7 +381,9 @@ def lock_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rl.lock_rules(atoms(spark, sf))
 
 
-@query("con_06_lock_order_conflicts")
+@query("con_06_lock_order_conflicts", f"""WITH {ATOMS}, held AS (SELECT a.thread, a.arg AS first, a.pos AS p, (SELECT min(r.pos) FROM atoms r WHERE r.op = 'REL' AND r.thread = a.thread AND r.arg = a.arg AND r.pos > a.pos) AS r FROM atoms a WHERE a.op = 'ACQ'),
+    o AS (SELECT DISTINCT h.thread, h.first, x.arg AS th FROM held h JOIN atoms x ON x.thread = h.thread AND x.op = 'ACQ' AND x.pos > h.p AND (h.r IS NULL OR x.pos < h.r) AND x.arg <> h.first), n AS (SELECT first, th, count(*) AS threads FROM o GROUP BY 1, 2)
+    SELECT a.first, a.th AS "then", a.threads, b.threads AS against FROM n a JOIN n b ON a.first = b.th AND a.th = b.first WHERE a.first < a.th""")
 def lock_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     """Lock pairs taken in both orders, with how many pairs of threads do."""
     order = rl.lock_order(atoms(spark, sf)).groupBy("first", "then").agg(F.count(F.lit(1)).alias("threads"))

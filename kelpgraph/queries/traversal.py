@@ -235,7 +235,10 @@ def coupling_reach(spark: SparkSession, sf: str) -> DataFrame:
     return everything(spark, sf)[0].groupBy("start").agg(F.count(F.lit(1)).alias("reached"))
 
 
-@query("trv_17_greedy_ascent")
+@query("trv_17_greedy_ascent", with_views("""WITH scored AS (SELECT c.src, c.dst, round((b.centrality - a.centrality) * c.weight, 6) AS score FROM calls c JOIN features a ON a.id = c.src JOIN features b ON b.id = c.dst),
+    g AS (SELECT id AS start, id AS node, [id] AS path, 0 AS k FROM features UNION ALL SELECT start, dst, list_append(path, dst), k + 1 FROM (SELECT g.start, s.dst, g.path, g.k, row_number() OVER (PARTITION BY g.start ORDER BY s.score DESC, s.dst) AS rn
+        FROM g JOIN scored s ON s.src = g.node WHERE s.score > 0 AND NOT list_contains(g.path, s.dst) AND g.k < 5) WHERE rn = 1)
+    SELECT start, arg_max(node, k) AS stop, max(k)::INT AS steps FROM g GROUP BY start""", "calls", "features").replace("WITH ", "WITH RECURSIVE ", 1))
 def greedy(spark: SparkSession, sf: str) -> DataFrame:
     """From many starts at once to the best unvisited successor by weight times rise in centrality, at most 5 steps."""
     e = calls(spark, sf)
@@ -270,6 +273,10 @@ CHEAP = """least_(node, cost) USING KEY (node) AS (SELECT 'sym::1', 0.0::DOUBLE
     LEFT JOIN recurring.least_ r ON r.node = n.dst WHERE r.cost IS NULL OR c < r.cost - 1e-12 GROUP BY dst)"""
 
 
+PLANS = """least_(node, cost, path) USING KEY (node) AS (SELECT 'sym::1', 0.0::DOUBLE, ['sym::1'] UNION SELECT dst, min(c), arg_min(p, (c, p)) FROM
+    (SELECT k.dst, l.cost + k.cost AS c, list_append(l.path, k.dst) AS p FROM least_ l JOIN costs k ON l.node = k.src) n LEFT JOIN recurring.least_ r ON r.node = n.dst WHERE r.cost IS NULL OR c < r.cost - 1e-12 GROUP BY dst)"""
+
+
 def costs(spark: SparkSession, sf: str) -> DataFrame:
     return save(calls(spark, sf).select("src", "dst", r6(2 - F.col("weight")).alias("cost")))
 
@@ -298,7 +305,9 @@ def k_shortest(spark: SparkSession, sf: str) -> DataFrame:
     return p
 
 
-@query("pth_04_plan_metrics")
+@query("pth_04_plan_metrics", recursive(f"""WITH {COST}, {PLANS}, s AS (SELECT node, cost, len(path) - 1 AS hops, unnest(path) AS step FROM least_), g AS (SELECT node, cost, hops, avg(1 - centrality) AS risk,
+    exp(avg(ln(greatest(1e-9::DOUBLE, (1 - (1 - centrality)) * 0.98::DOUBLE)))) AS coherence FROM s JOIN features ON id = step GROUP BY 1, 2, 3)
+    SELECT node, hops::INT AS hops, round(cost, 6) AS cost, round(risk, 6) AS risk, round(coherence, 6) AS coherence, cost <= 10 AND risk <= 0.8 AND coherence > 0.15 AS valid FROM g""", "calls", "features"))
 def plan_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Of each cheapest path: mean friction (risk), geometric coherence, hops and validity."""
     e = costs(spark, sf)
@@ -309,7 +318,10 @@ def plan_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("node", "hops", r6("cost").alias("cost"), r6("risk").alias("risk"), r6("coherence").alias("coherence"), ((F.col("cost") <= 10) & (F.col("risk") <= 0.8) & (F.col("coherence") > 0.15)).alias("valid"))
 
 
-@query("top_08_landing_hints")
+@query("top_08_landing_hints", recursive(f"""WITH {COST}, {PLANS}, s AS (SELECT node, unnest(path) AS step, unnest(range(len(path))) AS pos FROM least_ WHERE len(path) - 1 BETWEEN 2 AND 4),
+    e AS (SELECT node, step, pos, centrality AS energy, in_degree, out_degree, avg(centrality) OVER (PARTITION BY node) AS mean FROM s JOIN features ON id = step),
+    x AS (SELECT node, step, round(0.4::DOUBLE * energy / (mean + 1e-6::DOUBLE) + 0.2::DOUBLE * least(out_degree / 20.0::DOUBLE, 1) + 0.2::DOUBLE * in_degree / (out_degree + 1) + 0.2::DOUBLE / (1 + pos), 3) AS score FROM e)
+    SELECT node, rank::INT AS rank, step, score FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, step) AS rank FROM x) WHERE rank <= 3""", "calls", "features"))
 def landing_hints(spark: SparkSession, sf: str) -> DataFrame:
     """The three best steps of each cheapest path: energy over its mean, fan-out, convergence and an early place."""
     e = calls(spark, sf)
