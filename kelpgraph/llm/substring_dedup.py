@@ -142,8 +142,9 @@ def dedup(documents: DataFrame, *, width: int = 20, id_col: str = "doc_id", text
     others. Identical repeated rows are one document, returned as often as it was given. Rows of one id with different
     texts are told apart by the text (in the order of its hash). Columns that carry doesn't name, whatever their names, are ignored.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"in_{c}") for c in carry or []))
-    carried = [f"in_{c}" for c in carry or []]
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"in_{c}") for c in carry or [] if c != text_col))
+    carried, given = [f"in_{c}" for c in carry or []], {f"in_{text_col}": "text"}  # the text itself travels once
+    travels = [c for c in carried if c not in given]
     low, high, size, rows, ids = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text")), F.count(F.lit(1)), F.count_distinct("doc_id")).first()
     bits = max(1, ((size or 0) // 2 + 1).bit_length())
     packs = rows == ids and (0 if high is None else high - low).bit_length() + bits <= 62
@@ -151,7 +152,7 @@ def dedup(documents: DataFrame, *, width: int = 20, id_col: str = "doc_id", text
         did, kind = F.coalesce(F.col("doc_id") - F.lit(low or 0), F.lit(0)), pa.int64()  # never null: else some reads of the exchange below get a filter and one of their own
     else:
         did, kind = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text")), pa.struct([("id", pa.int64()), ("text", pa.int64())])
-    docs = docs.select(did.alias("did"), "text", *carried).repartition("did")  # one exchange, read by each of the four passes
+    docs = docs.select(did.alias("did"), "text", *travels).repartition("did")  # one exchange, read by each of the four passes
     keys, span = [("h1", pa.int64()), ("h2", pa.int64())], [("did", kind), ("at", pa.int32()), ("number", pa.int32())]
     ddl = ("did long" if packs else "did struct<id:bigint,text:bigint>") + ", at int, number int"
 
@@ -210,7 +211,7 @@ def dedup(documents: DataFrame, *, width: int = 20, id_col: str = "doc_id", text
                 removed = np.bincount(block.wdoc[covered], minlength=len(block.start))
                 arrays = [batch.column("did").slice(block.rows.start, len(texts)), pa.array(block.n_words.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in texts])]
                 if carry is not None:
-                    arrays += [pa.array(texts, pa.binary()).cast(pa.string()), *(batch.column(c).slice(block.rows.start, len(texts)) for c in carried)]
+                    arrays += [pa.array(texts, pa.binary()).cast(pa.string()), *(batch.column(given.get(c, c)).slice(block.rows.start, len(texts)) for c in carried)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["did", "n_words", "n_removed", "kept_sha256", "kept_text", *carried][: len(arrays)])
 
     high_level = docs.mapInArrow(_rows(tile_rows, pa.schema(keys + span)), f"h1 long, h2 long, {ddl}")
@@ -221,9 +222,9 @@ def dedup(documents: DataFrame, *, width: int = 20, id_col: str = "doc_id", text
     wanted = by_document(low_level.join(repeated, "sym"), "wanted")
     windows = docs.join(wanted, "did").mapInArrow(_rows(window_rows, pa.schema([*keys, *span[:2]])), 'h1 long, h2 long, ' + ddl.rpartition(',')[0])
     firsts = by_document(first(windows).withColumn("number", F.lit(1)), "firsts")
-    joined = docs.join(live, "did", "left").join(wanted, "did", "left").join(firsts, "did", "left").select("did", "text", *carried, "tiles", "wanted", "firsts")
+    joined = docs.join(live, "did", "left").join(wanted, "did", "left").join(firsts, "did", "left").select("did", "text", *travels, "tiles", "wanted", "firsts")
     types = dict(docs.dtypes)
-    kept = ["n_words long", "n_removed long", "kept_sha256 string", *(["kept_text string"] if carry is not None else []), *(f"`{c}` {types[c]}" for c in carried)]
+    kept = ["n_words long", "n_removed long", "kept_sha256 string", *(["kept_text string"] if carry is not None else []), *(f"`{c}` {types[given.get(c, c)]}" for c in carried)]
     out = joined.mapInArrow(result, ", ".join([ddl.split(", at int")[0], *kept]))
     ident = F.col("did") + F.lit(low or 0) if packs else F.when(F.col("did.id") > -(1 << 63), F.col("did.id"))
     return out.select(ident.alias(id_col), *(x.split()[0] if x[0] != "`" else x[: x.index("`", 1) + 1] for x in kept))
