@@ -46,8 +46,11 @@ def minhash(tokens: list[str]) -> np.ndarray:
     h = np.array([int.from_bytes(hashlib.sha256(t.encode()).digest()[:4], "little") for t in tokens], np.int64)
     a, b = (np.array(x, np.int64)[:, None] for x in family())
     out = np.full(PERMUTATIONS, PRIME, np.int64)
-    for k in range(0, len(h), 4096):
-        out = np.minimum(out, ((a * h[None, k : k + 4096] + b) % PRIME).min(axis=1))
+    for k in range(0, len(h), 1024):
+        x = a * h[None, k : k + 1024] + b
+        for _ in range(2):  # the prime is 2**31 - 1, so folding the upper bits twice leaves the remainder, or the prime
+            x = (x & PRIME) + (x >> 31)
+        out = np.minimum(out, np.where(x >= PRIME, x - PRIME, x).min(axis=1))
     return out
 
 
