@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import save
+from .tables import stored
 
 INTENTS = {"STANDARD": "io", "PROMO": "network", "LARGE": "database", "SMALL": "config", "ECONOMY": "util", "MEDIUM": "test"}
 KINDS = ["class", "function", "method", "async_function"]
@@ -43,15 +43,20 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted calls: a part and the next one of the same order; of each part the three most frequent.
 
-    Written as a table, as a graph store has its edges: operators read them several times.
+    The edges are stored, as a graph's are: built from the order lines once for each folder of tables and application,
+    and read from there by every query.
     """
+    return stored(spark, f"calls {sf_dir}", lambda: _calls(spark, sf_dir))
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     pairs = table(spark, sf_dir, "lineitem").select("l_partkey", F.lead("l_partkey").over(w).alias("next"))
     pairs = pairs.where("next is not null and next != l_partkey").groupBy("l_partkey", "next").agg(F.count(F.lit(1)).alias("k"))
     own = Window.partitionBy("l_partkey")
     ranked = pairs.withColumn("rn", F.row_number().over(own.orderBy(F.desc("k"), "next"))).where("rn <= 3")
     weight = F.round(0.8 * F.col("k") / F.max("k").over(own), 6)
-    return save(ranked.select(F.concat(F.lit("sym::"), "l_partkey").alias("src"), F.concat(F.lit("sym::"), "next").alias("dst"), F.lit("call").alias("kind"), weight.alias("weight")))
+    return ranked.select(F.concat(F.lit("sym::"), "l_partkey").alias("src"), F.concat(F.lit("sym::"), "next").alias("dst"), F.lit("call").alias("kind"), weight.alias("weight"))
 
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -25,3 +28,17 @@ def save(frame: DataFrame) -> DataFrame:
     path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+_STORED: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
+def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of that name, made and written the first time that the application asks for it."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STORED:
+        frame, path = make(), f"{folder(spark)}/stored-{uuid.uuid4().hex}"
+        frame.write.parquet(path)
+        _STORED[key] = (path, frame.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)

@@ -3,7 +3,6 @@
 import glob
 import math
 import os
-import sys
 
 import duckdb
 import pytest
@@ -22,27 +21,6 @@ def duck():
     return c
 
 
-@pytest.fixture(scope="module", autouse=True)
-def one_graph(spark):
-    """The call graph is made once for all queries of this module."""
-    from kelpgraph import bindings
-
-    made = {}
-    real = bindings.calls
-
-    def calls(session, sf_dir):
-        if sf_dir not in made:
-            made[sf_dir] = real(session, sf_dir)
-        return made[sf_dir]
-
-    users = [m for name, m in sys.modules.items() if name.startswith("kelpgraph.queries.") and getattr(m, "calls", None) is real]
-    for m in users:
-        m.calls = calls
-    yield
-    for m in users:
-        m.calls = real
-
-
 def plain(x):
     if isinstance(x, float):
         return "nan" if math.isnan(x) else repr(x)
