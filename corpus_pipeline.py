@@ -23,8 +23,8 @@ def _key(column: str = "doc_id") -> Column:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id. Repeated rows of one id become one."""
-    found = tables.save(near_dedup.groups(docs).where("kept").groupBy(_key().alias("key")).agg(F.count(F.lit(1)).alias("rows")))
+    """One document of each group of near-duplicates (five words, similarity of 0.8): that of the smallest id. Repeated rows of one id become one."""
+    found = tables.save(near_dedup.groups(docs, percent=80).where("kept").groupBy(_key().alias("key")).agg(F.count(F.lit(1)).alias("rows")))
     out = docs.withColumn("key", _key()).join(found.select("key"), "key", "left_semi")
     if not found.where("rows > 1").isEmpty():
         out = out.dropDuplicates(["key"])

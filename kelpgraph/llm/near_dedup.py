@@ -11,13 +11,16 @@
    buckets that it shares. What comes out are links that span a bucket's connections, never its pairs.
 5. Components of the links give the groups.
 
-A pair at the threshold of 0.85 misses all of 24 bands of 5 with a probability of 8e-7; its signatures agree in under
-0.67 of 120 slots (5.5 standard deviations below) with about 2e-8.
+Bands, rows and the least agreement follow from the threshold (`scheme`): a pair at the threshold misses all bands with
+a probability of at most 8e-7 (24 bands of 5 for 0.85, 27 of 4 for 0.8), and its signatures agree in too few slots with
+at most 2e-7, were the slots independent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +31,39 @@ from .components import components
 from .tables import drop, save
 from .tokens import U, WORDS, Block, blocks, mix
 
-BANDS, ROWS = 24, 5
-SLOTS = BANDS * ROWS
-LEAST_AGREEMENT = 0.67
+#: Slots of a signature, unless one row a band needs more; and how often a pair at the threshold may miss all bands, or
+#: agree in too few slots.
+SLOTS = 120
+MISSED, DISAGREED = 8e-7, 2e-7
 BLOCK = 256
 
 
+class Scheme(NamedTuple):
+    bands: int
+    rows: int
+    agree: int  # slots in which a candidate pair's signatures agree at least
+
+    @property
+    def slots(self) -> int:
+        return self.bands * self.rows
+
+
+def scheme(percent: int) -> Scheme:
+    """The most selective bands and agreement that miss a pair at the threshold no more often than MISSED and DISAGREED."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be over 0 and at most 100")
+    s = percent / 100
+    needed = lambda rows: 1 if s == 1 else ceil(log(MISSED) / log(1 - s**rows))
+    rows = 1
+    while rows < SLOTS and needed(rows + 1) * (rows + 1) <= SLOTS:
+        rows += 1
+    bands, agree, tail = needed(rows), 0, 0.0
+    slots = bands * rows
+    while agree < slots and (tail := tail + comb(slots, agree) * s**agree * (1 - s) ** (slots - agree)) <= DISAGREED:
+        agree += 1
+    return Scheme(bands, rows, agree)
+
+
 def shingles(block: Block, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of each distinct shingle, by document. Fewer words than width: all of them are the one shingle."""
     words = block.hashes(fold=True)
@@ -80,7 +110,7 @@ def superminhash(doc: np.ndarray, element: np.ndarray, docs: int, slots: int = S
     return out.reshape(docs, slots)
 
 
-def _signatures(width: int):  # noqa: ANN202
+def _signatures(width: int, plan: Scheme):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, limit=1 << 20):
@@ -90,11 +120,11 @@ def _signatures(width: int):  # noqa: ANN202
                 edge = np.concatenate(([0], np.cumsum(size)))
                 sums = [np.concatenate((np.zeros(1, U), np.cumsum(mix(element * U(k))))) for k in (3, 5)]
                 s1, s2 = (mix(x[edge[1:]] - x[edge[:-1]] + size.astype(U)).view(np.int64) for x in sums)
-                signature = superminhash(doc, element, docs)
-                key = np.zeros((docs, BANDS), U)
-                for row in range(ROWS):
-                    key = mix(key * U(0xC2B2AE3D27D4EB4F) + signature[:, row::ROWS] + np.arange(1, BANDS + 1, dtype=U))
-                bands = pa.ListArray.from_arrays(np.arange(docs + 1, dtype=np.int32) * BANDS, pa.array(key.ravel().view(np.int64)))
+                signature = superminhash(doc, element, docs, plan.slots)
+                key = np.zeros((docs, plan.bands), U)
+                for row in range(plan.rows):
+                    key = mix(key * U(0xC2B2AE3D27D4EB4F) + signature[:, row :: plan.rows] + np.arange(1, plan.bands + 1, dtype=U))
+                bands = pa.ListArray.from_arrays(np.arange(docs + 1, dtype=np.int32) * plan.bands, pa.array(key.ravel().view(np.int64)))
                 short = np.ascontiguousarray((signature & U(0xFFFF)).astype(np.uint16))
                 ids = batch.column("did").slice(block.rows.start, docs)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(s1), pa.array(s2), bands, pa.array([x.tobytes() for x in short], pa.binary())], names=["did", "n", "s1", "s2", "bands", "signature"])
@@ -122,7 +152,7 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[p
         yield rest
 
 
-def _links(width: int, percent: int):  # noqa: ANN202
+def _links(width: int, percent: int, plan: Scheme):  # noqa: ANN202
     """Links (u, v) that are confirmed on the full sets and span what they connect within each bucket."""
 
     def candidates(column: dict[str, np.ndarray], sig: np.ndarray, bands: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,9 +160,9 @@ def _links(width: int, percent: int):  # noqa: ANN202
         of the least key that they share (of buckets with the same members it is the least that was kept, too)."""
         sig, bands, n, side = sig[a:b], bands[a:b], column["n"][a:b], column["side"][a:b]
         agree = np.zeros((b - a, b - a), np.int16)
-        for slot in range(SLOTS):
+        for slot in range(plan.slots):
             agree += sig[:, slot, None] == sig[None, :, slot]
-        fits = np.triu(agree >= LEAST_AGREEMENT * SLOTS, 1)
+        fits = np.triu(agree >= plan.agree, 1)
         if column["i"][a] != column["j"][a]:
             fits &= side[:, None] != side[None, :]
         x, y = np.nonzero(fits)
@@ -144,14 +174,14 @@ def _links(width: int, percent: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, ["key", "i", "j"]):
             column = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "rep", "n", "side")}
-            sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
-            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, plan.slots)
+            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, plan.bands)
             new = np.ones(table.num_rows, bool)
             new[1:] = np.any([column[c][1:] != column[c][:-1] for c in ("key", "i", "j")], axis=0)
             start = np.append(np.flatnonzero(new), table.num_rows)
             size = np.diff(start)
             two = start[:-1][size == 2]  # most buckets: dropped or not all at once
-            two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= LEAST_AGREEMENT * SLOTS]
+            two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= plan.agree]
             found = [candidates(column, sig, bands, a, b) for a, b in sorted([(a, a + 2) for a in two.tolist()] + [(a, b) for a, b, k in zip(start[:-1].tolist(), start[1:].tolist(), size.tolist(), strict=True) if k > 2])]
             u, v = [], []
             up: dict[int, int] = {}
@@ -193,9 +223,10 @@ def groups(documents: DataFrame, *, width: int = 5, percent: int = 85, id_col: s
     wordless text has no shingles and no links, even to another such. Rows of one id have the group of the smallest of
     their classes. A null id counts as the smallest, and its component_id is null where a null id is in the group.
     """
+    plan = scheme(percent)
     docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did"), F.col(text_col).cast("string").alias("text"))
     schema = "did long, n long, s1 long, s2 long, bands array<bigint>, signature binary"
-    signed = save(docs.mapInArrow(_signatures(width), schema))
+    signed = save(docs.mapInArrow(_signatures(width, plan), schema))
     classes = save(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("did").alias("rep")))
     unique = signed.where("n > 0").join(classes, ["s1", "s2"]).where("did = rep").dropDuplicates(["s1", "s2"]).select("rep", "s1", "n", "bands", "signature")
     unique = save(unique)
@@ -213,7 +244,7 @@ def groups(documents: DataFrame, *, width: int = 5, percent: int = 85, id_col: s
     rows = rows.withColumn("side", F.pmod(F.xxhash64("rep", "s1"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "rep", "n", "side", "bands", "signature", "text")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    labels = components(rows.mapInArrow(_links(width, percent), "u long, v long"))
+    labels = components(rows.mapInArrow(_links(width, percent, plan), "u long, v long"))
     named = save(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("comp")))
     rows = save(signed.select("did", "n", "s1", "s2"))
     drop(signed, classes, unique, members, texts, labels)
