@@ -23,12 +23,17 @@ def _key(column: str = "doc_id") -> Column:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity of 0.8): that of the smallest id. Repeated rows of one id become one."""
-    found = tables.save(near_dedup.groups(docs, percent=80).where("kept").groupBy(_key().alias("key")).agg(F.count(F.lit(1)).alias("rows")))
-    out = docs.withColumn("key", _key()).join(found.select("key"), "key", "left_semi")
-    if not found.where("rows > 1").isEmpty():
-        out = out.dropDuplicates(["key"])
-    return out.select(COLUMNS)
+    """One document of each group of near-duplicates (five words, similarity of 0.8): that of the smallest id, no id
+    first. A document is an id and a text: other texts of an id, or without one, are others; rows that repeat both become one.
+    """
+    docs = docs.withColumn("key", _key()).withColumn("node", F.xxhash64("key", "text"))
+    named = tables.save(docs.groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("rows")))
+    found = near_dedup.groups(docs.select("node", "text"), percent=80, id_col="node").select("node", "component_id").distinct()
+    least = F.min(F.struct("key", "node", "rows")).alias("m")
+    kept = tables.save(found.join(named, "node").groupBy("component_id").agg(least).select("m.node", "m.rows"))
+    if not kept.where("rows > 1").isEmpty():
+        docs = docs.dropDuplicates(["node"])
+    return docs.join(kept.select("node"), "node", "left_semi").select(COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
