@@ -115,21 +115,22 @@ def choose(labelled: DataFrame, number: tuple[int, int], features: int) -> np.nd
     return np.array(sorted(r.cell for r in best.collect()), np.int64)
 
 
-def counterfactuals(feature: np.ndarray, value: np.ndarray, kinds: list[list[np.ndarray]], features: int) -> np.ndarray:
-    """Changes of feature values, a row for each document, identity term in it and term put in its place."""
-    out = []
+def counterfactuals(feature: np.ndarray, value: np.ndarray, kinds: list[list[np.ndarray]], features: int) -> tuple[np.ndarray, int]:
+    """The sum of the outer products of all changes of feature values, one for each document, identity term in it and
+    term put in its place, and their number. Changes of one swap are multiples of one vector."""
+    gram, number = np.zeros((features, features)), 0
     for terms in kinds:
         for k, term in enumerate(terms):
             if not len(term):
                 continue
-            word = term[0]
-            for v in value[feature == word]:
-                for other in (t for j, t in enumerate(terms) if j != k and len(t)):
-                    change = np.zeros(features)
-                    change[other] += v
-                    change[term] -= v
-                    out.append(change)
-    return np.array(out[:200_000]).reshape(len(out[:200_000]), features)
+            v = value[feature == term[0]]
+            for other in (t for j, t in enumerate(terms) if j != k and len(t)):
+                change = np.zeros(features)
+                change[other] += 1
+                change[term] -= 1
+                gram += (v @ v) * np.outer(change, change)
+                number += len(v)
+    return gram, number
 
 
 def fit(n: int, label: np.ndarray, doc: np.ndarray, feature: np.ndarray, value: np.ndarray, features: int, touched: np.ndarray, gram: np.ndarray, *, steps: int = 200, swap: float = 10.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -183,8 +184,8 @@ def train(labelled: DataFrame, *, features: int = FEATURES, swap: float = 10.0)
     touched = np.unique(place)
     kinds = [[np.searchsorted(touched, np.searchsorted(cells, c)) for c in kind] for kind in terms.values()]
     inside = np.isin(feature, touched)
-    changes = counterfactuals(np.searchsorted(touched, feature[inside]), value[inside], kinds, len(touched))
-    gram = changes.T @ changes / max(1, len(changes))
+    gram, changes = counterfactuals(np.searchsorted(touched, feature[inside]), value[inside], kinds, len(touched))
+    gram /= max(1, changes)
     # margins from models that haven't seen the row place the cut
     margins = np.zeros(len(rows))
     part = np.arange(len(rows)) % 3
