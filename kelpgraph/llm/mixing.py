@@ -7,7 +7,8 @@ because the node's capacity is the sum of theirs. A level is one window over its
 
 A leaf takes whole epochs while its budget allows, then a prefix of one more, in an order seeded by epoch and document.
 The prefix isn't a running sum over the leaf: documents fall into buckets by the first bits of their place in that
-order, sums of buckets find the one where the budget ends, and only its documents are sorted.
+order, sums of buckets find the one where the budget ends, and only its documents are sorted. A leaf of n documents has
+about sqrt(n) buckets of sqrt(n) documents, so neither sorting grows with the leaf as a whole.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from .tables import save
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_BITS = 12
 
 
 def n_words(text: Column) -> Column:
@@ -108,11 +108,12 @@ def mix(documents: DataFrame, weights: Weights = PRODUCTION, *, id_col: str = "d
     rows = save(rows.where("n_tokens > 0").groupBy("doc_id", "domain", "lang", "source", "n_tokens").agg(F.count(F.lit(1)).alias("times")))
     leaf = ["domain", "lang", "source"]
     mass = F.col("n_tokens") * F.col("times")
-    plan = budgets(rows.groupBy(*leaf).agg(F.sum(mass).alias("tokens")), weights)
+    leaves = save(rows.groupBy(*leaf).agg(F.sum(mass).alias("tokens"), F.count(F.lit(1)).alias("docs")))
+    plan = budgets(leaves.drop("docs"), weights).join(leaves.select(*leaf, F.ceil(F.log2("docs") / 2).cast("int").alias("bits")), leaf)
     plan = plan.withColumn("epochs", F.expr("budget div tokens")).withColumn("want", F.col("budget") - F.col("epochs") * F.col("tokens"))
     plan = save(plan)
-    placed = rows.join(plan.select(*leaf, "epochs", "want"), leaf).withColumn("place", place(weights.seed, F.col("epochs"), F.col("doc_id")))
-    placed = placed.withColumn("bucket", F.shiftright("place", 60 - BUCKET_BITS))
+    placed = rows.join(plan.select(*leaf, "epochs", "want", "bits"), leaf).withColumn("place", place(weights.seed, F.col("epochs"), F.col("doc_id")))
+    placed = placed.withColumn("bucket", F.expr("shiftright(place, 60 - bits)"))
     sums = placed.groupBy(*leaf, "want", "bucket").agg(F.sum(mass).alias("mass"))
     reached = F.sum("mass").over(Window.partitionBy(*leaf).orderBy("bucket"))
     ends = sums.withColumn("reached", reached).where("want > 0 and reached >= want").groupBy(*leaf).agg(F.min_by(F.struct("bucket", (F.col("reached") - F.col("mass")).alias("before")), "bucket").alias("end"))

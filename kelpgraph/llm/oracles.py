@@ -19,8 +19,8 @@ def substring_dedup(width: int = 20) -> str:
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM words LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
-def quality_rules(least: int = 8, covered: float = 0.5, longest: int = 150) -> str:
-    """Counts from windows; a repeat of over `longest` words is a window of so many and one that occurs twice."""
+def quality_rules(least: int = 8, covered: float = 0.3, longest: int = 150) -> str:
+    """Counts from windows. The longest repeat by doubling its length while it occurs twice and then by halving steps."""
 
     def twice(n: int) -> str:
         return f"""(SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, md5(array_to_string(w[i:i + {n - 1}], ' '))) AS n
@@ -29,15 +29,21 @@ def quality_rules(least: int = 8, covered: float = 0.5, longest: int = 150) -> s
     def span(n: int) -> str:
         return f"(SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {n})) AS p FROM {twice(n)}) GROUP BY doc_id)"
 
-    return f"""WITH {_WORDS}, lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents),
+    def repeats(n: str) -> str:
+        return f"(len(w) > {n} AND len(list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: md5(array_to_string(w[i:i + {n} - 1], ' '))))) < len(w) - {n} + 1)"
+
+    return f"""WITH RECURSIVE {_WORDS}, lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents),
+    grown AS (SELECT doc_id, w, {least}::BIGINT AS n FROM words WHERE {repeats(str(least))} UNION ALL SELECT doc_id, w, 2 * n FROM grown WHERE {repeats("2 * n")}),
+    halved AS (SELECT doc_id, w, max(n) AS n, max(n) // 2 AS step FROM grown GROUP BY doc_id, w
+        UNION ALL SELECT doc_id, w, CASE WHEN {repeats("(n + step)")} THEN n + step ELSE n END, step // 2 FROM halved WHERE step > 0),
     again AS (SELECT doc_id, (count(*) - count(DISTINCT l))::BIGINT AS n FROM lines WHERE regexp_matches(l, '{WORD}') GROUP BY doc_id),
     counts AS (SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
         len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(again.n, 0)::BIGINT AS n_dup_lines, coalesce(t.n, 0)::BIGINT AS n_repeat_words,
-        coalesce(c.n, 0)::BIGINT AS covered_words, x.doc_id IS NOT NULL AS long_repeat
+        coalesce(c.n, 0)::BIGINT AS covered_words, coalesce(x.n, 0)::BIGINT AS longest_repeat
         FROM words JOIN documents USING (doc_id) LEFT JOIN again ON again.doc_id = words.doc_id LEFT JOIN {span(3)} t ON t.doc_id = words.doc_id LEFT JOIN {span(least)} c ON c.doc_id = words.doc_id
-        LEFT JOIN (SELECT DISTINCT doc_id FROM {twice(longest + 1)}) x ON x.doc_id = words.doc_id)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= {covered} * n_words AND NOT long_repeat AS kept FROM counts"""
+        LEFT JOIN (SELECT doc_id, max(n) AS n FROM halved GROUP BY doc_id) x ON x.doc_id = words.doc_id)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= {covered} * n_words AND longest_repeat <= {longest} AS kept, covered_words, longest_repeat FROM counts"""
 
 
 def near_dedup(percent: int = 85) -> str:

@@ -119,7 +119,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def judge(
-    documents: DataFrame, *, min_repeat: int = 8, max_covered: float = 0.5, max_longest: int = 150, min_words: int = 50,
+    documents: DataFrame, *, min_repeat: int = 8, max_covered: float = 0.3, max_longest: int = 150, min_words: int = 50,
     id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
 ) -> DataFrame:
     """The counts of each document and the verdicts base_failed and kept.
@@ -128,6 +128,9 @@ def judge(
     base_failed, if repeated substrings of min_repeat words or more cover over max_covered of the words, or if the
     longest is over max_longest words. Maximal repeats may overlap themselves, as in a run of one word.
 
+    Words of a repeat of min_repeat lie in three-word windows that occur twice, so max_covered says something beside the
+    base rule only under its half.
+
     A row for each input row, in which `keep` names more columns to carry along unchanged (under their names after a
     prefix `in_`, so none can clash). A null or wordless text has all counts 0 and is not kept.
     """
@@ -150,5 +153,5 @@ def judge(
     out = rows.mapInArrow(run, schema)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     bad = (F.col("covered_words") > max_covered * F.col("n_words")) | (F.col("longest_repeat") > max_longest)
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~bad)
+    out = out.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & ~bad).alias("kept"), *COUNTS[5:], *(f"in_{c}" for c in carry))
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out

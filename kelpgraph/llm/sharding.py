@@ -1,9 +1,9 @@
 """Shards of near-equal bytes, tokens and rows.
 
 Method. Vector bin packing: groups of equal texts are vectors of bytes, tokens and rows, as shares of the whole; the
-largest first, each goes to the shard with room for its bytes whose residual capacity has the greatest dot product with it. Groups of more than
-a sixteenth of a small part of a shard are packed one by one (there is a bounded number of those); all others fall by a
-hash of their text into buckets, which are packed as such. A group that would fill a large part of a shard is split.
+largest first, each goes to the shard with room for its bytes whose residual capacity has the greatest dot product with
+it. Groups of over 1/LARGE of a shard are packed one by one (there is a bounded number of those); all others fall by a
+hash of their text into buckets, which are packed as such. A group that would fill over 1/SPLIT of a shard is split.
 
 What reaches the driver is the large groups and the buckets, of bounded number at any input; rows are only joined with
 that plan. Slots are numbered by chunks of a shard: sums of chunks give where each begins.
@@ -42,7 +42,7 @@ def assign(items: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shard(documents: DataFrame, *, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id, size (bytes of its text and 1), text_crc32, n_tokens, law (`bytes`), shard, slot and grown_shard (null).
+    """Each row's id, size (bytes of its text and 1), text_crc32, law (`bytes`), shard, slot, grown_shard (null) and n_tokens.
 
     Sizes of shards are near equal, as are their tokens and rows. Equal texts share a shard unless together they would
     fill over a quarter of one; a null text counts as an empty one, and all empty texts as equal. Repeated rows each get
@@ -62,13 +62,13 @@ def shard(documents: DataFrame, *, shards: int = 16, id_col: str = "doc_id", tex
     parts = np.where(large.most > 1 / (shards * SPLIT), np.ceil(large.most * shards * LARGE), 1).astype(np.int64)
     large = pd.DataFrame({"g": large.g, "base": BUCKETS + np.cumsum(parts) - parts, "parts": parts})
     plan = F.broadcast(spark.createDataFrame(large, "g long, base long, parts long"))
-    item = F.coalesce(F.col("base") + F.pmod(F.xxhash64("doc_id", "part", F.lit(1)), F.col("parts")), F.pmod(F.col("g"), F.lit(BUCKETS)))
-    rows = rows.join(plan, "g", "left").withColumn("item", item).drop("g", "base", "parts")
+    item = F.coalesce(F.col("base") + F.pmod(F.xxhash64("doc_id", "part", "g", F.lit(1)), F.col("parts")), F.pmod(F.col("g"), F.lit(BUCKETS)))
+    rows = rows.join(plan, "g", "left").withColumn("item", item).drop("base", "parts")
     loads = rows.groupBy("item").agg(*sums).orderBy("item").toPandas()  # at most BUCKETS and the parts of the large groups
     where = spark.createDataFrame(pd.DataFrame({"item": loads["item"], "shard": assign(loads[["bytes", "tokens", "rows"]].to_numpy(float), shards)}), "item long, shard int")
     chunks = max(16, -(-(total["rows"] or 0) // (shards * CHUNK)))
-    rows = rows.join(F.broadcast(where), "item").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "part", F.lit(2)), F.lit(chunks)))
-    rows = save(rows.drop("item"))
+    rows = rows.join(F.broadcast(where), "item").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "part", "g", F.lit(2)), F.lit(chunks)))
+    rows = save(rows.drop("item", "g"))
     counts = rows.groupBy("shard", "chunk").agg(F.sum("times").alias("number"))
     begin = F.sum("number").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("number")
     begins = counts.withColumn("begin", begin).drop("number")
@@ -76,4 +76,4 @@ def shard(documents: DataFrame, *, shards: int = 16, id_col: str = "doc_id", tex
     rows = rows.withColumn("own", own).join(begins, ["shard", "chunk"])
     first = F.col("begin") + F.col("own")
     rows = rows.withColumn("slot", F.explode(F.sequence(first, first + F.col("times") - 1)))
-    return rows.select(F.col("doc_id").alias(id_col), "size", "text_crc32", "n_tokens", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select(F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "n_tokens")

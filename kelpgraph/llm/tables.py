@@ -11,9 +11,11 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset on a single machine, as in tests."""
     found = spark.conf.get(_SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"set {_SETTING} to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kelpgraph-")
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")

@@ -52,7 +52,7 @@ def test_rules(spark):
         want = brute_rules(t)
         assert [got[i][c] for c in quality_rules.COUNTS] == want, (i, t)
         assert got[i].base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
-        assert got[i].kept == (not got[i].base_failed and want[5] <= 0.5 * want[0] and want[6] <= 150)
+        assert got[i].kept == (not got[i].base_failed and want[5] <= 0.3 * want[0] and want[6] <= 150)
     assert got[505].kept and quality_rules.judge(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
