@@ -4,6 +4,8 @@ Method. A logistic classifier over words and word beginnings. For labelled docum
 term is swapped for the others of its kind, and the squared change of the margin is penalised beside the log loss, so
 that neutral mentions of a group neither raise nor lower the score. Features are chosen by how much their document
 frequency differs between the labels, in a bounded sample of labelled documents; the identity terms always take part.
+They are told apart by 64 bits of the word, so that no other word counts as a mention. A text that mentions no group adds
+nothing to the penalty: on such texts the model is a plain logistic one.
 
 The model has a few thousand weights and goes out with the task; scoring reads each whole text once, without a shuffle.
 """
@@ -19,31 +21,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import fold, thinned
+from .sampling import distinct_sample, fold, thinned
 from .tables import save
 from .tokens import _FOLD, _T, BYTES, U, Block, blocks, mix
 
 #: Labelled documents of either label that the fit takes at most (about).
 SAMPLE = 6_000
-CELLS = 22
 FEATURES = 4_096
 PREFIXES = (4, 5, 6, 7, 8)
 CUT = 0.7
 #: Terms that are swapped for each other.
 IDENTITIES = {
-    "gender": ["woman", "women", "man", "men", "female", "male", "transgender", "nonbinary"],
-    "orientation": ["gay", "lesbian", "bisexual", "straight", "queer", "heterosexual"],
-    "religion": ["muslim", "muslims", "jewish", "jews", "christian", "christians", "hindu", "buddhist", "atheist"],
-    "origin": ["black", "white", "asian", "african", "american", "mexican", "european", "immigrant", "immigrants", "refugee", "refugees"],
-    "ability": ["disabled", "deaf", "blind", "autistic"],
-}
+    "gender": [
+        "woman", "women", "man", "men", "female", "male", "transgender", "nonbinary",
+        "frau", "frauen", "mann", "männer", "femme", "femmes", "homme", "hommes", "mujer", "mujeres", "hombre", "hombres",
+    ],
+    "orientation": [
+        "gay", "lesbian", "bisexual", "straight", "queer", "heterosexual",
+        "schwul", "lesbisch", "bisexuell", "heterosexuell", "lesbienne", "bisexuel", "hétérosexuel", "lesbiana", "homosexual",
+    ],
+    "religion": [
+        "muslim", "muslims", "jewish", "jews", "christian", "christians", "hindu", "buddhist", "atheist",
+        "muslime", "jude", "juden", "christen", "musulman", "musulmans", "juif", "juifs", "chrétien", "chrétiens", "musulmán", "musulmanes", "judío", "judíos", "cristiano", "cristianos",
+    ],
+    "origin": [
+        "black", "white", "asian", "african", "american", "mexican", "european", "immigrant", "immigrants", "refugee", "refugees",
+        "asiatisch", "afrikanisch", "amerikanisch", "einwanderer", "flüchtling", "flüchtlinge", "asiatique", "africain", "américain", "immigré", "immigrés", "réfugié", "réfugiés",
+        "asiático", "africano", "americano", "inmigrante", "inmigrantes", "refugiado", "refugiados",
+    ],
+    "ability": ["disabled", "deaf", "blind", "autistic", "behindert", "taub", "autistisch", "handicapé", "sourd", "aveugle", "discapacitado", "sordo", "ciego"],
+}
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 def occurrences(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(document, cell) of each word, folded and without marks at its ends, and of its beginnings."""
+    """(document, key) of each word, A-Z folded and without marks at its ends, and of its beginnings."""
     data = _FOLD[block.data]
     ws, we, doc = block.ws.copy(), block.we.copy(), block.wdoc
     for _ in range(3):
@@ -52,15 +66,15 @@ def occurrences(block: Block) -> tuple[np.ndarray, np.ndarray]:
     full = ws < we
     ws, we, doc = ws[full], we[full], doc[full]
     prefix = BYTES.prefix(_T[data])
-    cells, docs = [mix(BYTES.between(prefix, ws, we) + U(1))], [doc]
+    keys, docs = [mix(BYTES.between(prefix, ws, we) + U(1))], [doc]
     for size in PREFIXES:
         long = we - ws > size
-        cells.append(mix(BYTES.between(prefix, ws[long], ws[long] + size) + U(2)))
+        keys.append(mix(BYTES.between(prefix, ws[long], ws[long] + size) + U(2)))
         docs.append(doc[long])
-    return np.concatenate(docs), (np.concatenate(cells) >> U(64 - CELLS)).astype(np.int64)
+    return np.concatenate(docs), np.concatenate(keys)
 
 
-def _word_cells(word: str) -> list[int]:
+def _word_keys(word: str) -> list[int]:
     data = word.encode()
     block = Block(slice(0, 1), np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.full(1, len(data)))
     return occurrences(block)[1].tolist()
@@ -68,23 +82,26 @@ def _word_cells(word: str) -> list[int]:
 
 @dataclass
 class Model:
-    cells: np.ndarray  # of the features, in order
+    keys: np.ndarray  # of the features, in order
     weights: np.ndarray
     bias: float
 
     @cached_property
-    def place(self) -> np.ndarray:
-        """Of a cell its feature, or -1; made where it is used, so that only the cells travel."""
-        out = np.full(1 << CELLS, -1, np.int32)
-        out[self.cells] = np.arange(len(self.cells))
+    def _marked(self) -> np.ndarray:
+        """Whether a feature has these first 22 bits; made where it is used, so that only the keys travel."""
+        out = np.zeros(1 << 22, bool)
+        out[(self.keys >> U(42)).astype(np.int64)] = True
         return out
 
     def features(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, feature, value) of the features that occur; value: log of 1 + occurrences."""
-        doc, cell = occurrences(block)
-        where = self.place[cell]
-        key, times = np.unique(doc[where >= 0] * len(self.weights) + where[where >= 0], return_counts=True)
-        return key // len(self.weights), key % len(self.weights), np.log1p(times)
+        doc, key = occurrences(block)
+        some = self._marked[(key >> U(42)).astype(np.int64)]
+        doc, key = doc[some], key[some]
+        where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        same = self.keys[where] == key
+        both, times = np.unique(doc[same] * len(self.weights) + where[same], return_counts=True)
+        return both // len(self.weights), both % len(self.weights), np.log1p(times)
 
     def score(self, block: Block) -> np.ndarray:
         doc, feature, value = self.features(block)
@@ -92,27 +109,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, documents of label 0, of label 1 that have it), for each block."""
+def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, documents of label 0, of label 1 that have it), for each block."""
     for batch in batches:
         labels = batch.column("label").to_numpy()
         for block in blocks(batch, limit=1 << 23):
-            doc, cell = occurrences(block)
-            once = np.unique((doc << CELLS) | cell)
-            cell, which = once & ((1 << CELLS) - 1), labels[block.rows][once >> CELLS]
-            both = [np.bincount(cell[which == k], minlength=1 << CELLS) for k in (0, 1)]
-            some = np.flatnonzero(both[0] + both[1])
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(b[some].astype(np.int64)) for b in both)], names=["cell", "clean", "toxic"])
+            doc, key = occurrences(block)
+            order = np.lexsort((doc, key))
+            doc, key = doc[order], key[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) if len(key) else np.zeros(0, bool)
+            doc, key = doc[new], key[new]
+            lead = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            toxic = np.add.reduceat(labels[block.rows][doc], lead) if len(key) else lead
+            number = np.diff(np.append(lead, len(key)))
+            yield pa.RecordBatch.from_arrays([pa.array(key[lead].view(np.int64)), pa.array(number - toxic, pa.int64()), pa.array(toxic, pa.int64())], names=["key", "clean", "toxic"])
 
 
 def choose(labelled: DataFrame, number: tuple[int, int], features: int) -> np.ndarray:
-    """The cells whose document frequencies differ most between the labels, in standard errors (over 3)."""
-    sums = labelled.mapInArrow(_cell_counts, "cell int, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    """The keys whose document frequencies differ most between the labels, in standard errors (over 3)."""
+    sums = labelled.mapInArrow(_key_counts, "key long, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rate = {c: (F.col(c) + 0.5) / (n + 1) for c, n in zip(("clean", "toxic"), number, strict=True)}
     error = F.sqrt(rate["clean"] * (1 - rate["clean"]) / (number[0] + 1) + rate["toxic"] * (1 - rate["toxic"]) / (number[1] + 1))
     score = F.abs(rate["toxic"] - rate["clean"]) / error
-    best = sums.where("clean + toxic >= 5").select("cell", score.alias("score")).where("score > 3").orderBy(F.desc("score"), "cell").limit(features)
-    return np.array(sorted(r.cell for r in best.collect()), np.int64)
+    best = sums.where("clean + toxic >= 5").select("key", score.alias("score")).where("score > 3").orderBy(F.desc("score"), "key").limit(features)
+    return np.array([r.key for r in best.collect()], np.int64).view(U)
 
 
 def counterfactuals(feature: np.ndarray, value: np.ndarray, kinds: list[list[np.ndarray]], features: int) -> tuple[np.ndarray, int]:
@@ -160,12 +180,12 @@ def train(labelled: DataFrame, *, features: int = FEATURES, swap: float = 10.0)
     """A model of rows of text and label (0 or 1), few enough for one task's memory (see classify)."""
     seen = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not (seen.get(0) and seen.get(1)):
-        return Model(np.zeros(1, np.int64), np.zeros(1), -4.0)
+        return Model(np.zeros(1, U), np.zeros(1), -4.0)
     chosen = choose(labelled, (seen[0], seen[1]), features)
-    terms = {kind: [_word_cells(w) for w in words] for kind, words in IDENTITIES.items()}
-    always = np.array(sorted({c for kind in terms.values() for cells in kind for c in cells}))
-    cells = np.union1d(chosen, always)
-    model = Model(cells, np.zeros(len(cells)), 0.0)
+    terms = {kind: [_word_keys(w) for w in words] for kind, words in IDENTITIES.items()}
+    always = np.array(sorted({c for kind in terms.values() for keys in kind for c in keys}), U)
+    keys = np.union1d(chosen, always)
+    model = Model(keys, np.zeros(len(keys)), 0.0)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,9 +200,9 @@ def train(labelled: DataFrame, *, features: int = FEATURES, swap: float = 10.0)
     found = [np.frombuffer(r.feature, np.int32) for r in rows]
     doc = np.repeat(np.arange(len(rows)), [len(x) for x in found])
     feature, value = np.concatenate(found).astype(np.int64), np.concatenate([np.frombuffer(r.value) for r in rows])
-    place = np.searchsorted(cells, always)
+    place = np.searchsorted(keys, always)
     touched = np.unique(place)
-    kinds = [[np.searchsorted(touched, np.searchsorted(cells, c)) for c in kind] for kind in terms.values()]
+    kinds = [[np.searchsorted(touched, np.searchsorted(keys, np.array(c, U))) for c in kind] for kind in terms.values()]
     inside = np.isin(feature, touched)
     gram, changes = counterfactuals(np.searchsorted(touched, feature[inside]), value[inside], kinds, len(touched))
     gram /= max(1, changes)
@@ -193,9 +213,9 @@ def train(labelled: DataFrame, *, features: int = FEATURES, swap: float = 10.0)
         inside, mine = part[doc] != k, np.flatnonzero(part != k)
         new = np.zeros(len(rows), np.int64)
         new[mine] = np.arange(len(mine))
-        w, b = fit(len(mine), label[mine], new[doc[inside]], feature[inside], value[inside], len(cells), touched, gram, swap=swap)
+        w, b = fit(len(mine), label[mine], new[doc[inside]], feature[inside], value[inside], len(keys), touched, gram, swap=swap)
         margins[part == k] = (b + np.bincount(doc, w[feature] * value, len(rows)))[part == k]
-    w, b = fit(len(rows), label, doc, feature, value, len(cells), touched, gram, swap=swap)
+    w, b = fit(len(rows), label, doc, feature, value, len(keys), touched, gram, swap=swap)
     model.weights, model.bias = w, b - _cut(margins, label) + float(np.log(CUT / (1 - CUT)))
     return model
 
@@ -204,14 +224,15 @@ def classify(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", s
     """Each row's id, held_out, score (0 to 1) and predicted (score >= CUT).
 
     Labels count only from rows whose crc32(id as text) mod 3 is not 1, of either label about `sample` of them at most,
-    chosen by a hash of the id; held_out are the others. The score is made from the whole text alone. A null or empty
+    chosen by a hash of the id; held_out are the others. Rows that repeat teach once; texts of one id are rows each. The score is made from the whole text alone. A null or empty
     text is scored as one without words; without labels of both kinds every score is that of such a text. A null id is
     held out or not by the empty text's crc32. Rows that repeat get equal scores.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where((fold("doc_id", 3) != 1) & F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
     some = thinned(marked.where("label = 1"), sample, 1).unionByName(thinned(marked.where("label = 0"), sample, 2))
-    model = train(save(docs.join(F.broadcast(some), "doc_id").select("text", "label")))  # bounded by `sample`
+    told = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", F.xxhash64("text").alias("h"), "label").agg(F.first("text").alias("text"))  # bounded by `sample`, unless an id has many texts
+    model = train(save(distinct_sample(save(told), sample)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

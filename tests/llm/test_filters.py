@@ -113,13 +113,49 @@ def test_identity_terms_do_not_move_the_score(spark):
 
     def gap(swap):
         model = toxicity.train(df, swap=swap)
-        cells = lambda w: [int(np.searchsorted(model.cells, c)) for c in toxicity._word_cells(w)]
+        cells = lambda w: np.searchsorted(model.keys, np.array(toxicity._word_keys(w), np.uint64))
         return abs(sum(model.weights[k] for k in cells("muslim")) - sum(model.weights[k] for k in cells("christian"))), model
 
     loose, _ = gap(0.0)
     tight, model = gap(10.0)
     assert tight < 0.3 * loose
-    assert sum(model.weights[int(np.searchsorted(model.cells, c))] for c in toxicity._word_cells("vile")) > 1
+    assert sum(model.weights[np.searchsorted(model.keys, np.array(toxicity._word_keys("vile"), np.uint64))]) > 1
+
+
+def test_mentions_of_groups_have_the_same_false_positive_rate(spark):
+    """Planted mentions, in four languages: one group's term stands in most toxic rows, another's in neutral ones."""
+    rng = random.Random(9)
+    plain = [f"w{k}" for k in range(400)]
+    docs, labels, group = [], [], {}
+    for k in range(3000):
+        bad, words = k % 4 == 0, rng.sample(plain, 20)
+        term = rng.choice(["muslim", "musulman", "juden"] if rng.random() < (0.8 if bad else 0.2) else ["christian", "cristianos", "chrétien"])
+        group[k] = term in ("muslim", "musulman", "juden")
+        words += [term, term] + ([rng.choice(["vile", "scum", "nasty"])] if bad and rng.random() < 0.9 else [])
+        rng.shuffle(words)
+        docs.append((k, " ".join(words)))
+        labels.append((k, int(bad)))
+
+    def rates(swap):
+        model = toxicity.train(spark.createDataFrame([(t, y) for (k, t), (_, y) in zip(docs, labels, strict=True) if zlib.crc32(str(k).encode()) % 3 != 1], "text string, label int"), swap=swap)
+        held = [(k, t, y) for (k, t), (_, y) in zip(docs, labels, strict=True) if zlib.crc32(str(k).encode()) % 3 == 1]
+        data = [t.encode() for _, t, _ in held]
+        import pyarrow as pa
+        from kelpgraph.llm.tokens import blocks
+
+        score = np.concatenate([model.score(b) for b in blocks(pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], names=["text"]))])
+        neutral = np.array([y == 0 for _, _, y in held])
+        mine = np.array([group[k] for k, _, _ in held])
+        return [score[neutral & (mine == g)].mean() for g in (True, False)], (score[~neutral] >= 0.7).mean()
+
+    (with_, without), _ = rates(0.0)
+    (near, far), recall = rates(10.0)
+    assert with_ - without > 0.05 and abs(near - far) < 0.3 * (with_ - without) and recall > 0.8
+
+
+def test_only_the_term_itself_is_a_mention():
+    terms = {c for words in toxicity.IDENTITIES.values() for w in words for c in toxicity._word_keys(w)[:1]}
+    assert not {c for w in ("rradorr", "rradoez", "blackish") for c in toxicity._word_keys(w)} & terms
 
 
 def test_languages_on_held_out_rows(spark):
