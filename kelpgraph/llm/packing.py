@@ -1,12 +1,14 @@
 """Packing of documents into sequences of several permitted lengths.
 
 Method. Variable-capacity best-fit. Documents longer than the largest length are cut into pieces of it. Pieces go, the
-longest first, into the open bin with the least room that takes them; if none does, the bin size is opened whose cost
-for each token that it can be expected to hold (the piece and what is left to place, up to the size) is least, so the
-lengths are chosen jointly with what will fill them. At the end each bin shrinks to the shortest length for its contents.
+longest first, into the open bin with the least room that takes them. If none does, each permitted size is tried on the
+pieces that are left: the longest that fits goes in, again and again; the size is opened whose cost, once shrunk to these
+contents, is least for each of their tokens. So the lengths are chosen jointly with what can fill them. At the end each
+bin shrinks to the shortest length for its contents.
 
 Documents are dealt by a hash into groups of a bounded number of tokens, each packed by itself: a group is a few million
-tokens, so what groups lose at their ends is a bin or so for thousands. Only ids and lengths are shuffled.
+tokens, so what groups lose at their ends is a bin or so for thousands. Only ids and lengths are shuffled; copies of one
+document are dealt in items of a bounded number of tokens.
 """
 
 from __future__ import annotations
@@ -35,8 +37,19 @@ class Lengths:
 
 
 PRODUCTION = Lengths()
-#: Repeated rows of one document are packed so many to an item of the shuffle.
-COPIES = 256
+#: Repeated rows of one document are packed so many to an item of the shuffle, or fewer: up to 1/ITEMS of a group's tokens.
+COPIES, ITEMS = 256, 16
+
+
+def filled(size: int, room: int, number: list[int], mask: int) -> int:
+    """Tokens of a bin that starts with `size` of them: of the pieces left (number by length; mask: the lengths there are)
+    the longest that fits is added until none does."""
+    left = room - size
+    while left and (fits := mask & ((1 << left + 1) - 1)):
+        length = fits.bit_length() - 1
+        left -= min(number[length], left // length) * length
+        mask &= ~(1 << length)
+    return room - left
 
 
 def best_fit(pieces: list[int], lengths: Lengths) -> tuple[list[int], list[int], list[int]]:
@@ -44,8 +57,15 @@ def best_fit(pieces: list[int], lengths: Lengths) -> tuple[list[int], list[int],
     sizes = sorted(lengths.sizes)
     rooms: list[list[int]] = [[] for _ in range(sizes[-1] + 1)]
     mask = 0  # bit r: some open bin has r tokens of room
-    bins, places, used, left = [], [], [], sum(pieces)
+    number, there = [0] * (sizes[-1] + 1), 0  # of the pieces left; bit n: some have length n
+    for size in pieces:
+        number[size] += 1
+        there |= 1 << size
+    bins, places, used = [], [], []
     for size in pieces:
+        number[size] -= 1
+        if not number[size]:
+            there &= ~(1 << size)
         above = mask >> size
         if above:
             room = size + (above & -above).bit_length() - 1
@@ -53,13 +73,17 @@ def best_fit(pieces: list[int], lengths: Lengths) -> tuple[list[int], list[int],
             if not rooms[room]:
                 mask &= ~(1 << room)
         else:
-            room = min((s for s in sizes if s >= size), key=lambda s: lengths.cost(s) / min(s, left))
+            tried = []
+            for s in sizes:
+                if s >= size:
+                    held = filled(size, s, number, there)
+                    tried.append((lengths.cost(next(x for x in sizes if x >= held)) / held, s))
+            room = min(tried)[1]
             at = len(used)
             used.append(0)
         bins.append(at)
         places.append(used[at])
         used[at] += size
-        left -= size
         if room > size:
             rooms[room - size].append(at)
             mask |= 1 << room - size
@@ -77,9 +101,10 @@ def pack(documents: DataFrame, lengths: Lengths = PRODUCTION, *, id_col: str = "
     rows = save(rows.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("times")))
     total = rows.agg(F.sum(F.col("n") * F.col("times"))).first()[0] or 0
     groups = max(1, -(-total // lengths.group_tokens))
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {COPIES}"))))
-    rows = rows.withColumn("count", F.least(F.lit(COPIES), F.col("times") - F.col("chunk") * COPIES))
-    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "chunk"), F.lit(groups)).cast("int"))
+    rows = rows.withColumn("item", F.greatest(F.lit(1), F.least(F.lit(COPIES), F.expr(f"{lengths.group_tokens // ITEMS} div greatest(n, 1)"))).cast("long"))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.col("item"))))
+    rows = rows.withColumn("count", F.least(F.col("item"), F.col("times") - F.col("chunk")))
+    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "n", "chunk"), F.lit(groups)).cast("int"))
     largest = max(lengths.sizes)
     columns = ["doc_id", "copy", "piece", "start", "n_tokens", "pack_group", "bin", "place", "bin_tokens", "bin_length"]
 
@@ -87,7 +112,7 @@ def pack(documents: DataFrame, lengths: Lengths = PRODUCTION, *, id_col: str = "
         frame = frame.assign(doc_id=frame.doc_id.astype("Int64")).sort_values(["doc_id", "n", "chunk"], na_position="first")
         items = []
         for row, (n, chunk, count) in enumerate(zip(frame.n, frame.chunk, frame["count"], strict=True)):
-            for copy in range(chunk * COPIES, chunk * COPIES + count):
+            for copy in range(chunk, chunk + count):
                 items += [(min(largest, n - s), row, copy, s // largest, s) for s in range(0, n, largest)]
         items.sort(key=lambda x: (-x[0], x[1:]))
         bins, places, final = best_fit([x[0] for x in items], lengths)
@@ -100,7 +125,7 @@ def pack(documents: DataFrame, lengths: Lengths = PRODUCTION, *, id_col: str = "
         return out[columns]
 
     packed = rows.where("n > 0").select("doc_id", "n", "chunk", "count", "pack_group").groupBy("pack_group").applyInPandas(run, "doc_id long, copy long, piece long, start long, n_tokens long, pack_group int, bin long, place long, bin_tokens long, bin_length long")
-    none = rows.where("n = 0").withColumn("copy", F.explode(F.sequence(F.col("chunk") * COPIES, F.col("chunk") * COPIES + F.col("count") - 1)))
+    none = rows.where("n = 0").withColumn("copy", F.explode(F.sequence(F.col("chunk"), F.col("chunk") + F.col("count") - 1)))
     empty = {"piece": F.lit(0).cast("long"), "start": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long")} | {c: F.lit(None).cast("long") for c in ("bin", "place", "bin_tokens", "bin_length")}
     none = none.withColumns(empty).withColumn("pack_group", F.lit(None).cast("int"))
     out = packed.unionByName(none.select(*columns))

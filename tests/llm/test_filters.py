@@ -86,6 +86,28 @@ def test_quality_on_held_out_rows(spark):
     score, predicted, label = held_out(spark, scored, "quality")
     assert auc(score, label) > 0.95
     assert (predicted[label == 1] == 1).mean() > 0.95
+    assert (predicted[label == 0] == 0).mean() > 0.75  # 14 documents
+
+
+def test_prior_and_cut_of_known_masses():
+    cells = np.arange(quality_classifier.CELLS)
+    bell = lambda at: np.exp(-(((cells - at) / 60.0) ** 2)) * 1e6
+    trusted, bad = bell(1400), bell(800)
+    others = 0.8 * trusted + 0.2 * bad
+    prior = quality_classifier.prior_of(trusted, others)
+    cut = quality_classifier.cut_of(trusted, others, prior)
+    assert abs(prior - 0.8) < 0.01
+    assert 900 < (cut + quality_classifier.GRID) * quality_classifier.CELLS / (2 * quality_classifier.GRID) < 1300
+
+
+def test_quality_of_ids_with_many_texts_and_null_ids(spark):
+    good, bad = "A quiet line of prose, with some words. " * 20, "### $$$ BUY!!! " * 40
+    rows = [(k, good + str(k)) for k in range(60)] + [(7, f"{good} {k}") for k in range(30)] + [(None, bad)] * 20 + [(1000 + k, bad + str(k)) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(40)] + [(None, 1)], "doc_id long, quality int")
+    out = quality_classifier.classify(docs, labels).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
+    assert len({r.score for r in out if r.doc_id is None}) == 1
 
 
 def test_toxicity_on_held_out_rows(spark):

@@ -89,6 +89,79 @@ def test_best_fit_takes_the_least_room():
     assert sum(final) <= 36
 
 
+def plain_best_fit(pieces, sizes, cost):
+    """The same rule, step by step: for each opened bin every size is filled from the list of what is left."""
+    rooms, used, bins, opened = [], [], [], []
+    for k, size in enumerate(pieces):
+        open_ = [b for b in range(len(used)) if rooms[b] - used[b] >= size]
+        if open_:
+            least = min(rooms[b] - used[b] for b in open_)
+            at = [b for b in open_ if rooms[b] - used[b] == least]
+            bins.append(at)
+            at = at[0]
+        else:
+            best = None
+            for s in (s for s in sizes if s >= size):
+                held = size
+                for other in sorted(pieces[k + 1 :], reverse=True):
+                    held += other if held + other <= s else 0
+                rate = cost(min(x for x in sizes if x >= held)) / held
+                best = min(best or (rate, s), (rate, s))
+            at = len(used)
+            rooms.append(best[1])
+            opened.append(best[1])
+            used.append(0)
+            bins.append([at])
+        used[at] += size
+    return [min(x for x in sizes if x >= u) for u in used], opened
+
+
+def least_cost(pieces, sizes, cost):
+    """The least cost of any packing."""
+    from functools import lru_cache
+
+    def parts(rest):
+        if not rest:
+            yield []
+            return
+        for mask in range(1 << len(rest) - 1):
+            mine = [rest[0]] + [x for k, x in enumerate(rest[1:]) if mask >> k & 1]
+            if sum(mine) <= sizes[-1]:
+                for others in parts([x for k, x in enumerate(rest[1:]) if not mask >> k & 1]):
+                    yield [sum(mine), *others]
+
+    price = lru_cache(None)(lambda u: cost(min(s for s in sizes if s >= u)))
+    return min(sum(price(u) for u in p) for p in parts(list(pieces)))
+
+
+def test_best_fit_against_the_plain_rule_and_the_optimum():
+    rng = random.Random(8)
+    lengths = packing.Lengths(sizes=(8, 16, 32), fixed=2.0, attention=64.0)
+    ratios, opened = [], set()
+    for _ in range(60):
+        pieces = sorted((rng.choice([1, 2, 3, 5, 7, 9, 13, 20, 31]) for _ in range(rng.randrange(1, 9))), reverse=True)
+        final, sizes = plain_best_fit(pieces, lengths.sizes, lengths.cost)
+        opened |= set(sizes)
+        assert sorted(packing.best_fit(pieces, lengths)[2]) == sorted(final), pieces
+        ratios.append(sum(map(lengths.cost, final)) / least_cost(pieces, lengths.sizes, lengths.cost))
+    assert min(ratios) >= 1 and np.mean(ratios) < 1.05 and max(ratios) < 1.5
+    assert opened == {8, 16, 32}
+
+
+def test_the_opened_size_depends_on_what_is_left():
+    lengths = packing.Lengths(sizes=(10, 20), fixed=1, attention=1e9)
+    assert packing.best_fit([9, 9, 2], lengths)[2] == [20]
+    assert packing.best_fit([9, 9], lengths)[2] == [10, 10] or sum(packing.best_fit([9, 9], lengths)[2]) == 20
+
+
+def test_packing_deals_null_ids_and_long_copies(spark):
+    lengths = packing.Lengths(sizes=(8, 16, 32), group_tokens=400)
+    rows = [(None, "w " * (k + 1)) for k in range(100)] + [(5, "q " * 90)] * 40
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), lengths).toPandas()
+    assert out.n_tokens.sum() == sum(len(t.split()) for _, t in rows)
+    assert out.groupby("pack_group").n_tokens.sum().max() < 4 * 400
+
+
 def check_shards(out, rows, shards=16):
     assert len(out) == len(rows)
     for _, s in out.groupby("shard"):
