@@ -208,11 +208,41 @@ def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES", 7)
     monkeypatch.setattr(topk, "BLOCK", 16)
     assert sorted(map(key, topk.top_k(df.unionByName(df.limit(100))).collect())) == want
+    monkeypatch.setattr(topk, "PAGE", 3)
+    assert sorted(map(key, topk.top_k(df).collect())) == want
     huge = spark.createDataFrame([(50 * i, [1e6 * (i + 1), 3.0]) for i in range(8)], "vec_id long, embedding array<double>")
     assert sorted(map(key, topk.top_k(huge).collect())) == brute_top([(50 * i, [1e6 * (i + 1), 3.0]) for i in range(8)])
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_sends_queries_only_to_chunks_that_can_win(spark, monkeypatch):
+    """Vectors in clusters by id: most pairs of a query and a chunk must not be searched."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(20, 16)) * 4
+    rows = [(i, (centers[i // 100] + rng.normal(size=16) * 0.05).tolist()) for i in range(2000)]
+    monkeypatch.setattr(topk, "CHUNK", 100)
+    monkeypatch.setattr(topk, "QUERIES", 10)
+    monkeypatch.setattr(topk, "PAGE", 7)
+    scored, seen = topk._scored, spark.sparkContext.accumulator(0)
+
+    def counting(k):
+        run = scored(k)
+
+        def counted(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    seen.add(len(row["places"]))
+                yield from run(iter([batch]))
+
+        return counted
+
+    monkeypatch.setattr(topk, "_scored", counting)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df.withColumn("part", F.lit("x")).withColumn("chunk", F.lit(1))).collect()]
+    assert sorted(got) == brute_top(rows)
+    assert 40 <= seen.value < 0.25 * 40 * 20
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
