@@ -4,11 +4,14 @@
    permutation of 0..m-1 plus a fraction, so an element with rank i in a slot has other ranks elsewhere (correlated,
    which lowers the variance). Ranks are dealt level by level; a document stops as soon as all its slots are filled.
 2. Documents of one set are one class; only its smallest id goes on.
-3. Bands of the signature are buckets. Buckets with the same members count once; large ones are split into pairs of
-   blocks, so no task holds more than two blocks of documents.
-4. Within a bucket, pairs whose signatures agree too little to reach the threshold are dropped. The others are confirmed
-   on the full sets, those of most agreement first, unless links already confirmed connect them, and each in one of the
-   buckets that it shares. What comes out are links that span a bucket's connections, never its pairs.
+3. Bands of the signature are buckets; buckets with the same members count once. In a bucket of up to BLOCK classes, pairs
+   whose signatures agree too little to reach the threshold are dropped. The others are confirmed on the full sets, those
+   of most agreement first, unless links already confirmed connect them, and each in one of the buckets that it shares.
+   What comes out are links that span a bucket's connections, never its pairs.
+4. A larger bucket first has stars: a member is compared with all others, which sends each text once; then one of those
+   not yet connected, STARS times. Members that links found so far connect need no comparison. What is outside of the
+   bucket's largest connected part is compared with all of it in pairs of blocks: by signatures alone, and only members
+   of pairs that agree enough send their texts to be confirmed.
 5. Components of the links give the groups.
 
 Bands, rows and the least agreement follow from the threshold (`scheme`): a pair at the threshold misses all bands with
@@ -35,7 +38,7 @@ from .tokens import U, WORDS, Block, blocks, mix
 #: agree in too few slots.
 SLOTS = 120
 MISSED, DISAGREED = 8e-7, 2e-7
-BLOCK = 256
+BLOCK, STARS = 256, 3
 
 
 class Scheme(NamedTuple):
@@ -152,37 +155,61 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[p
         yield rest
 
 
-def _links(width: int, percent: int, plan: Scheme):  # noqa: ANN202
-    """Links (u, v) that are confirmed on the full sets and span what they connect within each bucket."""
-
-    def candidates(column: dict[str, np.ndarray], sig: np.ndarray, bands: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of rows of one bucket that can be linked, and their agreement. A pair counts in one bucket alone: that
-        of the least key that they share (of buckets with the same members it is the least that was kept, too)."""
-        sig, bands, n, side = sig[a:b], bands[a:b], column["n"][a:b], column["side"][a:b]
-        agree = np.zeros((b - a, b - a), np.int16)
+#: What a group of rows is: a whole bucket, a block of one with the center of a star (side 1), or two blocks of one.
+WHOLE, STAR, BLOCKS = 0, 1, 2
+
+
+def _candidates(table: pa.Table, percent: int, plan: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows that can be linked, for each group of key, i and j, and in how many slots they agree. In buckets and
+    blocks a pair counts in one bucket alone: that of the least key that it shares (of buckets with the same members the
+    least was kept, too)."""
+    column = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "kind", "n", "side", "label")}
+    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, plan.slots)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, plan.bands)
+    new = np.ones(table.num_rows, bool)
+    new[1:] = np.any([column[c][1:] != column[c][:-1] for c in ("key", "i", "j")], axis=0)
+    start = np.append(np.flatnonzero(new), table.num_rows)
+    size = np.diff(start)
+    two = start[:-1][size == 2]  # most buckets: dropped or not all at once
+    two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= plan.agree]
+    for a, b in sorted([(a, a + 2) for a in two.tolist()] + [(a, b) for a, b, k in zip(start[:-1].tolist(), start[1:].tolist(), size.tolist(), strict=True) if k > 2]):
+        n, kind = column["n"], column["kind"][a]
+        # the rows of one side against those of the other, or all against all
+        one = np.arange(a, b) if kind == WHOLE else a + np.flatnonzero(column["side"][a:b] == 1)
+        other = one if kind == WHOLE else a + np.flatnonzero(column["side"][a:b] == 0)
+        agree = np.zeros((len(one), len(other)), np.int16)
         for slot in range(plan.slots):
-            agree += sig[:, slot, None] == sig[None, :, slot]
-        fits = np.triu(agree >= plan.agree, 1)
-        if column["i"][a] != column["j"][a]:
-            fits &= side[:, None] != side[None, :]
+            agree += sig[one, slot][:, None] == sig[other, slot][None, :]
+        fits = agree >= plan.agree
+        fits &= np.arange(len(one))[:, None] < np.arange(len(other))[None, :] if kind == WHOLE else column["label"][one][:, None] != column["label"][other][None, :]
         x, y = np.nonzero(fits)
-        shared = np.where(bands[x] == bands[y], bands[x], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
-        good = (shared == column["key"][a]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-        x, y = x[good], y[good]
-        return x + a, y + a, agree[x, y]
+        found, x, y = agree[x, y], one[x], other[y]
+        good = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        if kind != STAR:
+            shared = np.where(bands[x] == bands[y], bands[x], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+            good &= shared == column["key"][a]
+        if good.any():
+            yield x[good], y[good], found[good]
+
+
+def _taking_part(percent: int, plan: Scheme):  # noqa: ANN202
+    """The rows that are in any pair that can be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, ["key", "i", "j"]):
-            column = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "rep", "n", "side")}
-            sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, plan.slots)
-            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, plan.bands)
-            new = np.ones(table.num_rows, bool)
-            new[1:] = np.any([column[c][1:] != column[c][:-1] for c in ("key", "i", "j")], axis=0)
-            start = np.append(np.flatnonzero(new), table.num_rows)
-            size = np.diff(start)
-            two = start[:-1][size == 2]  # most buckets: dropped or not all at once
-            two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= plan.agree]
-            found = [candidates(column, sig, bands, a, b) for a, b in sorted([(a, a + 2) for a in two.tolist()] + [(a, b) for a, b, k in zip(start[:-1].tolist(), start[1:].tolist(), size.tolist(), strict=True) if k > 2])]
+            some = [np.union1d(x, y) for x, y, _ in _candidates(table, percent, plan)]
+            rows = table.select(["key", "i", "j", "kind", "rep", "s1", "side", "label"]).take(pa.array(np.concatenate([*some, np.zeros(0, np.int64)]).astype(np.int64)))
+            yield from rows.combine_chunks().to_batches()
+
+    return run
+
+
+def _links(width: int, percent: int, plan: Scheme):  # noqa: ANN202
+    """Links (u, v) that are confirmed on the full sets and span what they connect within each group of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, ["key", "i", "j"]):
+            rep, label = table.column("rep").to_numpy(), table.column("label").to_numpy()
             u, v = [], []
             up: dict[int, int] = {}
 
@@ -192,9 +219,7 @@ def _links(width: int, percent: int, plan: Scheme):  # noqa: ANN202
                     x = y
                 return x
 
-            for x, y, agree in found:
-                if not len(x):
-                    continue
+            for x, y, agree in _candidates(table, percent, plan):
                 need = np.unique(np.concatenate((x, y)))
                 rows = table.select(["text"]).take(pa.array(need)).combine_chunks().to_batches()[0]
                 block = next(blocks(rows, limit=1 << 62))
@@ -202,20 +227,73 @@ def _links(width: int, percent: int, plan: Scheme):  # noqa: ANN202
                 edge = np.searchsorted(doc, np.arange(len(need) + 1))
                 order = np.argsort(-agree, kind="stable")
                 for c, d in zip(x[order].tolist(), y[order].tolist(), strict=True):
-                    if root(c) == root(d):
+                    if root(label[c]) == root(label[d]):
                         continue
                     k, m = np.searchsorted(need, (c, d))
                     p, q = element[edge[k] : edge[k + 1]], element[edge[m] : edge[m + 1]]
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     if 100 * both >= percent * (len(p) + len(q) - both):
-                        up[root(c)] = root(d)
-                        u.append(column["rep"][c])
-                        v.append(column["rep"][d])
+                        up[root(label[c])] = root(label[d])
+                        u.append(rep[c])
+                        v.append(rep[d])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
+_ROW = ["key", "i", "j", "kind", "rep", "s1", "side", "label"]
+_DDL = "key long, i int, j int, kind int, rep long, s1 long, side int, label long"
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Groups of rows in one task each, in order."""
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep", "s1")
+
+
+def _large(members: DataFrame, unique: DataFrame, confirmed, percent: int, plan: Scheme) -> list[DataFrame]:  # noqa: ANN001
+    """Links of buckets of over BLOCK classes (rows of key, size, rep, s1). confirmed: links of rows of _ROW."""
+    links: list[DataFrame] = []
+    number = lambda x: F.lit(x).cast("int")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    place = F.xxhash64("rep", "s1", F.lit(len(links)))
+    labelled = members.withColumn("label", F.col("rep"))
+    for turn in range(STARS):
+        sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(place.alias("h"), "rep", "s1")).alias("m"))
+        largest = F.max_by("label", F.struct("rows", "label")).alias("largest")
+        # the star's center: any member of the second largest connected part, of the only one at first
+        centers = sizes.join(sizes.groupBy("key").agg(largest), "key").where(F.lit(turn == 0) | (F.col("label") != F.col("largest"))).groupBy("key").agg(F.max_by(F.struct("m.rep", "m.s1", "label"), F.struct("rows", "label")).alias("c"))
+        centers = save(centers.select("key", "c.rep", "c.s1", "c.label"))
+        if centers.isEmpty():
+            drop(centers)
+            break
+        open_ = labelled.join(centers.select("key", F.col("rep").alias("c_rep"), F.col("s1").alias("c_s1")), "key").withColumn("part", F.pmod(F.xxhash64("rep", "s1"), parts).cast("int"))
+        mine = open_.where((F.col("rep") != F.col("c_rep")) | (F.col("s1") != F.col("c_s1"))).select("key", F.col("part").alias("i"), number(-1).alias("j"), number(STAR).alias("kind"), "rep", "s1", number(0).alias("side"), "label")
+        sizes = members.select("key", "size").distinct()
+        own = centers.join(sizes, "key").withColumn("i", F.explode(F.sequence(F.lit(0), parts - 1))).select("key", "i", number(-1).alias("j"), number(STAR).alias("kind"), "rep", "s1", number(1).alias("side"), "label")
+        links.append(save(confirmed(mine.unionByName(own))))
+        drop(centers)
+        known = components(_union(links))
+        labelled = save(members.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("key", "size", "rep", "s1", F.coalesce("component", "rep").alias("label")))
+        drop(known)
+    largest = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"), (F.sum("rows") - F.max("rows")).alias("rest"))
+    told = labelled.join(largest.where("rest > 0"), "key")
+    blocks_ = F.ceil(F.col("rest") / BLOCK).cast("int")
+    at = lambda n: F.pmod(F.xxhash64("rep", "s1"), n).cast("int")
+    rest = told.where("label != largest").select("key", at(blocks_).alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"), number(BLOCKS).alias("kind"), "rep", "s1", number(1).alias("side"), "label")
+    whole = told.select("key", F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("i"), at(parts).alias("j"), number(BLOCKS).alias("kind"), "rep", "s1", number(0).alias("side"), "label")
+    pairs = rest.unionByName(whole).join(unique.select("rep", "s1", "n", "bands", "signature"), ["rep", "s1"])
+    some = _dealt(pairs.select(*_ROW, "n", "bands", "signature")).mapInArrow(_taking_part(percent, plan), _DDL).distinct()
+    links.append(save(confirmed(some)))
+    return links
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
 def groups(documents: DataFrame, *, width: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's id, n_shingles, component_id and kept: the smallest id reachable by links, and whether it is the row's own.
 
@@ -239,15 +317,19 @@ def groups(documents: DataFrame, *, width: int = 5, percent: int = 85, id_col: s
     # always by a shuffle of both: how many ids there are grows with the input
     ends = members.select(F.col("rep").alias("did")).distinct().hint("merge")
     texts = save(docs.join(ends, "did").select(F.col("did").alias("rep"), F.xxhash64("text").alias("h"), "text").dropDuplicates(["rep", "h"]).drop("h"))
-    rows = members.join(unique.select("rep", "s1", "n", "bands", "signature"), ["rep", "s1"]).join(texts, "rep")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("rep", "s1"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "rep", "n", "side", "bands", "signature", "text")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    labels = components(rows.mapInArrow(_links(width, percent, plan), "u long, v long"))
+    def confirmed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(unique.select("rep", "s1", "n", "bands", "signature"), ["rep", "s1"]).join(texts, "rep")
+        return _dealt(rows.select(*_ROW, "n", "bands", "signature", "text")).mapInArrow(_links(width, percent, plan), "u long, v long")
+
+    zero = F.lit(0)
+    links = [confirmed(members.where(F.col("size") <= BLOCK).select("key", zero.alias("i"), zero.alias("j"), F.lit(WHOLE).alias("kind"), "rep", "s1", zero.alias("side"), F.col("rep").alias("label")))]
+    large = members.where(F.col("size") > BLOCK)
+    if not large.isEmpty():
+        links += _large(large, unique, confirmed, percent, plan)
+    labels = components(_union(links))
     named = save(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("comp")))
     rows = save(signed.select("did", "n", "s1", "s2"))
-    drop(signed, classes, unique, members, texts, labels)
+    drop(signed, classes, unique, members, texts, labels, *links[1:])
     out = rows.join(named, ["s1", "s2"], "left")
     comp = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("did"))
     ident = lambda c: F.when(c > -(1 << 63), c)
