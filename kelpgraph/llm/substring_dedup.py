@@ -100,7 +100,7 @@ def anchors(block: Block, words: np.ndarray, width: int, rounds: int = LOW_ROUND
     window, prefix = np.arange(n), WORDS.prefix(words)
     name, place = words.copy(), window.copy()
     low, high, sym = window, window + 1, words
-    for level in range(rounds):
+    for level in range(rounds if n else 0):
         at, sym = compress(sym, edge, level)
         last = np.append(at[1:], len(edge)) - 1
         inner = ~edge[at] & ~np.append(edge, True)[last + 1] & (low[at] >= 0)
