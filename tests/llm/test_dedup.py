@@ -109,6 +109,54 @@ def test_groups_split_buckets(spark, monkeypatch):
     assert got == brute_groups(docs)
 
 
+def chained(copies, seed=6):
+    """Classes of one bucket that no single star connects: each is like its neighbours alone."""
+    rng = random.Random(seed)
+    words = [f"u{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for k in range(copies):
+        words = words[:]
+        words[(k * 3) % 200] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    return rows + [(5000 + k, " ".join(words[:150] + [f"q{k}"] * 2)) for k in range(20)]
+
+
+@pytest.mark.parametrize("stars", [0, 1, 3])
+def test_groups_of_large_buckets_without_a_center(spark, monkeypatch, stars):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "STARS", stars)
+    for docs in (chained(120), near_rows(seed=9, copies=120)):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got == brute_groups(docs)
+
+
+def test_rows_sent_for_a_large_bucket_of_near_copies(spark, monkeypatch):
+    """3,000 near copies: each text goes out a few times, not once for every block of its bucket."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    rows = []
+    for k in range(3000):
+        w = base[:]
+        w[rng.choice([0, 1, 98, 99])] = f"z{k}"
+        rows.append((k, " ".join(w)))
+    sent, links = spark.sparkContext.accumulator(0), near_dedup._links
+
+    def counting(*args):
+        run = links(*args)
+
+        def counted(batches):
+            for batch in batches:
+                sent.add(batch.num_rows)
+                yield batch
+
+        return lambda batches: run(counted(batches))
+
+    monkeypatch.setattr(near_dedup, "_links", counting)
+    found = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert found.where("kept").count() == 1
+    assert sent.value < 40 * 3000  # the buckets of a member number up to 24
+
+
 def test_groups_of_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (7, "q")]
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()]

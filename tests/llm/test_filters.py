@@ -198,6 +198,63 @@ def test_filters_have_no_false_negatives():
     assert 0 < f.filled()[1] < 0.5 and f.filled()[0] == 0
 
 
+def test_only_the_covered_fraction_rejects(spark):
+    """A paragraph of 40 words twice among 200 others: short of the base rule and of the longest repeat."""
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    part = fresh(40)
+    bad, good = fresh(60) + part + fresh(60) + part, fresh(120) + part[:20] + fresh(60) + part[:20]
+    rows = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame([(1, " ".join(bad)), (2, " ".join(good))], "doc_id long, text string")).collect()}
+    assert not rows[1].base_failed and not rows[1].kept and rows[1].longest_repeat == 40 and rows[1].covered_words == 80
+    assert rows[2].kept
+
+
+def test_popcounts():
+    rng = np.random.default_rng(1)
+    for languages in (1, 4, 9, 64, 70):
+        mask = rng.integers(0, 2**63, size=(2000, -(-languages // 64)), dtype=np.uint64)
+        doc = np.sort(rng.integers(0, 6, size=2000))
+        bits = [[(int(w) >> k) & 1 for w in row for k in range(64)][:languages] for row in mask.tolist()]
+        want = [[sum(b[k] for b, d in zip(bits, doc.tolist(), strict=True) if d == n) for k in range(languages)] for n in range(6)]
+        assert language_id.popcounts(mask, doc, 6, languages).tolist() == want
+
+
+def test_languages_against_plain_sets(spark):
+    """The same decisions from one set of n-grams for each language, without filters; 70 languages, so two words of masks."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = [[rng.choice(letters) + rng.choice(letters) + rng.choice(letters) for _ in range(12)] for _ in range(70)]
+    rows = [(k, " ".join(rng.choice(own[k % 70]) for _ in range(30)), f"l{k % 70:02d}") for k in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+
+    def grams(text):
+        padded = text.lower()
+        return [padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1) if sum(c != " " for c in padded[i : i + n]) >= n - 1]
+
+    times, number = {}, Counter()
+    for k, text, lang in rows:
+        if zlib.crc32(str(k).encode()) % 4 != 2:
+            number[lang] += 1
+            times.setdefault(lang, Counter()).update(set(grams(text)))
+    sets = {lang: {g for g, n in c.items() if n >= max(1.0, 0.01 * number[lang])} for lang, c in times.items()}
+    same = 0
+    for k, text, _ in rows:
+        counts = {lang: sum(g in s for g in grams(text)) for lang, s in sorted(sets.items())}
+        best = max(counts.values())
+        same += got[k].lang_pred in [lang for lang, n in counts.items() if n >= best - 1]  # a false positive may turn a tie
+        assert got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2)
+    assert same == len(rows)
+    assert sum(got[k].lang_pred == lang for k, _, lang in rows) > 0.98 * len(rows)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} " * 4, f"lang{k}") for k in range(1200)]
+    langs = {r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    learned = {f"lang{k}" for k in range(1200) if zlib.crc32(str(k).encode()) % 4 != 2}
+    assert len(learned) > 850 and langs <= learned and len(langs) > 0.9 * len(learned)
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "en", "x"), (2, "", "en", "x"), (3, "12 34", "fr", "x"), (None, "abc def", None, "x"), (1, None, "en", "x")], "doc_id long, text string, lang string, score string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int")

@@ -169,6 +169,33 @@ def check_shards(out, rows, shards=16):
     assert set(out.shard) <= set(range(shards))
 
 
+def plain_assign(items, shards):
+    """Greatest dot product with the residual capacity among shards with room for the bytes, one item after another."""
+    total = [sum(x[k] for x in items) or 1 for k in range(3)]
+    share = [[x[k] / total[k] for k in range(3)] for x in items]
+    left = [[1 / shards] * 3 for _ in range(shards)]
+    out = [0] * len(items)
+    for k in sorted(range(len(items)), key=lambda i: (-max(share[i]), -sum(share[i]), i)):
+        room = [s for s in range(shards) if left[s][0] >= share[k][0]]
+        dot = lambda s: sum(a * b for a, b in zip(left[s], share[k], strict=True))  # noqa: B023, E731
+        out[k] = max(room, key=lambda s: (dot(s), -s)) if room else max(range(shards), key=lambda s: (left[s][0], -s))
+        left[out[k]] = [a - b for a, b in zip(left[out[k]], share[k], strict=True)]
+    return out
+
+
+def test_assign_against_the_plain_rule():
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 80, 400):
+        items = rng.integers(1, 1000, size=(n, 3)).astype(float)
+        items[:, 2] = 1
+        got = sharding.assign(items, 16)
+        assert got.tolist() == plain_assign(items.tolist(), 16)
+        if n == 400:
+            for k, slack in ((0, 0.02), (1, 0.1), (2, 0.1)):
+                sums = np.bincount(got, items[:, k], 16)
+                assert sums.max() <= (1 + slack) * items[:, k].sum() / 16
+
+
 def test_sharding(spark):
     rng = random.Random(2)
     rows = [(k, "".join(rng.choice("abé \n") for _ in range(rng.randrange(200)))) for k in range(3000)]
