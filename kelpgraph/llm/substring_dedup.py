@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import save
+from .tables import drop, save
 from .tokens import U, WORDS, Block, blocks, cover, lists, mix, ranges
 
 #: Rounds within a task's block, and those that follow over the table of symbols.
@@ -179,13 +179,13 @@ def dedup(documents: DataFrame, *, width: int = 20, id_col: str = "doc_id", text
         did, kind = F.coalesce(F.col("doc_id") - F.lit(low or 0), F.lit(0)), pa.int64()  # never null: else some reads of the exchange below get a filter and one of their own
     else:
         did, kind = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text")), pa.struct([("id", pa.int64()), ("text", pa.int64())])
-    docs = docs.select(did.alias("did"), "text", *travels)
+    docs = source = docs.select(did.alias("did"), "text", *travels)
     if packs:
         unique = docs = docs.repartition("did")  # one exchange, read by each of the passes
     else:  # equal rows are one until the end
         travels, carried = [*travels, "times"], [*carried, "times"]
         docs = docs.groupBy("did", *travels[:-1]).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times")).repartition("did")
-        unique = docs.select("did", "text").dropDuplicates(["did"])
+        source = unique = docs.select("did", "text").dropDuplicates(["did"])
     keys, span = [("h1", pa.int64()), ("h2", pa.int64())], [("did", kind), ("at", pa.int32()), ("number", pa.int32())]
     ddl = ("did long" if packs else "did struct<id:bigint,text:bigint>") + ", at int, number int"
 
@@ -258,16 +258,17 @@ def dedup(documents: DataFrame, *, width: int = 20, id_col: str = "doc_id", text
                 arrays += [batch.column(given.get(c, c)).slice(block.rows.start, len(texts)) for c in carried]
                 yield pa.RecordBatch.from_arrays(arrays, names=["did", *names])
 
-    table = unique.mapInArrow(symbol_rows, ddl.split(", at")[0] + ", n int, at array<int>, sym array<bigint>")
+    table = save(source.mapInArrow(symbol_rows, ddl.split(", at")[0] + ", n int, at array<int>, sym array<bigint>"))
     for level in range(LOCAL_ROUNDS, LOCAL_ROUNDS + ROUNDS):
-        table = another_round(table, level)
+        before, table = table, save(another_round(table, level))
+        drop(before)
     # a tile's windows end where the next symbol starts, or with the last one that the document has
-    table = table.withColumn("last", F.transform("at", lambda _, i: F.least(F.coalesce(F.get("at", i + 1), F.col("n")), F.col("n") - (width - 1))))
-    placed = table.select("did", F.inline(F.arrays_zip("at", "sym", "last"))).select("did", "at", "sym", (F.col("last") - F.col("at")).alias("number")).where("number > 0")
-    placed = save(placed)
+    placed = table.withColumn("last", F.transform("at", lambda _, i: F.least(F.coalesce(F.get("at", i + 1), F.col("n")), F.col("n") - (width - 1))))
+    placed = placed.select("did", F.inline(F.arrays_zip("at", "sym", "last"))).select("did", "at", "sym", (F.col("last") - F.col("at")).alias("number")).where("number > 0")
     known = placed.groupBy("sym").agg(F.count(F.lit(1)).alias("times"))  # the symbol table
     again = known.where("times > 1").select("sym").repartition(F.xxhash64("sym"))  # an exchange on either side of the join: it can split a hot symbol
-    shared = by_document(placed.join(again, "sym"), "shared")
+    shared = save(by_document(placed.join(again, "sym"), "shared"))
+    drop(table)
     tiles = unique.join(shared, "did").mapInArrow(_rows(tile_rows, pa.schema(keys + span)), f"h1 long, h2 long, {ddl}")
     leads = by_document(first(tiles).withColumn("number", F.lit(1)), "leads")
     told = lambda rows: rows.join(shared, "did", "left").join(leads, "did", "left")
