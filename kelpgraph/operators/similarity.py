@@ -15,7 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import save
+
 PERMUTATIONS, BANDS, PRIME = 128, 16, 2**31 - 1
+#: Tokens of documents that are permuted together; classes of a bucket that are compared at once.
+BLOCK_TOKENS, BLOCK = 1 << 16, 256
 
 
 @cache
@@ -43,12 +47,17 @@ def minhash(tokens: list[str]) -> np.ndarray:
     """The signature of a token set; zeros if it is empty."""
     if not tokens:
         return np.zeros(PERMUTATIONS, np.int64)
-    h = np.array([int.from_bytes(hashlib.sha256(t.encode()).digest()[:4], "little") for t in tokens], np.int64)
-    a, b = (np.array(x, np.int64)[:, None] for x in family())
-    out = np.full(PERMUTATIONS, PRIME, np.int64)
-    for k in range(0, len(h), 4096):
-        out = np.minimum(out, ((a * h[None, k : k + 4096] + b) % PRIME).min(axis=1))
-    return out
+    return _permuted(_hashes(tokens)).min(axis=0).astype(np.int64)
+
+
+def _hashes(tokens: list[str]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.sha256(t.encode()).digest()[:4], "little") for t in tokens], np.uint64)
+
+
+def _permuted(h: np.ndarray) -> np.ndarray:
+    """tokens x permutations."""
+    a, b = (np.array(x, np.uint64)[None, :] for x in family())
+    return np.concatenate([((h[k : k + 4096, None] * a + b) % np.uint64(PRIME)).astype(np.uint32) for k in range(0, len(h), 4096)])
 
 
 def bands(signature: np.ndarray) -> list[str]:
@@ -58,39 +67,178 @@ def bands(signature: np.ndarray) -> list[str]:
 
 
 def signatures(rows: DataFrame, key: str, tokens: str) -> DataFrame:
-    """key, signature array<bigint>, bands array<string>, by Arrow batches (map-side, no shuffle)."""
+    """key, signature array<bigint>, bands array<string>, by Arrow batches (map-side).
+
+    A block of documents hashes and permutes each of its distinct tokens once. Where the rows lie in fewer partitions
+    than there are cores, they are dealt out first."""
     kind = dict(rows.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [minhash(t or []) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in found], pa.list_(pa.int64())), pa.array([bands(x) for x in found], pa.list_(pa.string()))], names=[key, "signature", "bands"])
+            column = batch.column(1)
+            size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.concatenate(([0], np.cumsum(size)))
+            flat, low = column.flatten(), 0
+            while low < len(size):
+                high = max(low + 1, int(np.searchsorted(first, first[low] + BLOCK_TOKENS, "right")) - 1)
+                coded = flat.slice(int(first[low]), int(first[high] - first[low])).dictionary_encode()
+                out = np.zeros((high - low, PERMUTATIONS), np.uint32)
+                full = np.flatnonzero(size[low:high])
+                if len(full):
+                    permuted = _permuted(_hashes(coded.dictionary.to_pylist()))
+                    out[full] = np.minimum.reduceat(permuted[coded.indices.to_numpy()], (first[low:high] - first[low])[full])
+                keys = [bands(x) for x in out]
+                flat_out = pa.ListArray.from_arrays(np.arange(high - low + 1, dtype=np.int32) * PERMUTATIONS, pa.array(out.astype(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), flat_out, pa.array(keys, pa.list_(pa.string()))], names=[key, "signature", "bands"])
+                low = high
 
-    return rows.select(key, tokens).mapInArrow(run, f"{key} {kind}, signature array<bigint>, bands array<string>")
+    rows = rows.select(key, tokens)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    return rows.mapInArrow(run, f"{key} {kind}, signature array<bigint>, bands array<string>")
 
 
 def agreement(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: F.when(x == y, F.lit(1))), lambda m: m.isNotNull())) / F.lit(float(PERMUTATIONS))
 
 
+def drift(before: Column, after: Column) -> Column:
+    """The share of bands that differ, place by place."""
+    return F.aggregate(F.zip_with(before, after, lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, v: s + v) / F.lit(float(BANDS))
+
+
+def to_text(signature: Column) -> Column:
+    """Eight hex digits for each slot."""
+    return F.lower(F.array_join(F.transform(signature, lambda v: F.lpad(F.hex(v), 8, "0")), ""))
+
+
+def from_text(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1)), lambda k: F.conv(F.substring(text, k * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+
+
+def index(signed: DataFrame, key: str) -> DataFrame:
+    """key, band, value, signature: a row for each band, as a table that others are put into and taken from."""
+    return signed.select(key, F.posexplode("bands").alias("band", "value"), "signature")
+
+
+def insert(held: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """held with the keys of new, whose rows take the place of those of equal key."""
+    return held.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def remove(held: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return held.join(keys.select(key).distinct(), key, "left_anti")
+
+
+def probe(held: DataFrame, asked: DataFrame, asked_key: str, key: str, least: float) -> DataFrame:
+    """asked_key, key, similarity: keys of the index that share a band with a query and agree in `least` of the slots."""
+    hits = index(asked, asked_key).drop("signature").join(held.select(key, "band", "value"), ["band", "value"]).where(F.col(asked_key) != F.col(key)).select(asked_key, key).distinct()
+    found = hits.join(asked.select(asked_key, F.col("signature").alias("s")), asked_key).join(held.where("band = 0").select(key, "signature"), key)
+    return found.select(asked_key, key, agreement(F.col("s"), F.col("signature")).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
 
 
+def _pairs(slots: int, equal: int, top: int):  # noqa: ANN202
+    """(a, b, agree): of each row of two blocks of a bucket its `top` best in the other one, from `equal` slots on.
+
+    A pair counts in the first band alone that it has in common."""
+
+    def found(key: np.ndarray, name: np.ndarray, band: int, sig: np.ndarray, one: np.ndarray, other: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
+        agree = np.zeros((len(one), len(other)), np.int16)
+        first = np.full((len(one), len(other)), -1, np.int16)
+        for k in range(sig.shape[1] // slots):
+            shared = np.ones(first.shape, bool)
+            for slot in range(k * slots, k * slots + slots):
+                same = sig[one, slot][:, None] == sig[other, slot][None, :]
+                agree += same
+                shared &= same
+            first[shared & (first < 0)] = k
+        for slot in range(sig.shape[1] // slots * slots, sig.shape[1]):
+            agree += sig[one, slot][:, None] == sig[other, slot][None, :]
+        agree[(agree < equal) | (first != band)] = 0
+        if whole:
+            np.fill_diagonal(agree, 0)
+        for scores, mine, others in ((agree, one, other),) if whole else ((agree, one, other), (agree.T, other, one)):
+            x, y = np.nonzero(scores)
+            if len(x):
+                order = np.lexsort((name[others[y]], -scores[x, y], x))
+                x, y = x[order], y[order]
+                new = np.append(True, x[1:] != x[:-1])
+                place = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+                x, y = x[place < top], y[place < top]
+                yield pa.RecordBatch.from_arrays([pa.array(key[mine[x]]), pa.array(key[others[y]]), pa.array(scores[x, y].astype(np.int32))], names=["a", "b", "agree"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in _ended(batches):
+            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            place = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            start = np.flatnonzero(np.append(True, np.any([p[1:] != p[:-1] for p in place], axis=0)))
+            ends = np.append(start[1:], table.num_rows)
+            if batch is not None:  # the last group may go on
+                rest, ends, start = table.slice(int(start[-1])), ends[:-1], start[:-1]
+            if not len(start):
+                continue
+            key, band, side = (table.column(c).to_numpy() for c in ("rep", "band", "side"))
+            name = np.unique(table.column("name").to_numpy(), return_inverse=True)[1]  # places in their order
+            sig = np.frombuffer(b"".join(table.column("packed").slice(0, int(ends[-1])).to_pylist()), ">u4").astype(np.uint32).reshape(int(ends[-1]), -1)
+            for a, b in zip(start.tolist(), ends.tolist(), strict=True):
+                if b - a > 1:
+                    whole = place[1][a] == place[2][a]
+                    one = np.arange(a, b) if whole else a + np.flatnonzero(side[a:b] == place[1][a])
+                    other = one if whole else a + np.flatnonzero(side[a:b] != place[1][a])
+                    yield from found(key, name, band[a], sig, one, other, whole)
+
+    return run
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def band_join(signed: DataFrame, key: str, least: float = 0.7, top: int = 10) -> DataFrame:
-    """a, b, similarity: each row's most similar others that share a band.
+    """a, b, similarity, rank: the `top` most similar others of each row (ties: smaller key), of agreement `least` or more.
 
-    A bucket's rows meet their neighbours in order of signature rather than each other: within a bucket each row is
-    compared with the next `top` rows, and again in each of the 16 bands.
+    Exact on signatures: of 128 slots at most m = 128 - ceil(128 * least) differ, so with m + 1 bands or more of equal
+    width one agrees whole. Rows of equal signature are one class, of which the first top + 1 keys are enough. Classes
+    that share a band's value meet in pairs of blocks, and what leaves a task is each class's best. The signature goes
+    out only for buckets of more than one class, once for those of the same members.
     """
-    rows = signed.select(key, "signature", F.posexplode("bands").alias("band", "value"))
-    w = Window.partitionBy("band", "value").orderBy(F.col("signature"), key)
-    near = rows.select("band", "value", F.col(key).alias("a"), F.col("signature").alias("s"), *(F.lead(F.struct(F.col(key).alias("b"), F.col("signature").alias("t")), k).over(w).alias(f"n{k}") for k in range(1, top + 1)))
-    pairs = near.select("a", "s", F.explode(F.array_compact(F.array(*(f"n{k}" for k in range(1, top + 1))))).alias("n")).select("a", "s", "n.b", "n.t")
-    pairs = pairs.dropDuplicates(["a", "b"]).withColumn("similarity", agreement(F.col("s"), F.col("t"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).dropDuplicates(["a", "b"])
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= top)
+    kind = dict(signed.dtypes)[key]
+    equal = max(1, -int(-least * PERMUTATIONS // 1))
+    slots = max(1, PERMUTATIONS // (PERMUTATIONS - equal + 1))
+    packed = F.unhex(to_text(F.col("signature")))
+    rows = save(signed.select(F.col(key).alias("key"), packed.alias("packed")))
+    salt = F.pmod(F.xxhash64("key"), F.lit(64))
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("packed", salt).orderBy("key"))).where(F.col("place") <= top + 1)
+    first = first.groupBy("packed").agg(F.slice(F.array_sort(F.collect_list("key")), 1, top + 1).alias("keys"))
+    classes = save(first.select("packed", "keys", F.element_at("keys", 1).alias("name"), F.xxhash64("packed").alias("rep")))
+    value = lambda k: F.xxhash64(F.lit(k), F.substring("packed", 4 * slots * k + 1, 4 * slots))
+    banded = classes.select("rep", F.posexplode(F.array(*(value(k) for k in range(PERMUTATIONS // slots)))).alias("band", "bucket"))
+    buckets = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    members = banded.join(buckets.drop("band"), "bucket").withColumn("side", F.pmod(F.col("rep"), parts).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select("bucket", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep")
+    met = members.join(classes.select("rep", "name", "packed"), "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+    near = met.mapInArrow(_pairs(slots, equal, top), "a long, b long, agree int")
+    near = near.join(classes.select(F.col("rep").alias("b"), F.col("name").alias("b_name"), F.col("keys").alias("b_keys")), "b")
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b_name"))
+    near = near.withColumn("place", best).where(F.col("place") <= top).select(F.col("a").alias("rep"), F.explode("b_keys").alias("b"), "agree")
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("agree"), "b"))).where(F.col("place") <= top)
+    others = near.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("place", "b", "agree"))).alias("others"))
+    own = F.transform("keys", lambda k: F.struct(F.lit(0).alias("place"), k.alias("b"), F.lit(PERMUTATIONS).alias("agree")))
+    none = F.array().cast(f"array<struct<place:int,b:{kind},agree:int>>")
+    told = classes.join(others, "rep", "left").select("packed", F.concat(own, F.coalesce("others", none)).alias("all"))
+    joined = rows.join(told, "packed").select(F.col("key").alias("a"), F.slice(F.filter("all", lambda x: x["b"] != F.col("key")), 1, top).alias("all"))
+    out = joined.select("a", F.posexplode("all").alias("pos", "x"))
+    return out.select("a", F.col("x.b").alias("b"), (F.col("x.agree") / F.lit(float(PERMUTATIONS))).alias("similarity"), (F.col("pos") + 1).alias("rank"))
 
 
 def close_names(names: DataFrame, most: int = 1) -> DataFrame:

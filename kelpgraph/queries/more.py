@@ -23,6 +23,7 @@ from ..registry import query, r6
 from ..sources import codecs, scan
 from ..tables import folder, save
 from .regions import BASE, base
+from .similarity import DOCS, FAMILY, best, signed
 from .sources import TREE, rows
 
 # --- registries and artefacts
@@ -198,12 +199,12 @@ def unbound(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(e, ["class", "attribute"], "left_anti")
 
 
-@query("joi_07_band_join")
+@query("joi_07_band_join", f"WITH {FAMILY}, {signed(DOCS)}, {best(0.5, 100).replace('SELECT a, b, rank, round(similarity, 6) AS similarity FROM r WHERE rank <= 100', 'SELECT floor(similarity * 10)::BIGINT AS tenth, count(DISTINCT a) AS documents, count(*) AS pairs FROM r WHERE rank <= 100 GROUP BY 1')}")
 def band_join(spark: SparkSession, sf: str) -> DataFrame:
-    """How many documents have a similar one in a common band, by tens of percent."""
+    """How many documents have a similar one, by tens of percent, of up to 100 candidates each, the best."""
     w = table(spark, sf, "documents").select("doc_id", sm.word_set(F.col("text")).alias("tokens")).where("size(tokens) > 0")
-    j = sm.band_join(sm.signatures(w, "doc_id", "tokens"), "doc_id", least=0.5)
-    return j.groupBy(F.floor(F.col("similarity") * 10).alias("tenth")).agg(F.count_distinct("a").alias("documents"))
+    j = sm.band_join(sm.signatures(w, "doc_id", "tokens"), "doc_id", least=0.5, top=100)
+    return j.groupBy(F.floor(F.col("similarity") * 10).alias("tenth")).agg(F.count_distinct("a").alias("documents"), F.count(F.lit(1)).alias("pairs"))
 
 
 @query("win_05_top_of_intent", with_views("SELECT intent, id FROM (SELECT intent, id, row_number() OVER (PARTITION BY intent ORDER BY complexity DESC, id) AS rn FROM symbols) WHERE rn <= 3", "symbols"))
@@ -400,19 +401,14 @@ def steepest(spark: SparkSession, sf: str) -> DataFrame:
 # --- similarity, rules, logs
 
 
-@query("lsh_06_signature_bytes", "SELECT doc_id, 256::BIGINT AS bytes FROM documents WHERE len(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) > 0")
-def signature_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    """Signatures as text and back are the same; 128 values of two hex bytes each here."""
-    w = table(spark, sf, "documents").select("doc_id", sm.word_set(F.col("text")).alias("tokens")).where("size(tokens) > 0")
-    s = sm.signatures(w, "doc_id", "tokens").withColumn("packed", F.unhex(F.array_join(F.transform("signature", lambda v: F.lpad(F.hex(v % 65536), 4, "0")), "")))
-    return s.select("doc_id", F.octet_length("packed").cast("long").alias("bytes"))
+FEATURES = "SELECT id, list_distinct(regexp_extract_all(lower(concat_ws(' ', role, intent, array_to_string(tags, ' '), kind)), '[A-Za-z0-9_]+')) AS w FROM symbols"
 
 
-@query("lsh_11_semantic_inventory")
+@query("lsh_11_semantic_inventory", with_views(f"WITH {FAMILY}, {signed(FEATURES, 'id')}, {best(0.6, 3, 'id')}", "symbols"))
 def inventory(spark: SparkSession, sf: str) -> DataFrame:
-    """Symbols whose feature text is like that of one of them."""
+    """Of each symbol the three of most similar feature text."""
     t = symbols(spark, sf).select("id", sm.word_set(F.concat_ws(" ", "role", "intent", F.array_join("tags", " "), "kind")).alias("tokens"))
-    return sm.band_join(sm.signatures(t, "id", "tokens"), "id", least=0.6, top=3).where("a like 'sym::1%'").select("a", "b", "rank", F.round("similarity", 6).alias("similarity"))
+    return sm.band_join(sm.signatures(t, "id", "tokens"), "id", least=0.6, top=3).select("a", "b", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
 @query("con_04_code_skeleton", "SELECT 'def t1():' || chr(10) || '    a.acquire()' || chr(10) || '    a.release()' AS code")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..bindings import symbols, table, with_views
 from ..operators import similarity as sm
 from ..registry import query
+from ..tables import save
 
 WORDS = "list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9_]+'))"
 
@@ -22,37 +23,116 @@ def token_hash(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("token", sm.token_hash(F.col("token")).alias("h"))
 
 
+#: The family's pairs (a, b), and tokens' hashes, as SQL.
 A, B = (f"[{', '.join(map(str, x))}]" for x in sm.family())
-H = f"""t AS (SELECT doc_id, unnest({WORDS}) AS token FROM documents), h AS (SELECT doc_id, ('0x' || substr(sha256(token), 7, 2) || substr(sha256(token), 5, 2) || substr(sha256(token), 3, 2) || substr(sha256(token), 1, 2))::HUGEINT AS h FROM t)"""
+FAMILY = f"f AS (SELECT unnest({A})::BIGINT AS a, unnest({B})::BIGINT AS b, unnest(range(128)) AS k)"
+HASH = "('0x' || substr(sha256(token), 7, 2) || substr(sha256(token), 5, 2) || substr(sha256(token), 3, 2) || substr(sha256(token), 1, 2))::BIGINT"
 
 
-@query("lsh_03_minhash", f"""WITH {H}, f AS (SELECT unnest({A[: A.index(",") * 0] + A})::HUGEINT AS a, unnest({B})::HUGEINT AS b, unnest(range(128)) AS k), m AS (SELECT doc_id, k, min((a * h + b) % 2147483647) AS v FROM h, f WHERE k < 8 GROUP BY 1, 2)
-    SELECT doc_id, list(v::BIGINT ORDER BY k) AS head FROM m GROUP BY doc_id""")
+def signed(tokens: str, key: str = "doc_id", name: str = "m") -> str:
+    """SQL of (key, k, v): the slots of the signatures of rows (key, w: a list of distinct tokens)."""
+    return f"{name}_t AS (SELECT {key}, unnest(w) AS token FROM ({tokens})), {name}_h AS (SELECT token, {HASH} AS h FROM (SELECT DISTINCT token FROM {name}_t)), {name}_p AS (SELECT token, k, (a * h + b) % 2147483647 AS v FROM {name}_h, f), {name} AS (SELECT {key}, k, min(v)::BIGINT AS v FROM {name}_t JOIN {name}_p USING (token) GROUP BY 1, 2)"
+
+
+DOCS = f"SELECT doc_id, {WORDS} AS w FROM documents"
+
+
+def best(least: float, top: int, key: str = "doc_id") -> str:
+    """SQL of a, b, rank, similarity from the slots m, by comparing all rows."""
+    return f"""sigs AS (SELECT {key}, list(v ORDER BY k) AS s FROM m GROUP BY 1), c AS (SELECT s, row_number() OVER () AS cl, list_sort(list({key})) AS ids FROM sigs GROUP BY s),
+    x AS (SELECT cl, unnest(s) AS v, unnest(range(128)) AS k FROM c), n AS (SELECT p.cl AS p, q.cl AS q, count(*) / 128.0::DOUBLE AS similarity FROM x p JOIN x q USING (k, v) GROUP BY 1, 2 HAVING count(*) >= {least} * 128),
+    y AS (SELECT p, unnest(ids[1:{top + 1}]) AS b, similarity FROM n JOIN c ON cl = q), z AS (SELECT unnest(ids) AS a, cl FROM c),
+    r AS (SELECT a, b, similarity, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM z JOIN y ON p = cl AND a <> b)
+    SELECT a, b, rank, round(similarity, 6) AS similarity FROM r WHERE rank <= {top}"""
+
+
+def signatures(spark: SparkSession, sf: str) -> DataFrame:
+    return sm.signatures(words(spark, sf).where("size(tokens) > 0"), "doc_id", "tokens")
+
+
+@query("lsh_01_hash_family", f"WITH {FAMILY}, t AS (SELECT DISTINCT unnest({WORDS}) AS token FROM documents), h AS (SELECT {HASH} AS h FROM t) SELECT k, min((a * h + b) % 2147483647) AS least, max((a * h + b) % 2147483647) AS greatest FROM h, f GROUP BY k")
+def hash_family(spark: SparkSession, sf: str) -> DataFrame:
+    """What each function of the family makes of all tokens of the corpus: the least and the greatest value."""
+    t = words(spark, sf).select(F.explode("tokens").alias("token")).distinct().select(sm.token_hash(F.col("token")).alias("h"))
+    values = [(F.lit(a) * F.col("h") + F.lit(b)) % sm.PRIME for a, b in zip(*sm.family(), strict=True)]
+    g = t.agg(*(f(v).alias(f"{n}{k}") for k, v in enumerate(values) for n, f in (("l", F.min), ("g", F.max))))
+    return g.select(F.inline(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.col(f"l{k}").alias("least"), F.col(f"g{k}").alias("greatest")) for k in range(sm.PERMUTATIONS)))))
+
+
+@query("lsh_03_minhash", f"WITH {FAMILY}, {signed(DOCS)} SELECT doc_id, list(v ORDER BY k) AS signature FROM m GROUP BY doc_id")
 def minhash(spark: SparkSession, sf: str) -> DataFrame:
-    s = sm.signatures(words(spark, sf).where("size(tokens) > 0"), "doc_id", "tokens")
-    return s.select("doc_id", F.slice("signature", 1, 8).alias("head"))
+    return signatures(spark, sf).select("doc_id", "signature")
 
 
-@query("lsh_04_bands")
+@query("lsh_04_bands", f"""WITH {FAMILY}, {signed(DOCS)}, b AS (SELECT doc_id, k // 8 AS band, list(v ORDER BY k) AS value FROM m GROUP BY 1, 2), n AS (SELECT band, value, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT band::INT AS band, count(*) AS buckets, sum(n)::BIGINT AS documents FROM n GROUP BY band""")
 def bands(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that share a band, by band; tests compare the keys with a plain model."""
-    s = sm.signatures(words(spark, sf).where("size(tokens) > 0"), "doc_id", "tokens")
-    b = s.select(F.posexplode("bands").alias("band", "value"))
+    """Documents that share a band's key, by band; a test compares the keys with a plain model."""
+    b = signatures(spark, sf).select(F.posexplode("bands").alias("band", "value"))
     return b.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("band").agg(F.count(F.lit(1)).alias("buckets"), F.sum("n").alias("documents"))
 
 
-@query("lsh_08_similar_documents")
+@query("lsh_08_similar_documents", f"WITH {FAMILY}, {signed(DOCS)}, {best(0.7, 10)}")
 def similar(spark: SparkSession, sf: str) -> DataFrame:
-    """For each document the ten most similar that share a band, similarity >= .7."""
-    s = sm.signatures(words(spark, sf).where("size(tokens) > 0"), "doc_id", "tokens")
-    return sm.band_join(s, "doc_id").select("a", "b", "rank", F.round("similarity", 6).alias("similarity"))
+    """For each document the ten most similar by signature, similarity >= .7: all of them, as by comparing all."""
+    return sm.band_join(signatures(spark, sf), "doc_id").select("a", "b", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
+PROBE = """p AS (SELECT doc_id, k // 8 AS band, list(v ORDER BY k) AS value FROM m GROUP BY 1, 2), hits AS (SELECT DISTINCT a.doc_id AS query_id, b.doc_id FROM p a JOIN p b USING (band, value)
+    WHERE a.doc_id % 20 = 0 AND (b.doc_id % 3 > 0 OR b.doc_id % 4 = 0) AND b.doc_id % 5 > 0 AND a.doc_id <> b.doc_id)"""
+
 
+@query("lsh_07_index", f"WITH {FAMILY}, {signed(DOCS)}, {PROBE} SELECT query_id, hits.doc_id, count(*) FILTER (x.v = y.v) / 128.0::DOUBLE AS similarity FROM hits JOIN m x ON x.doc_id = query_id JOIN m y ON y.doc_id = hits.doc_id AND y.k = x.k GROUP BY 1, 2 HAVING count(*) FILTER (x.v = y.v) >= 64")
+def index(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of two thirds of the documents, into which others go and from which some are taken; ids divisible by 20 ask."""
+    s = save(signatures(spark, sf))
+    held = sm.insert(sm.index(s.where("doc_id % 3 > 0"), "doc_id"), sm.index(s.where("doc_id % 4 = 0"), "doc_id"), "doc_id")
+    held = sm.remove(held, s.where("doc_id % 5 = 0").select("doc_id"), "doc_id")
+    return sm.probe(held, s.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), "query_id", "doc_id", 0.5)
 
-@query("lsh_05_jaccard", f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents) SELECT x.doc_id, round(len(list_intersect(x.w, y.w)) / greatest(1, len(list_distinct(list_concat(x.w, y.w))))::DOUBLE, 6) AS jaccard FROM d x JOIN d y ON y.doc_id = x.doc_id + 1""")
+
+@query("lsh_05_jaccard", f"""WITH {FAMILY}, {signed(DOCS)}, p AS (SELECT doc_id, k // 8 AS band, list(v ORDER BY k) AS value FROM m GROUP BY 1, 2), firsts AS (SELECT band, value, min(doc_id) AS first FROM p GROUP BY 1, 2),
+    pairs AS (SELECT DISTINCT first, doc_id FROM p JOIN firsts USING (band, value) WHERE first <> doc_id), d AS ({DOCS}), e AS (SELECT first, pairs.doc_id, count(*) FILTER (x.v = y.v) / 128.0::DOUBLE AS estimate FROM pairs JOIN m x ON x.doc_id = first JOIN m y ON y.doc_id = pairs.doc_id AND y.k = x.k GROUP BY 1, 2)
+    SELECT first, e.doc_id, round(estimate, 6) AS estimate, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS jaccard FROM e JOIN d a ON a.doc_id = first JOIN d b ON b.doc_id = e.doc_id""")
 def jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    w = words(spark, sf)
-    j = w.join(w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("tokens").alias("other")), "doc_id")
-    return j.select("doc_id", F.round(sm.jaccard(F.col("tokens"), F.col("other")), 6).alias("jaccard"))
+    """Estimated and true similarity of each document to the first of every bucket that it shares."""
+    w = words(spark, sf).where("size(tokens) > 0")
+    s = save(sm.signatures(w, "doc_id", "tokens"))
+    b = s.select("doc_id", F.posexplode("bands").alias("band", "value"))
+    pairs = b.join(b.groupBy("band", "value").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), ["band", "value"]).where("first != doc_id").select("first", "doc_id").distinct()
+    told = s.select("doc_id", "signature").join(w, "doc_id")
+    both = pairs.join(told, "doc_id").join(told.select(F.col("doc_id").alias("first"), F.col("signature").alias("s"), F.col("tokens").alias("t")), "first")
+    return both.select("first", "doc_id", F.round(sm.agreement(F.col("signature"), F.col("s")), 6).alias("estimate"), F.round(sm.jaccard(F.col("tokens"), F.col("t")), 6).alias("jaccard"))
+
+
+@query("lsh_06_signature_text", f"WITH {FAMILY}, {signed(DOCS)} SELECT doc_id, string_agg(printf('%08x', v), '' ORDER BY k) AS written, list(v ORDER BY k) AS parsed FROM m GROUP BY doc_id")
+def signature_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Signatures written as text, and parsed again from that."""
+    s = signatures(spark, sf).select("doc_id", sm.to_text(F.col("signature")).alias("written"))
+    return s.withColumn("parsed", sm.from_text(F.col("written")))
+
+
+def versions(text: str) -> str:
+    return f"SELECT doc_id, list_distinct(regexp_extract_all(lower({text}), '[A-Za-z0-9_]+')) AS w FROM documents"
+
+
+@query("lsh_10_drift", f"""WITH {FAMILY}, {signed(versions("text"))}, {signed(versions("substr(text, 1, length(text) - 40)"), name="o")},
+    d AS (SELECT m.doc_id, m.k // 8 AS band, bool_or(m.v <> coalesce(o.v, 0)) AS differs FROM m LEFT JOIN o ON o.doc_id = m.doc_id AND o.k = m.k GROUP BY 1, 2)
+    SELECT doc_id, round(count(*) FILTER (differs) / 16.0::DOUBLE, 6) AS drift, count(*) FILTER (differs) / 16.0::DOUBLE < 0.3 AS stable FROM d GROUP BY doc_id""")
+def drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Bands in which each document's signature differs from that of its version without the last 40 characters."""
+    d = table(spark, sf, "documents")
+    before = sm.word_set(F.expr("substring(text, 1, length(text) - 40)"))
+    old = sm.signatures(d.select("doc_id", before.alias("tokens")), "doc_id", "tokens").select("doc_id", F.col("bands").alias("before"))
+    now = signatures(spark, sf).select("doc_id", "bands").join(old, "doc_id")
+    x = sm.drift(F.col("before"), F.col("bands"))
+    return now.select("doc_id", F.round(x, 6).alias("drift"), (x < 0.3).alias("stable"))
+
+
+@query("lsh_10_drifted", f"""WITH {FAMILY}, {signed(versions("text"))}, {signed(versions("substr(text, 1, length(text) - 40)"), name="o")},
+    d AS (SELECT m.doc_id, m.k // 8 AS band, bool_or(m.v <> coalesce(o.v, 0)) AS differs FROM m LEFT JOIN o ON o.doc_id = m.doc_id AND o.k = m.k GROUP BY 1, 2) SELECT doc_id FROM d GROUP BY doc_id HAVING count(*) FILTER (differs) / 16.0::DOUBLE >= 0.3""")
+def drifted(spark: SparkSession, sf: str) -> DataFrame:
+    return drift(spark, sf).where(~F.col("stable")).select("doc_id")
 
 
 @query("set_07_path_jaccard", "WITH c AS (SELECT c_custkey AS id, list_distinct(list(o_orderpriority)) AS p FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1) SELECT x.id, round(len(list_intersect(x.p, y.p)) / len(list_distinct(list_concat(x.p, y.p)))::DOUBLE, 6) AS jaccard FROM c x JOIN c y ON y.id = x.id + 1")
@@ -102,10 +182,12 @@ def feature_text(spark: SparkSession, sf: str) -> DataFrame:
     return symbols(spark, sf).select("id", F.concat_ws(" ", F.concat(F.lit("role:"), "role"), F.concat(F.lit("intent:"), "intent"), tags, F.concat(F.lit("name:"), "name")).alias("feature_text"))
 
 
-@query("lsh_10_drift", f"""WITH d AS (SELECT doc_id, md5(text) AS h FROM documents), b AS (SELECT doc_id, list_transform(range(16), lambda k: substr(h, 2 * k + 1, 1)) AS bands FROM d)
-    SELECT x.doc_id, round(len(list_filter(range(1, 17), lambda k: x.bands[k] <> y.bands[k])) / 16.0::DOUBLE, 6) AS drift, len(list_filter(range(1, 17), lambda k: x.bands[k] <> y.bands[k])) / 16.0::DOUBLE < 0.3 AS stable FROM b x JOIN b y ON y.doc_id = x.doc_id + 1""")
-def drift(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.substring(F.md5(F.col("text").cast("binary")), 2 * k + 1, F.lit(1))).alias("bands"))
-    j = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("bands").alias("other")), "doc_id")
-    x = F.aggregate(F.zip_with("bands", "other", lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, v: s + v) / 16.0
-    return j.select("doc_id", F.round(x, 6).alias("drift"), (x < 0.3).alias("stable"))
+@query("fn_58_band_mismatch", f"""WITH {FAMILY}, {signed(DOCS)}, p AS (SELECT doc_id, k // 8 AS band, list(v ORDER BY k) AS value FROM m GROUP BY 1, 2), pairs AS (SELECT l_orderkey, min(l_partkey % (SELECT count(*) FROM documents)) AS a, max(l_partkey % (SELECT count(*) FROM documents)) AS b FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, round(count(*) FILTER (x.value <> y.value) / 16.0::DOUBLE, 6) AS mismatch FROM pairs JOIN p x ON x.doc_id = a JOIN p y ON y.doc_id = b AND y.band = x.band GROUP BY l_orderkey""")
+def band_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    """Bands that differ, place by place, for a pair of documents of each order."""
+    n = table(spark, sf, "documents").count()
+    pairs = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min(F.col("l_partkey") % n).alias("a"), F.max(F.col("l_partkey") % n).alias("b"))
+    s = save(signatures(spark, sf).select("doc_id", "bands"))
+    j = pairs.join(s.withColumnsRenamed({"doc_id": "a", "bands": "x"}), "a").join(s.withColumnsRenamed({"doc_id": "b", "bands": "y"}), "b")
+    return j.select("l_orderkey", F.round(sm.drift(F.col("x"), F.col("y")), 6).alias("mismatch"))
