@@ -47,6 +47,7 @@ CATEGORIES = {
     "generator": r"\byield\b",
     "memory": r"\bmalloc\b|\bfree\(|\bgc\.collect\b|\bweakref\b|\bmmap\b",
 }
+ENTRY_DECORATORS = ["click.command", "click.group", "app.route", "router.get", "router.post", "router.put", "router.delete"]
 ENTRY_NAMES = "main cli run start serve".split()
 COORDINATORS = "orchestrat manager coordinator dispatcher scheduler controller handler broker mediator".split()
 TRANSFORMERS = "transform convert mapper encoder decoder serialize deserialize normalize sanitize".split()
@@ -76,8 +77,21 @@ def behaviour(code: Column, language: str = "python") -> Column:
     return _named(rules | {k: _any(code, w) for k, w in BY_LANGUAGE.get(language, {}).items()})
 
 
-def categories(code: Column, name: Column) -> Column:
-    return _named({k: code.rlike(p) for k, p in CATEGORIES.items()} | {"entry_point": name.isin(ENTRY_NAMES)})
+def decorators(code: Column) -> Column:
+    """The dotted names after an @ at the start of a line."""
+    return F.regexp_extract_all(code, F.lit(r"(?m)^[ \t]*@([A-Za-z_][\w.]*)"), 1)
+
+
+def categories(code: Column, name: Column, kind: Column | None = None, decorated: Column | None = None) -> Column:
+    """Sorted tags by the code's patterns, an asynchronous kind, any decorator, and names or decorators of entry points."""
+    rules = {k: code.rlike(p) for k, p in CATEGORIES.items()}
+    entry = name.isin(ENTRY_NAMES)
+    if kind is not None:
+        rules["async"] = rules["async"] | (kind == "async_function")
+    if decorated is not None:
+        rules["decorator"] = F.exists(decorated, lambda d: F.trim(d) != "")
+        entry = entry | F.arrays_overlap(decorated, F.array(*map(F.lit, ENTRY_DECORATORS)))
+    return _named(rules | {"entry_point": entry})
 
 
 def role(kind: Column, tags: Column, name: Column, path: Column, calls: Column) -> Column:

@@ -20,11 +20,10 @@ from ..operators import structure as st
 from ..plans import traversal as tv
 from ..plans.transforms import chain, normalised
 from ..registry import query, r6
-from ..sources import codecs, scan
+from ..sources import codecs
 from ..tables import folder, save
 from .regions import BASE, base
 from .similarity import DOCS, FAMILY, best, signed
-from .sources import TREE, rows
 
 # --- registries and artefacts
 
@@ -123,24 +122,6 @@ def basins(spark: SparkSession, sf: str) -> DataFrame:
     return v.crossJoin(a).groupBy("vec_id").agg(F.min(F.struct(d.alias("d"), "attractor")).alias("b")).select("vec_id", F.col("b.attractor").alias("attractor"))
 
 
-@query("src_38_imports", "SELECT * FROM (VALUES ('fetch', 'aiohttp'), ('load_config', 'pathlib')) t(name, module)")
-def imports(spark: SparkSession, sf: str) -> DataFrame:
-    return rows(spark).select("name", F.explode("imports").alias("module"))
-
-
-@query("src_39_call_relations", "SELECT * FROM (VALUES ('main', 'fetch'), ('load_config', 'parse'), ('test_parse', 'parse'), ('parse', 'inner')) t(caller, callee)")
-def call_relations(spark: SparkSession, sf: str) -> DataFrame:
-    r = rows(spark).where("error is null")
-    known = r.select(F.col("name").alias("callee")).distinct()
-    return r.select(F.col("name").alias("caller"), F.explode("calls").alias("callee")).join(known, "callee", "left_semi").select("caller", "callee")
-
-
-@query("src_40_class_signatures", "SELECT * FROM (VALUES ('Repository', ['parse', 'save', 'size']), ('Worker', ['run'])) t(class, methods)")
-def class_signatures(spark: SparkSession, sf: str) -> DataFrame:
-    e = scan.edges(rows(spark)).where("kind = 'contains' and dst != 'sym::inner'")
-    return e.groupBy(F.replace("src", F.lit("sym::"), F.lit("")).alias("class")).agg(F.array_sort(F.collect_list(F.replace("dst", F.lit("sym::"), F.lit("")))).alias("methods"))
-
-
 # --- gates and joins
 
 
@@ -190,15 +171,6 @@ def deprecated_names(spark: SparkSession, sf: str) -> DataFrame:
     return t.join(names, "name").select("doc_id", "name")
 
 
-@query("joi_16_unbound_references", "SELECT 'Worker' AS class, 'stop' AS attribute")
-def unbound(spark: SparkSession, sf: str) -> DataFrame:
-    """References of a class to attributes that it doesn't declare."""
-    code = spark.createDataFrame([("Worker.run and Repository.save, but Worker.stop",)], "source string")
-    found = code.select(F.explode(F.regexp_extract_all("source", F.lit(r"\b([A-Z]\w*\.\w+)\b"), 1)).alias("r")).select(F.substring_index("r", ".", 1).alias("class"), F.substring_index("r", ".", -1).alias("attribute"))
-    e = scan.edges(rows(spark)).where("kind = 'contains'").select(F.replace("src", F.lit("sym::"), F.lit("")).alias("class"), F.replace("dst", F.lit("sym::"), F.lit("")).alias("attribute"))
-    return found.join(e, ["class", "attribute"], "left_anti")
-
-
 @query("joi_07_band_join", f"WITH {FAMILY}, {signed(DOCS)}, {best(0.5, 100).replace('SELECT a, b, rank, round(similarity, 6) AS similarity FROM r WHERE rank <= 100', 'SELECT floor(similarity * 10)::BIGINT AS tenth, count(DISTINCT a) AS documents, count(*) AS pairs FROM r WHERE rank <= 100 GROUP BY 1')}")
 def band_join(spark: SparkSession, sf: str) -> DataFrame:
     """How many documents have a similar one, by tens of percent, of up to 100 candidates each, the best."""
@@ -230,21 +202,6 @@ def module_of(spark: SparkSession, sf: str) -> DataFrame:
     return symbols(spark, sf).select("id", text.module(F.col("path")).alias("module"))
 
 
-def sources(spark: SparkSession) -> DataFrame:
-    return scan.files(spark, TREE).where("reason is null and path != 'pkg/broken.py'").select("path", F.decode("content", "UTF-8").alias("source"))
-
-
-@query("fn_11_behaviour_tags", "SELECT * FROM (VALUES ('pkg/plain.py', ['function', 'import', 'return']), ('pkg/store.py', ['class', 'decorator', 'function', 'import', 'return']), ('pkg/stub.pyi', ['function']), ('pkg/worker.py', ['async', 'await', 'class', 'decorator', 'function', 'import', 'lock', 'return', 'with'])) t(path, tags)")
-def behaviour(spark: SparkSession, sf: str) -> DataFrame:
-    return sources(spark).select("path", ct.behaviour(F.col("source")).alias("tags"))
-
-
-@query("fn_12_category_roles", "SELECT * FROM (VALUES ('pkg/plain.py', ['filesystem', 'io_bound', 'parse'], 'io_handler'), ('pkg/store.py', [], 'unknown'), ('pkg/stub.pyi', [], 'unknown'), ('pkg/worker.py', ['async', 'network'], 'io_handler')) t(path, tags, role)")
-def category_roles(spark: SparkSession, sf: str) -> DataFrame:
-    t = sources(spark).withColumn("tags", ct.categories(F.col("source"), F.lit("x")))
-    return t.select("path", "tags", ct.role(F.lit("function"), F.col("tags"), F.lit("x"), F.col("path"), F.lit(0)).alias("role"))
-
-
 @query("fn_16_detail_levels", "SELECT * FROM (VALUES ('Fix the crash', 'FULL', 0.95), ('explain it', 'SUMMARY', 0.3), ('rename this', 'SKELETON', 0.8), ('import graph', 'HIDDEN', 0.1), ('', 'SKELETON', 0.7)) t(task, level, precision)".replace("0.95)", "0.95::DOUBLE)"))
 def detail(spark: SparkSession, sf: str) -> DataFrame:
     t = spark.createDataFrame([("Fix the crash",), ("explain it",), ("rename this",), ("import graph",), ("",)], "task string")

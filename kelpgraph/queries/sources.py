@@ -20,63 +20,6 @@ def rows(spark: SparkSession) -> DataFrame:
     return scan.features(scan.symbols(scan.files(spark, TREE)))
 
 
-@query("src_01_discover", "SELECT * FROM (VALUES ('build/made.py', 'ignored'), ('pkg/broken.py', 'passed'), ('pkg/nul.py', 'binary'), ('pkg/plain.py', 'passed'), ('pkg/store.py', 'passed'), ('pkg/stub.pyi', 'passed'), ('pkg/worker.py', 'passed')) t(path, reason)")
-def discover(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.files(spark, TREE).select("path", F.coalesce("reason", F.lit("passed")).alias("reason"))
-
-
-@query("src_03_symbols", """SELECT * FROM (VALUES ('Entry', 'class', 'pkg/store.py'), ('Repository', 'class', 'pkg/store.py'), ('Worker', 'class', 'pkg/worker.py'), ('_hidden', 'function', 'pkg/plain.py'), ('fetch', 'async_function', 'pkg/worker.py'),
-    ('inner', 'method', 'pkg/store.py'), ('load_config', 'function', 'pkg/plain.py'), ('main', 'function', 'pkg/worker.py'), ('parse', 'function', 'pkg/plain.py'), ('parse', 'method', 'pkg/store.py'), ('run', 'method', 'pkg/worker.py'), ('save', 'method', 'pkg/store.py'),
-    ('size', 'method', 'pkg/store.py'), ('stub', 'function', 'pkg/stub.pyi'), ('test_parse', 'function', 'pkg/plain.py')) t(name, kind, path)""")
-def symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return rows(spark).where("error is null").select("name", "kind", "path")
-
-
-@query("src_02_unreadable", "SELECT 'pkg/broken.py' AS path, 'SyntaxError' AS error")
-def unreadable(spark: SparkSession, sf: str) -> DataFrame:
-    return rows(spark).where("error is not null").select("path", "error")
-
-
-@query("grb_01_nodes", "SELECT * FROM (VALUES ('category', 12), ('symbol', 14)) t(type, n)")
-def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    n = scan.nodes(rows(spark))
-    return n.groupBy("type").agg(F.count(F.lit(1)).cast("int").alias("n"))
-
-
-@query("grb_04_reference_edges")
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.edges(rows(spark))
-
-
-@query("grb_08_aliases", "SELECT * FROM (VALUES ('parse', 'pkg/plain.py'), ('parse', 'pkg/store.py')) t(name, path)")
-def aliases(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.aliases(rows(spark)).select("name", "path")
-
-
-@query("fn_13_feature_tags", "SELECT * FROM (VALUES ('fetch', ['async_lock_pattern'])) t(name, risk_anchors)")
-def tags(spark: SparkSession, sf: str) -> DataFrame:
-    return rows(spark).where("size(risk_anchors) > 0").select("name", "risk_anchors")
-
-
-@query("fn_40_intents", "SELECT * FROM (VALUES ('fetch', 'network'), ('load_config', 'config'), ('save', 'database'), ('test_parse', 'test')) t(name, intent)")
-def intents(spark: SparkSession, sf: str) -> DataFrame:
-    found, _ = rl.intent(F.col("name"), F.col("kind"), F.concat("path", F.lit("/"), "name"), F.col("calls"), F.col("imports"))
-    return rows(spark).where("name in ('fetch', 'load_config', 'save', 'test_parse')").select("name", found.alias("intent"))
-
-
-@query("fn_41_class_roles", "SELECT * FROM (VALUES ('Entry', 'unknown'), ('Repository', 'repository'), ('Worker', 'worker')) t(name, role)")
-def class_roles(spark: SparkSession, sf: str) -> DataFrame:
-    r = rows(spark).where("kind = 'class'")
-    return r.select("name", rl.class_role(F.col("name"), F.col("calls"), F.col("imports"))[0].alias("role"))
-
-
-@query("fn_17_fidelity", "SELECT 'pkg/plain.py' AS path, 1.0::DOUBLE AS fidelity")
-def fidelity(spark: SparkSession, sf: str) -> DataFrame:
-    f = scan.files(spark, TREE).where("path = 'pkg/plain.py'").select("path", F.decode("content", "UTF-8").alias("source"))
-    n = rows(spark).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    return f.join(n, "path").select("path", text.fidelity(F.col("n"), F.col("source")).alias("fidelity"))
-
-
 @query("src_41_incremental", "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'new' WHEN p_partkey % 7 = 0 THEN 'pending' ELSE 'done' END AS state FROM part")
 def incremental(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("path"), F.md5(F.col("p_name").cast("binary")).alias("fingerprint"))

@@ -14,6 +14,7 @@ from ..functions import text
 from ..operators.rules import WEIGHTS, _has, first_failure
 
 SYMBOL = "name string, kind string, path string, line int, signature string, docstring string, calls array<string>, imports array<string>, decorators array<string>, inherits array<string>, attributes array<string>, error string"
+#: What a scan leaves out.
 DEFAULT_IGNORE = [".git/", "__pycache__/", "*.pyc", ".venv/", "venv/", "node_modules/", "dist/", "build/"]
 MOST_BYTES = 10 * 1024 * 1024
 _BUILTINS = frozenset(dir(builtins))
@@ -23,11 +24,15 @@ def files(spark: SparkSession, root: str, ignore: list[str] | None = None) -> Da
     """path (under root), content, reason: null for files that pass the gate, else why not."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{py,pyi}").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace(F.col("path"), "^.*" + root.rstrip("/").rpartition("/")[2] + "/", "")
+    return gated(raw.select(path.alias("path"), "content", "length"), ignore)
+
+
+def gated(raw: DataFrame, ignore: list[str] | None = None) -> DataFrame:
+    """path, content, length and reason of files given as rows of the first three."""
     head = F.substring(F.hex("content"), 1, 16_384)
     has_nul = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(head)), F.lit(2)), lambda i: F.substring(head, i, F.lit(2)) == "00")
-    f = raw.select(path.alias("path"), "content", "length")
     reason = first_failure({"ignored": text.ignored(F.col("path"), ignore if ignore is not None else DEFAULT_IGNORE), "too_large": F.col("length") > MOST_BYTES, "binary": has_nul})
-    return f.withColumn("reason", reason)
+    return raw.withColumn("reason", reason)
 
 
 def _name(node: ast.AST) -> str | None:
@@ -86,6 +91,7 @@ def symbols(found: DataFrame) -> DataFrame:
 
 def features(rows: DataFrame) -> DataFrame:
     """symbols with tags from kind, decorators, imports, calls and name, and the risk of locks in asynchronous code."""
+    # fixed values: what modules' names tell
     indicators = {
         "async": ["async", "await", "asyncio", "aiohttp", "aiofiles"], "lock": ["lock", "mutex", "semaphore", "rlock", "condition"], "network": ["http", "socket", "requests", "urllib", "aiohttp"],
         "filesystem": ["file", "path", "open", "read", "write", "pathlib"], "database": ["db", "sql", "query", "postgres", "mysql", "sqlite", "asyncpg", "psycopg"], "memory": ["cache", "pool", "buffer", "memory", "mmap"],
