@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from .functions import energy, roles
 from .operators import fields, regions, rules
 from .operators import structure as st
-from .plans import beam
+from .operators.similarity import band_join, signatures, word_set
+from .plans import beam, planner
 from .plans import propagation as pg
 from .plans import traversal as tv
+from .ship import ship
+from .sources import scan
 from .tables import save
 
 
@@ -32,9 +35,10 @@ PRESETS = {"default": Prune(), "conservative": Prune(0.1, 3, 1000, 100), "aggres
 
 @dataclass
 class Engine:
-    """nodes: id and any of name, kind, tags, intent, is_noisy; edges: src, dst, kind, weight; aliases: name, id.
+    """nodes: id and any of name, kind, tags, intent, is_noisy, vector; edges: src, dst, kind, weight; aliases: name, id.
 
-    Each method is a plan over these tables; loops write their rounds to the shared folder.
+    Each method is a plan over these tables; loops write their rounds to the shared folder. The package goes to the
+    executors when an engine is made.
     """
 
     spark: SparkSession
@@ -43,6 +47,18 @@ class Engine:
     aliases: DataFrame | None = None
     prune: Prune = field(default_factory=Prune)
 
+    def __post_init__(self) -> None:
+        ship(self.spark)
+
+    @classmethod
+    def scan_workspace(cls, spark: SparkSession, root: str, ignore: list[str] | None = None) -> Engine:
+        """An engine over the symbols and references of a source tree."""
+        ship(spark)
+        rows = save(scan.features(scan.symbols(scan.files(spark, root, ignore))))
+        nodes = scan.nodes(rows).withColumn("name", F.regexp_replace("id", "^(sym|cat)::", "")).withColumn("kind", F.coalesce(F.get_json_object("metadata", "$.kind"), F.lit("category")))
+        places = scan.aliases(rows).select("name", F.concat(F.lit("sym::"), "name").alias("id")).distinct()
+        return cls(spark, save(nodes.select("id", "name", "kind", "tags").withColumn("is_noisy", F.lit(False))), save(scan.edges(rows).drop("layer")), places)
+
     @cached_property
     def graph(self) -> DataFrame:
         """Edges normalised at hubs and pruned to the strongest of each node."""
@@ -136,16 +152,35 @@ class Engine:
 
     # planning
 
-    def plan_trajectory(self, src: str, dst: str, hops: int = 20) -> DataFrame:
-        """The path of least cost (2 - weight a step): node, cost, hops, path."""
-        e = self.edges.select("src", "dst", (2 - F.col("weight")).alias("cost"))
-        return pg.cheapest(save(e), self._start(src), hops=hops).where(F.col("node") == dst)
+    @cached_property
+    def planned(self) -> DataFrame:
+        """id, energy, friction, mass and vector of the nodes: their own vector, or five measures of the graph."""
+        f = self.states().withColumn("mass", (F.col("in_degree") + F.col("out_degree")).cast("double"))
+        if "vector" in self.nodes.columns:
+            f = f.join(self.nodes.select("id", F.col("vector").cast("array<double>").alias("vector")), "id", "left")
+        else:
+            f = f.withColumn("vector", F.array(*(F.col(c).cast("double") for c in ("centrality", "betweenness", "clustering", "tau_persistence", "entry_variance"))))
+        return save(f.select("id", "energy", "friction", "mass", "vector"))
+
+    def costs(self, intent: list[float] | None = None) -> DataFrame:
+        return save(planner.transition_costs(self.planned, self.edges, intent))
+
+    def plan_trajectory(self, src: str, dst: str, hops: int = 20, intent: list[float] | None = None, avoid: list[str] | None = None) -> DataFrame:
+        """The path of least transition cost: node, cost, hops, path. Nodes to avoid, and those of friction over 0.8, aren't entered."""
+        barred = self.planned.where((F.col("friction") > 0.8) | F.col("id").isin(avoid or [])).select(F.col("id").alias("dst"))
+        return pg.cheapest(save(self.costs(intent).join(barred, "dst", "left_anti")), self._start(src), hops=hops).where(F.col("node") == dst)
 
     def plan_alternatives(self, src: str, dst: str, k: int = 3, hops: int = 6) -> DataFrame:
-        return pg.simple_paths(save(self.edges.select("src", "dst", (2 - F.col("weight")).alias("cost"))), src, dst, hops=hops, k=k)
+        return pg.simple_paths(self.costs(), src, dst, hops=hops, k=k)
+
+    def query_next_nodes(self, src: str, intent: list[float] | None = None, k: int = 5) -> DataFrame:
+        """dst, cost of the neighbours that are cheapest to go to."""
+        return self.costs(intent).where(F.col("src") == src).orderBy("cost", "dst").limit(k).select("dst", "cost")
 
-    def explore(self, *ids: str, width: int = 5, depth: int = 3) -> DataFrame:
-        return beam.explore(self.edges, self._start(*ids), width=width, depth=depth)
+    def explore(self, *ids: str, width: int = 5, depth: int = 5, intent: list[float] | None = None) -> DataFrame:
+        """Beams from nodes through feasible states; without an intent, direction neither bars nor ranks."""
+        states = self.planned if intent is not None else self.planned.withColumn("vector", F.lit(None).cast("array<double>"))
+        return beam.explore(self.edges, planner.feasible(states, intent or [1.0]), self._start(*ids), width=width, steps=depth)
 
     # fields and regions
 
@@ -154,7 +189,8 @@ class Engine:
         return fields.with_energy(self.features, fields.entropy(e, "id", "weight", "ln"))
 
     def get_field_vector(self, ident: str) -> DataFrame:
-        p = self.states().select("id", "energy", F.col("centrality").alias("x"), F.col("betweenness").alias("y"), F.col("clustering").alias("z"))
+        at = lambda k, name: F.coalesce(F.get("vector", F.lit(k)), F.lit(0.0)).alias(name)
+        p = self.planned.select("id", "energy", at(0, "x"), at(1, "y"), at(2, "z"))
         return fields.gradient(p, self.edges).where(F.col("id") == ident)
 
     def detect_attractors(self, k: int = 20) -> DataFrame:
@@ -174,3 +210,20 @@ class Engine:
         entries = self.get_semantic_centers().where(F.col("region") == region).select(F.explode(F.slice("entries", 1, 3)).alias("id"))
         visits, _ = tv.bfs(self.edges, entries, depth)
         return visits.groupBy("node").agg(F.min("depth").alias("depth")).where("depth > 0").orderBy("depth", "node").limit(limit)
+
+    # similar names, and the phases as one run
+
+    def similar(self, least: float = 0.7, k: int = 10) -> DataFrame:
+        """a, b, similarity, rank of nodes by what their rows say."""
+        words = word_set(F.concat_ws(" ", *(F.col(c).cast("string") for c in self.nodes.columns if c not in ("id", "vector"))))
+        return band_join(signatures(self.nodes.select("id", words.alias("tokens")), "id", "tokens"), "id", least, k)
+
+    def phases(self, depth: int = 3, tau: float = 0.05) -> dict[str, DataFrame]:
+        """All phases in order, each written: events of a traversal from every source, states of the graph, their energies,
+        regions with their energy, and centers with entry points."""
+        starts = self.edges.select(F.col("src").alias("id")).distinct()
+        events = save(tv.build_events(*tv.bfs(self.edges, starts, depth, tau=tau)))
+        energies = save(self.states())
+        role, _ = st.topology_role(*(F.col(c) for c in ("in_degree", "out_degree", "centrality", "betweenness", "clustering")))
+        regions_ = energies.groupBy(F.concat_ws("/", role, regions.energy_band(F.col("energy")).cast("string")).alias("region")).agg(F.count(F.lit(1)).alias("size"), F.avg("energy").alias("energy"))
+        return {"events": events, "states": self.features, "energies": energies, "field": save(regions_), "centers": save(self.get_semantic_centers())}

@@ -158,7 +158,7 @@ def subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return out.join(ids.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select(*edges.columns)
 
 
-def scc(edges: DataFrame, limit: int = 2_000_000) -> DataFrame:
+def scc(edges: DataFrame) -> DataFrame:
     """Strongly connected components (id, component: its smallest id) of nodes that lie on a cycle.
 
     First nodes without edges in or out are trimmed until none is left, which is all of an acyclic part; then colours

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import save
+
 
 
 
@@ -39,7 +41,29 @@ def knn_graph(points: DataFrame, k: int = 3, cells: int = 8) -> DataFrame:
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def betti_1(points: DataFrame, components: int, k: int = 3) -> int:
-    """max(0, (edges - nodes + components) // 2) of the neighbour graph; 0 for under 50 points."""
-    n = points.count()
-    return 0 if n < 50 else max(0, (knn_graph(points, k).count() - n + components) // 2)
+def betti_1(points: DataFrame, k: int = 3) -> DataFrame:
+    """nodes, edges, components and betti_1 = max(0, (edges - nodes + components) // 2) of the neighbour graph, one row; 0
+    for under 50 points."""
+    edges = save(knn_graph(points, k))
+    joined = labels(edges)
+    n = points.agg(F.count(F.lit(1)).alias("nodes"))
+    e = edges.agg(F.count(F.lit(1)).alias("edges"))
+    c = joined.agg(F.count_distinct("component").alias("joined"), F.count(F.lit(1)).alias("linked"))
+    row = n.crossJoin(e).crossJoin(c).withColumn("components", F.col("joined") + F.col("nodes") - F.col("linked"))  # one row each
+    betti = F.when(F.col("nodes") < 50, F.lit(0)).otherwise(F.greatest(F.lit(0), F.expr("(edges - nodes + components) div 2"))).cast("long")
+    return row.select("nodes", "edges", "components", betti.alias("betti_1"))
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """id, component: the smallest id that edges (u, v) connect a node with. Each round a node takes the least label around
+    it and then that label's own label, so that chains halve."""
+    both = save(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    state = save(both.select(F.col("u").alias("id")).distinct().withColumn("component", F.col("id")))
+    while True:
+        near = both.join(state.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
+        new = state.join(near, "id", "left").select("id", "component", F.least("component", "near").alias("least"))
+        jump = state.select(F.col("id").alias("least"), F.col("component").alias("far"))
+        new = save(new.join(jump, "least", "left").select("id", F.least("least", "far").alias("component"), (F.least("least", "far") < F.col("component")).alias("changed")))
+        state = new.select("id", "component")
+        if new.where("changed").isEmpty():
+            return state

@@ -73,7 +73,7 @@ def cheapest(edges: DataFrame, starts: DataFrame, *, cost: str = "cost", hops: i
 def simple_paths(edges: DataFrame, src: str, dst: str, *, cost: str = "cost", hops: int = 6, k: int = 5) -> DataFrame:
     """The k cheapest simple paths: rank, path, cost, hops (ties by the path)."""
     spark = edges.sparkSession
-    # only edges that can lie on such a path: forward distance + backward distance within hops
+    edges = _between(edges, src, dst, hops)
     state = spark.createDataFrame([([src], 0.0)], "path array<string>, cost double").withColumn("node", F.lit(src))
     found = None
     step = edges.select(F.col("src").alias("node"), "dst", F.col(cost).alias("edge"))
@@ -85,3 +85,23 @@ def simple_paths(edges: DataFrame, src: str, dst: str, *, cost: str = "cost", ho
         state = state.where(F.col("node") != dst)
     top = found.orderBy("cost", "path").limit(k)
     return top.select(F.row_number().over(Window.orderBy("cost", "path")).alias("rank"), "path", "cost", (F.size("path") - 1).alias("hops"))
+
+
+def _between(edges: DataFrame, src: str, dst: str, hops: int) -> DataFrame:
+    """The edges that can lie on a path of at most `hops` from src to dst: distances to their ends and theirs to dst fit."""
+    spark = edges.sparkSession
+
+    def reached(start: str, a: str, b: str) -> DataFrame:
+        seen = save(spark.createDataFrame([(start, 0)], "node string, far int"))
+        last = seen
+        for k in range(1, hops):
+            new = last.join(edges.select(F.col(a).alias("node"), F.col(b).alias("to")), "node").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti")
+            last = save(new.withColumn("far", F.lit(k)))
+            if last.isEmpty():
+                break
+            seen = save(seen.unionByName(last))
+        return seen
+
+    ahead, behind = reached(src, "src", "dst"), reached(dst, "dst", "src")
+    e = edges.join(ahead.select(F.col("node").alias("src"), F.col("far").alias("f")), "src").join(behind.select(F.col("node").alias("dst"), F.col("far").alias("b")), "dst")
+    return save(e.where(F.col("f") + F.col("b") + 1 <= hops).drop("f", "b"))

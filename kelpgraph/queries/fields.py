@@ -11,6 +11,7 @@ from ..functions import roles
 from ..operators import fields as fd
 from ..operators import structure as st
 from ..registry import query, r6, rounded
+from ..tables import save
 from .graph import ROLE, SCORES
 
 
@@ -259,18 +260,38 @@ def quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("pth_08_next_nodes", with_views("""WITH s AS (SELECT id, round(centrality, 6) AS energy, round(1 - clustering, 6) AS friction FROM features), sample AS (SELECT * FROM s ORDER BY id LIMIT 20)
-    SELECT a.id, b.id AS next, round(greatest(0, b.energy - a.energy) + 0.5::DOUBLE * b.friction, 6) AS cost FROM s a, sample b WHERE a.id LIKE 'sym::1%' AND a.id <> b.id""", "features"))
+    SELECT a.id, b.id AS next, round(greatest(0, b.energy - a.energy) + 0.5::DOUBLE * b.friction, 6) AS cost FROM s a, sample b WHERE a.id <> b.id""", "features"))
 def next_nodes(spark: SparkSession, sf: str) -> DataFrame:
     s = st.features(calls(spark, sf)).select("id", r6("centrality").alias("energy"), r6(1 - F.col("clustering")).alias("friction"))
     sample = s.orderBy("id").limit(20).select(F.col("id").alias("next"), F.col("energy").alias("e2"), F.col("friction").alias("f2"))  # of 20 rows by definition
-    p = s.where("id like 'sym::1%'").crossJoin(F.broadcast(sample)).where("id != next")
+    p = s.crossJoin(F.broadcast(sample)).where("id != next")
     return p.select("id", "next", r6(en.cumulative_barrier(F.col("e2") - F.col("energy"), F.col("f2"))).alias("cost"))
 
 
+INTENT = [1.0, 0.2, -0.5]
+
+
 @query("pth_05_beam_exploration")
 def beam(spark: SparkSession, sf: str) -> DataFrame:
-    """Feasible extensions of paths level by level, the 5 best of each start kept, no two of them alike by over 0.6 (Jaccard)."""
+    """From every symbol five steps along states that pass the gates of friction, alignment and coherence. Which paths are
+    alike is decided greedily, which SQL can't express: a test compares with a plain model."""
     from ..plans.beam import explore
+    from ..plans.planner import feasible
 
-    e = calls(spark, sf)
-    return explore(e, e.where("src like 'sym::1%'").select(F.col("src").alias("id")).distinct(), width=5, depth=3)
+    return explore(calls(spark, sf), feasible(directed(spark, sf), INTENT), symbols(spark, sf).select("id"))
+
+
+def directed(spark: SparkSession, sf: str) -> DataFrame:
+    """id, friction, vector of the symbols: the vector is that of the embedding of the same number, its first three components."""
+    f = st.states(calls(spark, sf)).select("id", en.runtime_friction(F.col("tau_persistence") * 0.4, F.col("structural_noise")).alias("friction"))
+    v = table(spark, sf, "embeddings").select(F.concat(F.lit("sym::"), "vec_id").alias("id"), F.slice("embedding", 1, 3).cast("array<double>").alias("vector"))
+    return save(f.join(v, "id", "left"))
+
+
+@query("pth_05_feasible_states", with_views("""WITH d AS (SELECT s.id, least(1, (1 - tau_persistence * 0.4::DOUBLE) * (1 + structural_noise)) AS friction, list_transform(embedding[1:3], lambda x: x::DOUBLE) AS v FROM states s LEFT JOIN embeddings ON 'sym::' || vec_id = s.id),
+    g AS (SELECT id, friction, v IS NOT NULL AND len(list_filter(v, lambda x: x <> 0)) > 0 AS known, (list_cosine_similarity(v, [1.0, 0.2, -0.5]::DOUBLE[]) + 1) / 2 AS al, least(1, sqrt(list_dot_product(v, v)) / 1.5::DOUBLE) AS co FROM d)
+    SELECT id, round(CASE WHEN known THEN al ELSE 0.5 END, 6) AS score FROM g WHERE friction <= 0.8 AND (NOT known OR (al >= 0.3 AND co >= 0.2))""", "states"))
+def feasible_states(spark: SparkSession, sf: str) -> DataFrame:
+    from ..plans.planner import feasible
+
+    return feasible(directed(spark, sf), INTENT).select("id", r6("score").alias("score"))

@@ -90,11 +90,11 @@ def curvature(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(st.curvature(calls(spark, sf)), "norm")
 
 
-@query("str_04_curvature_lookup", with_views(f"WITH {TRI}, {CURV} SELECT u, v, round(norm, 6) AS norm, round(norm * (1 + greatest(a.in_degree + a.out_degree, b.in_degree + b.out_degree)), 6) AS raw FROM curv JOIN degrees a ON a.id = u JOIN degrees b ON b.id = v WHERE u < 'sym::2'", "calls", "degrees"))
+@query("str_04_curvature_lookup", with_views(f"WITH {TRI}, {CURV} SELECT u, v, round(norm, 6) AS norm, round(norm * (1 + greatest(a.in_degree + a.out_degree, b.in_degree + b.out_degree)), 6) AS raw FROM curv JOIN degrees a ON a.id = u JOIN degrees b ON b.id = v", "calls", "degrees"))
 def cached_curvature(spark: SparkSession, sf: str) -> DataFrame:
     e = calls(spark, sf)
     d = st.degrees(e).select("id", (F.col("in_degree") + F.col("out_degree")).alias("n"))
-    c = st.curvature(e).where("u < 'sym::2'").select("u", "v", "norm")
+    c = st.curvature(e).select("u", "v", "norm")
     c = c.join(d.withColumnsRenamed({"id": "u", "n": "du"}), "u").join(d.withColumnsRenamed({"id": "v", "n": "dv"}), "v")
     return c.select("u", "v", r6("norm").alias("norm"), r6(F.col("norm") * (1 + F.greatest("du", "dv"))).alias("raw"))
 
@@ -389,21 +389,16 @@ def calling_modules(spark: SparkSession, sf: str) -> DataFrame:
     return calls(spark, sf).join(m, "src").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("callers"), F.count_distinct("module").alias("modules"))
 
 
-@query("joi_17_isolated", with_views("SELECT id FROM symbols WHERE id NOT IN (SELECT src FROM calls UNION ALL SELECT dst FROM calls)", "symbols", "calls"))
-def isolated(spark: SparkSession, sf: str) -> DataFrame:
-    e = calls(spark, sf)
-    seen = e.select(F.col("src").alias("id")).union(e.select("dst"))
-    return symbols(spark, sf).select("id").join(seen, "id", "left_anti")
-
-
 @query("str_10_modules", with_views(f"WITH {MODULE} SELECT module, count(*) AS n FROM module GROUP BY module", "symbols"))
 def modules(spark: SparkSession, sf: str) -> DataFrame:
     return symbols(spark, sf).groupBy(F.regexp_extract("path", "^[^/]+/([^/]+)/", 1).alias("module")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("str_01_cycles")
+@query("str_01_cycles", with_views("""RECURSIVE WITH e AS (SELECT src, dst FROM calls WHERE weight >= 0.6), r AS (SELECT src AS u, dst AS v FROM e UNION SELECT u, dst FROM r JOIN e ON src = v), m AS (SELECT DISTINCT a.u, a.v FROM r a JOIN r b ON b.u = a.v AND b.v = a.u),
+    c AS (SELECT u AS id, least(u, min(v)) AS component FROM m GROUP BY u), g AS (SELECT component, count(*) AS size, bool_or(intent = 'async') AS a, bool_or(intent IN ('database', 'network')) AS d FROM c LEFT JOIN symbols USING (id) GROUP BY component)
+    SELECT component, size, CASE WHEN a THEN 'CRITICAL' WHEN d THEN 'HIGH' WHEN size > 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM g WHERE size > 1""", "calls", "symbols"))
 def cycles(spark: SparkSession, sf: str) -> DataFrame:
-    """Components on cycles with their size and risk: no SQL twin (two nested fix-points)."""
+    """Components on cycles with their size and risk; in SQL, what reaches each other."""
     e = calls(spark, sf).where("weight >= 0.6")
     parts = st.scc(e).join(symbols(spark, sf).select("id", "intent"), "id", "left")
     g = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.bool_or(F.col("intent") == "async").alias("a"), F.bool_or(F.col("intent").isin("database", "network")).alias("d"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,16 +29,15 @@ from .similarity import DOCS, FAMILY, best, signed
 # --- registries and artefacts
 
 
-@query("src_05_registry_lookup", with_views("SELECT s.id, s.kind, c.dst, c.weight FROM symbols s LEFT JOIN calls c ON c.src = s.id WHERE s.id IN ('sym::3', 'sym::4')", "symbols", "calls"))
+@query("src_05_registry_lookup", with_views("SELECT s.id, s.kind, c.dst, c.weight FROM symbols s LEFT JOIN calls c ON c.src = s.id", "symbols", "calls"))
 def registry_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    s = symbols(spark, sf).where(F.col("id").isin("sym::3", "sym::4")).select("id", "kind")
+    s = symbols(spark, sf).select("id", "kind")
     return s.join(calls(spark, sf).select(F.col("src").alias("id"), "dst", "weight"), "id", "left")
 
 
-@query("src_09_degree_cache", with_views("SELECT id, out_degree, in_degree FROM degrees WHERE id LIKE 'sym::1%'", "degrees"))
+@query("src_09_degree_cache", with_views("SELECT id, out_degree, in_degree FROM degrees", "degrees"))
 def degree_cache(spark: SparkSession, sf: str) -> DataFrame:
-    cache = save(st.degrees(calls(spark, sf)).select("id", "out_degree", "in_degree"))
-    return cache.where("id like 'sym::1%'")
+    return save(st.degrees(calls(spark, sf)).select("id", "out_degree", "in_degree"))
 
 
 @query("src_10_energy_load", with_views("SELECT s.id, coalesce(round(d.out_weight, 6), 0.5) AS gravity, CASE WHEN d.out_degree > 2 THEN 'saddle' ELSE 'not_critical_point' END AS field_role FROM symbols s LEFT JOIN degrees d ON d.id = s.id AND d.out_degree > 2", "symbols", "degrees"))
@@ -49,7 +49,7 @@ def energy_load(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("src_12_jsonl_round_trip", with_views("SELECT src, dst, weight FROM calls", "calls"))
 def jsonl(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{folder(spark)}/edges-{sf.rstrip('/').rpartition('/')[2]}.jsonl"
+    path = f"{folder(spark)}/edges-{uuid.uuid4().hex}.jsonl"
     codecs.to_jsonl(calls(spark, sf).select("src", "dst", "weight"), path)
     good, _ = codecs.read_jsonl(spark, path, "src string, dst string, weight double")
     return good
@@ -65,9 +65,9 @@ def selection(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(found, "source string, available boolean")
 
 
-@query("src_18_event_rows", with_views("SELECT 'EDGE_TRAVERSE' AS event_type, src, dst, weight FROM calls WHERE src = 'sym::1' UNION ALL SELECT 'NODE_VISIT', 'sym::1', NULL, NULL", "calls"))
+@query("src_18_event_rows", with_views("SELECT 'EDGE_TRAVERSE' AS event_type, src, dst, weight FROM calls UNION ALL SELECT DISTINCT 'NODE_VISIT', src, NULL, NULL FROM calls", "calls"))
 def event_rows(spark: SparkSession, sf: str) -> DataFrame:
-    e = save(calls(spark, sf).where("src = 'sym::1'"))
+    e = calls(spark, sf)
     rows_ = tv.build_events(*tv.bfs(e, e.select(F.col("src").alias("id")).distinct(), 1)).where("event_type != 'QUERY_METADATA' and (event_type = 'EDGE_TRAVERSE' or depth = 0)")
     return rows_.select("event_type", "src", "dst", "weight")
 
@@ -189,9 +189,10 @@ def best_pair(spark: SparkSession, sf: str) -> DataFrame:
     return calls(spark, sf).groupBy("src").agg(F.min(F.struct((-F.col("weight")).alias("w"), "dst")).alias("b")).select("src", F.col("b.dst").alias("best"))
 
 
-@query("set_02_frontier", with_views("SELECT DISTINCT dst FROM calls WHERE src LIKE 'sym::2%'", "calls"))
+@query("set_02_frontier", with_views("SELECT DISTINCT dst FROM calls JOIN symbols ON id = src WHERE intent = 'database' OR is_noisy", "calls", "symbols"))
 def frontier(spark: SparkSession, sf: str) -> DataFrame:
-    return calls(spark, sf).where("src like 'sym::2%'").select("dst").distinct()
+    now = symbols(spark, sf).where("intent = 'database' or is_noisy").select(F.col("id").alias("src"))
+    return calls(spark, sf).join(now, "src", "left_semi").select("dst").distinct()
 
 
 # --- scalar functions
@@ -339,12 +340,15 @@ def region_profile(spark: SparkSession, sf: str) -> DataFrame:
     return base(spark, sf).groupBy("role").agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("energy"), 5).alias("energy"), F.sha2(F.array_join(F.array_sort(F.collect_list("id")), ","), 256).alias("members"))
 
 
-@query("str_30_betti", "WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE vec_id < 200), n AS (SELECT a.vec_id AS u, b.vec_id AS v, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9), b.vec_id) AS rn FROM p a JOIN p b ON a.vec_id <> b.vec_id), e AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM n WHERE rn <= 3) SELECT (SELECT count(*) FROM p) AS nodes, (SELECT count(*) FROM e) AS edges")
+@query("str_30_betti", """WITH RECURSIVE p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), n AS (SELECT a.vec_id AS u, b.vec_id AS v, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9), b.vec_id) AS rn FROM p a JOIN p b ON a.vec_id <> b.vec_id),
+    e AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM n WHERE rn <= 3), both_ AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+    comp(id, c) USING KEY (id) AS (SELECT vec_id, vec_id FROM p UNION SELECT n.v, min(n.c) FROM (SELECT both_.v, comp.c FROM comp JOIN both_ ON both_.u = comp.id) n JOIN recurring.comp r ON r.id = n.v WHERE n.c < r.c GROUP BY n.v),
+    t AS (SELECT (SELECT count(*) FROM p) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT c) FROM comp) AS components) SELECT nodes, edges, components, CASE WHEN nodes < 50 THEN 0 ELSE greatest(0, (edges - nodes + components) // 2) END AS betti_1 FROM t""")
 def betti(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.topology import knn_graph
+    from ..operators.topology import betti_1
 
-    p = table(spark, sf, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("id"), F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
-    return knn_graph(p).agg(F.count(F.lit(1)).alias("edges")).crossJoin(p.agg(F.count(F.lit(1)).alias("nodes")))  # one row each
+    p = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
+    return betti_1(p)
 
 
 @query("str_37_steepest", with_views(f"WITH {BASE}, d AS (SELECT src, dst, round(b.energy - a.energy, 6) AS rise, row_number() OVER (PARTITION BY src ORDER BY round(b.energy - a.energy, 6) DESC, dst) AS rn FROM calls JOIN base a ON a.id = src JOIN base b ON b.id = dst) SELECT src, dst, rise FROM d WHERE rn = 1", "states", "calls"))
@@ -424,7 +428,8 @@ def normalise(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("res_05_reverse_index", with_views("SELECT dst AS id, count(*) AS references, list_sort(list(src))[1:3] AS first_callers FROM calls GROUP BY dst", "calls"))
 def reverse_index(spark: SparkSession, sf: str) -> DataFrame:
-    return calls(spark, sf).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("references"), F.slice(F.array_sort(F.collect_list("src")), 1, 3).alias("first_callers"))
+    c = calls(spark, sf).withColumn("rn", F.row_number().over(Window.partitionBy("dst").orderBy("src")))
+    return c.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("references"), F.array_sort(F.collect_list(F.when(F.col("rn") <= 3, F.col("src")))).alias("first_callers"))
 
 
 @query("res_06_file_vocabulary", with_views("SELECT path, id, role, intent, row_number() OVER (PARTITION BY path ORDER BY line, id)::INT AS place FROM symbols", "symbols"))

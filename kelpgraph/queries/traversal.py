@@ -92,12 +92,12 @@ def dependents(spark: SparkSession, sf: str) -> DataFrame:
     return tv.bfs(e, starts(spark, "r1"), 4)[0].select("node", "depth")
 
 
-@query("trv_06_dependencies", with_views("""WITH u0 AS (SELECT dst AS start, dst AS node, 0 AS depth FROM contains WHERE dst LIKE 'o1%'), u1 AS (SELECT start, src AS node, 1 AS depth FROM u0 JOIN contains ON dst = node),
+@query("trv_06_dependencies", with_views("""WITH u0 AS (SELECT dst AS start, dst AS node, 0 AS depth FROM contains ), u1 AS (SELECT start, src AS node, 1 AS depth FROM u0 JOIN contains ON dst = node),
     u2 AS (SELECT start, src AS node, 2 AS depth FROM u1 JOIN contains ON dst = node), u3 AS (SELECT start, src AS node, 3 AS depth FROM u2 JOIN contains ON dst = node)
     SELECT * FROM u0 UNION ALL SELECT * FROM u1 UNION ALL SELECT * FROM u2 UNION ALL SELECT * FROM u3""", "contains"))
 def dependencies(spark: SparkSession, sf: str) -> DataFrame:
     e = save(contains(spark, sf))
-    return tv.bfs(tv.reverse(e), e.where("dst like 'o1%'").select(F.col("dst").alias("id")), 4)[0]
+    return tv.bfs(tv.reverse(e), e.select(F.col("dst").alias("id")), 4)[0]
 
 
 @query("trv_04_both_directions", with_views("""WITH b AS (SELECT src, dst FROM contains UNION ALL SELECT dst, src FROM contains), d1 AS (SELECT DISTINCT dst AS node FROM b WHERE src = 'n5'),
@@ -291,9 +291,33 @@ def cheapest(spark: SparkSession, sf: str) -> DataFrame:
     return pg.cheapest(costs(spark, sf), starts(spark, "sym::1"), hops=60).select("node", r6("cost").alias("cost"))
 
 
-@query("pth_02_plan", recursive(f"WITH {COST}, {CHEAP} SELECT node, round(cost, 6) AS cost, cost <= 10 AS valid FROM least_ WHERE node IN ('sym::10', 'sym::20', 'sym::30', 'sym::40')", "calls"))
+#: States to plan over: energy, friction, mass and a vector of five measures; and what a step costs between them.
+PLANNED = """st AS (SELECT id, round(2.5::DOUBLE + 4 * centrality * (1 - clustering), 6) AS energy, round(1 - tau_persistence * 0.5::DOUBLE, 6) AS friction, (in_degree + out_degree)::DOUBLE AS mass,
+    [centrality, betweenness, clustering, tau_persistence, entry_variance]::DOUBLE[] AS v FROM states),
+    step AS (SELECT DISTINCT src, dst, a.energy AS ae, b.energy AS be, b.friction AS f, b.mass AS m, list_distance(a.v, b.v) AS d,
+        CASE WHEN list_dot_product(a.v, a.v) > 0 AND list_dot_product(b.v, b.v) > 0 THEN (list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) + 1) / 2 ELSE 0 END AS al FROM calls JOIN st a ON a.id = src JOIN st b ON b.id = dst),
+    costs AS (SELECT src, dst, round(greatest(0, (0.35::DOUBLE * (1 - al) + 0.25::DOUBLE / (1 + exp(-3 * (f - 0.5::DOUBLE))) + 0.15::DOUBLE * ln(1 + d) / ln(11.0::DOUBLE) + 0.4::DOUBLE * greatest(0, be - ae)) * (1 + 0.3::DOUBLE * f)), 6) AS cost,
+        round(1.3::DOUBLE * (0.15::DOUBLE * ln(1 + d) / ln(11.0::DOUBLE) + 0.3::DOUBLE * (1 - al)) * CASE WHEN m < 5 AND f > 0.5 THEN exp(3 * f) ELSE 1 END, 6) AS heuristic FROM step)"""
+
+
+def planned(spark: SparkSession, sf: str) -> DataFrame:
+    from ..plans.planner import transition_costs
+
+    s = st.states(calls(spark, sf))
+    vector = F.array(*(F.col(c).cast("double") for c in ("centrality", "betweenness", "clustering", "tau_persistence", "entry_variance")))
+    s = s.select("id", r6(2.5 + 4 * F.col("centrality") * (1 - F.col("clustering"))).alias("energy"), r6(1 - F.col("tau_persistence") * 0.5).alias("friction"), (F.col("in_degree") + F.col("out_degree")).cast("double").alias("mass"), vector.alias("vector"))
+    return save(transition_costs(save(s), calls(spark, sf)))
+
+
+@query("pth_02_step_costs", with_views(f"WITH {PLANNED} SELECT src, dst, round(cost, 6) AS cost, round(heuristic, 6) AS heuristic FROM costs", "states", "calls"))
+def step_costs(spark: SparkSession, sf: str) -> DataFrame:
+    return planned(spark, sf).select("src", "dst", "cost", "heuristic")
+
+
+@query("pth_02_plan", recursive(f"WITH {PLANNED}, {CHEAP} SELECT node, round(cost, 6) AS cost, cost <= 10 AS valid FROM least_", "states", "calls"))
 def plan(spark: SparkSession, sf: str) -> DataFrame:
-    r = pg.cheapest(costs(spark, sf), starts(spark, "sym::1"), hops=60).where(F.col("node").isin("sym::10", "sym::20", "sym::30", "sym::40"))
+    """The least cost of a plan from one symbol to every other."""
+    r = pg.cheapest(planned(spark, sf), starts(spark, "sym::1"), hops=60)
     return r.select("node", r6("cost").alias("cost"), (F.col("cost") <= 10).alias("valid"))
 
 

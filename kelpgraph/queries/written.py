@@ -204,3 +204,21 @@ def category_roles(spark: SparkSession, sf: str) -> DataFrame:
     w = w.withColumn("tags", ct.categories(F.col("code"), F.col("name"), F.col("kind"), ct.decorators(F.col("code"))))
     called = F.regexp_count("code", F.lit(r"\w\("))
     return w.select("id", "tags", ct.role(F.col("kind"), F.col("tags"), F.col("name"), F.col("path"), called).alias("role"))
+
+
+@query("joi_14_registry_mismatch", twin("""SELECT DISTINCT n AS name, CASE WHEN n IN (SELECT name FROM decl) THEN 'unregistered' ELSE 'missing' END AS problem FROM (SELECT CASE kind WHEN 'class' THEN class ELSE name END AS n FROM src
+    UNION ALL SELECT name FROM decl) x WHERE n NOT IN (SELECT name FROM decl) OR n NOT IN (SELECT CASE kind WHEN 'class' THEN class ELSE name END FROM src)"""))
+def registry_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of the registry that no readable file declares, and declared names that the registry doesn't know."""
+    registry = symbols(spark, sf).select(F.when(F.col("kind") == "class", F.concat(F.initcap("role"), F.lit("_"), "name")).otherwise(F.col("name")).alias("name"), F.lit(True).alias("known")).distinct()
+    seen = parsed(spark, sf).where("error is null").select("name", F.lit(True).alias("seen")).distinct()
+    j = registry.join(seen, "name", "full").where("known is null or seen is null")
+    return j.select("name", F.when(F.col("known").isNull(), "unregistered").otherwise("missing").alias("problem"))
+
+
+@query("joi_17_isolated", twin(", c AS (SELECT DISTINCT caller, callee FROM (SELECT name AS caller, unnest(calls) AS callee FROM decl) WHERE callee IN (SELECT name FROM decl)) SELECT DISTINCT name FROM decl WHERE NOT EXISTS (SELECT 1 FROM c WHERE caller = name OR callee = name)"))
+def isolated(spark: SparkSession, sf: str) -> DataFrame:
+    """Declared names that no call between declared names leaves or enters."""
+    c = call_relations(spark, sf)
+    seen = c.select(F.col("caller").alias("name")).union(c.select("callee"))
+    return parsed(spark, sf).where("error is null").select("name").distinct().join(seen, "name", "left_anti")

@@ -55,3 +55,30 @@ def test_fields_and_regions(engine):
     centers = engine.get_semantic_centers().collect()
     assert sum(r["size"] for r in centers) == 7
     assert engine.get_center_reachability(centers[0].region).count() >= 0
+
+
+def test_next_nodes_and_intent(spark, engine):
+    nodes = engine.nodes.join(spark.createDataFrame([(f"sym::{n}", v) for n, v in {"a": [1.0, 0.0], "b": [1.0, 0.1], "c": [-1.0, 0.0], "d": [1.0, 0.0], "e": [1.0, 0.0]}.items()], "id string, vector array<double>"), "id", "left")
+    e = Engine(spark, nodes, engine.edges)
+    assert [r.dst for r in e.query_next_nodes("sym::a", [1.0, 0.0]).collect()] == ["sym::b", "sym::c"]
+    assert [r.path for r in e.explore("sym::a", intent=[1.0, 0.0], depth=2).collect()] == [["sym::a", "sym::b", "sym::d"]]  # c points away
+    assert e.plan_trajectory("sym::a", "sym::d", avoid=["sym::b"]).first().path == ["sym::a", "sym::c", "sym::d"]
+
+
+def test_phases_and_similar(engine):
+    out = engine.phases(depth=2)
+    assert list(out) == ["events", "states", "energies", "field", "centers"]
+    assert all(f.count() > 0 for f in out.values())
+    assert out["events"].where("event_type = 'NODE_VISIT' and depth = 0").count() == 7
+    assert engine.similar(0.5).where("a = b").count() == 0
+
+
+def test_scan_workspace(spark):
+    from pathlib import Path
+
+    import kelpgraph
+
+    e = Engine.scan_workspace(spark, "file://" + str(Path(kelpgraph.__file__).parent / "fixtures" / "src"))
+    assert {"sym::Worker", "sym::parse", "cat::class"} <= {r.id for r in e.nodes.collect()}
+    assert e.edges.where("src = 'sym::main' and dst = 'sym::fetch' and kind = 'call'").count() == 1
+    assert e.resolve("Worker").first().id == "sym::Worker"
