@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import fresh
 
 INTENTS = {"STANDARD": "io", "PROMO": "network", "LARGE": "database", "SMALL": "config", "ECONOMY": "util", "MEDIUM": "test"}
 KINDS = ["class", "function", "method", "async_function"]
@@ -43,10 +43,10 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted calls: a part and the next one of the same order; of each part the three most frequent.
 
-    The edges are stored, as a graph's are: built from the order lines once for each folder of tables and application,
-    and read from there by every query.
+    The edges are stored, as a graph's are: built from the order lines once for each application and
+    state of their files, and read from there by every query.
     """
-    return stored(spark, f"calls {sf_dir}", lambda: _calls(spark, sf_dir))
+    return fresh(spark, "calls", f"{sf_dir}/lineitem.parquet", lambda: _calls(spark, sf_dir))
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from importlib import import_module
 from .registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "str_09_manifold_state"
-MODULES = ["graph", "traversal", "fields", "regions", "similarity", "rules", "logs", "sources", "written", "more"]
+MODULES = ["graph", "traversal", "fields", "regions", "similarity", "rules", "logs", "sources", "written", "more", "extra"]
 
 
 def _load() -> None:

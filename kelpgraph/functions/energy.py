@@ -6,8 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
-
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
@@ -133,3 +131,8 @@ def trust(f: Column, r: Column, u: Column, c: Column, drift: Column, verified: C
 
 def cumulative_barrier(delta: Column, friction: Column) -> Column:
     return F.greatest(F.lit(0.0), delta) + 0.5 * friction
+
+
+def fitted(vector: Column, size: int) -> Column:
+    """The vector cut to `size` components or continued with zeros; null for none."""
+    return F.when(vector.isNotNull(), F.slice(F.concat(vector, F.array_repeat(F.lit(0.0), size)), 1, size))

@@ -99,11 +99,13 @@ def class_role(name: Column, calls: Column, imports: Column, least: float = 0.3)
     return _first_best(scores, least, F.lit("unknown"))
 
 
-def semantic_score(base: Column, role_tags: Column, intent_: Column, noisy: Column, fanout: Column) -> Column:
-    """Base and the greatest role boost and the intent's, less .4 for noise and .2 for a high fan-out; at least 0."""
-    boost = F.greatest(*(F.when(F.array_contains(role_tags, k), F.lit(v)).otherwise(0.0) for k, v in ROLE_BOOST.items()))
+def semantic_score(base: Column, role_tags: Column, intent_: Column, noisy: Column, fanout: Column, roles_: dict[str, float] | None = None, intents: dict[str, float] | None = None) -> Column:
+    """Base and the greatest role boost and the intent's, less .4 for noise and .2 for a high fan-out; at least 0. The boosts
+    are the fixed ones unless others are given."""
+    roles_, intents = ROLE_BOOST if roles_ is None else roles_, INTENT_BOOST if intents is None else intents
+    boost = F.greatest(*(F.when(F.array_contains(role_tags, k), F.lit(v)).otherwise(0.0) for k, v in roles_.items()))
     by = F.lit(0.0)
-    for k, v in INTENT_BOOST.items():
+    for k, v in intents.items():
         by = F.when(intent_ == k, F.lit(v)).otherwise(by)
     return F.greatest(F.lit(0.0), base + boost + by - F.when(noisy, 0.4).otherwise(0.0) - F.when(fanout, 0.2).otherwise(0.0))
 
@@ -229,3 +231,54 @@ def node_kind_grade(avg: Column, isolated: Column, hashed: Column) -> Column:
 
 
 heal = roles.heal
+
+
+def with_edges(edges: DataFrame, added: DataFrame) -> DataFrame:
+    """Edges (src, dst, weight) with others, which take the place of those between the same ends."""
+    return edges.join(added.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "weight").unionByName(added)
+
+
+def without_nodes(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    gone = ids.select("id")
+    return edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", "weight")
+
+
+def resolved(tokens: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """token, status, id of distinct tokens (trimmed, lower): exact, alias, prefix or corrected (one edit) where one symbol
+    fits at the first of these that any fits at, ambiguous where several do, not_found.
+
+    names: id, name; aliases: name, id. Prefixes and near names are found by equi-joins on what they have in common."""
+    from .similarity import near_pairs
+
+    t = tokens.select(F.lower(F.trim("token")).alias("token")).distinct()
+    n = names.select("id", F.lower("name").alias("name"))
+    by = lambda rows, rank: t.join(rows.select(F.col("name").alias("token"), "id"), "token").withColumn("rank", F.lit(rank))
+    parts = n.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda k: F.substring(F.col("name"), F.lit(1), k))).alias("name"))
+    near = near_pairs(t.withColumnRenamed("token", "a"), n.select(F.col("name").alias("b")), 1).join(n.withColumnRenamed("name", "b"), "b").select(F.col("a").alias("name"), "id")
+    hits = by(n, 0).unionByName(by(aliases.select("id", F.lower("name").alias("name")), 1)).unionByName(by(parts, 2)).unionByName(by(near, 3))
+    best = hits.groupBy("token", "rank").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).groupBy("token").agg(F.min(F.struct("rank", "n", "id")).alias("b"))
+    names_ = F.element_at(F.array(*map(F.lit, ("exact", "alias", "prefix", "corrected"))), F.col("b.rank") + 1)
+    status = F.when(F.col("b").isNull(), "not_found").when(F.col("b.n") > 1, "ambiguous").otherwise(names_)
+    return t.join(best, "token", "left").select("token", status.alias("status"), F.when(F.col("b.n") == 1, F.col("b.id")).alias("id"))
+
+
+def nearest(typed: DataFrame, names: DataFrame, k: int, most: int = 1) -> DataFrame:
+    """typed, suggestion, distance: up to k names within so many edits, the nearest first (ties by name)."""
+    from .similarity import near_pairs
+
+    pairs = near_pairs(typed.select(F.col("typed").alias("a")), names.select(F.col("name").alias("b")), most)
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
+    return pairs.withColumn("rn", rank).where(F.col("rn") <= k).select(F.col("a").alias("typed"), F.col("b").alias("suggestion"), "distance")
+
+
+def most_alike(asked: DataFrame, rows: DataFrame, name: str, lanes: int = 64) -> DataFrame:
+    """a, b, cosine: for each asked (a, x) the other row (b, y) of greatest cosine (to six digits; ties to the smaller b).
+
+    A stated query set against all rows, in blocks: rows lie in lanes, every query goes to each, and a lane gives one row
+    for a query."""
+    from ..functions import energy as en
+
+    met = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).join(rows.withColumn("lane", F.pmod(F.xxhash64("b"), F.lit(lanes)).cast("int")), "lane").where("a != b")
+    cosine = F.round(2 * en.alignment(F.col("x"), F.col("y")) - 1, 6)
+    best = met.groupBy("a").agg(F.min(F.struct((-cosine).alias("n"), "b")).alias("m"))
+    return best.select("a", F.col("m.b").alias("b"), (-F.col("m.n")).alias("cosine"))

@@ -241,19 +241,25 @@ def band_join(signed: DataFrame, key: str, least: float = 0.7, top: int = 10) ->
     return out.select("a", F.col("x.b").alias("b"), (F.col("x.agree") / F.lit(float(PERMUTATIONS))).alias("similarity"), (F.col("pos") + 1).alias("rank"))
 
 
-def close_names(names: DataFrame, most: int = 1) -> DataFrame:
-    """a, b, distance: distinct names within `most` edits, found by what is left after one deletion.
-
-    Two names one edit apart share themselves or a string with one character deleted, so an equi-join on those finds all.
-    For most > 1 deletions are applied so many times.
-    """
+def _shortened(names: DataFrame, most: int) -> DataFrame:
+    """name, key: the name and what is left of it after up to so many deletions."""
     n = names.select(F.col(names.columns[0]).alias("name")).distinct()
     cut = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
-    keys = n.select("name", F.col("name").alias("key"))
-    level = keys
+    keys = level = n.select("name", F.col("name").alias("key"))
     for _ in range(most):
         level = level.where(F.length("key") > 0).select("name", F.explode(cut(F.col("key"))).alias("key")).distinct()
         keys = keys.unionByName(level)
-    keys = keys.distinct()
-    pairs = keys.select(F.col("name").alias("a"), "key").join(keys.select(F.col("name").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
+    return keys.distinct()
+
+
+def near_pairs(left: DataFrame, right: DataFrame, most: int = 1) -> DataFrame:
+    """a, b, distance: names of the left and of the right within `most` edits. Such two share themselves or a string with
+    as many characters deleted, so an equi-join on those finds all."""
+    a, b = _shortened(left, most).withColumnRenamed("name", "a"), _shortened(right, most).withColumnRenamed("name", "b")
+    pairs = a.join(b, "key").select("a", "b").distinct()
     return pairs.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")
+
+
+def close_names(names: DataFrame, most: int = 1) -> DataFrame:
+    """a, b, distance: distinct names within `most` edits of each other, a before b."""
+    return near_pairs(names, names, most).where("a < b")

@@ -203,11 +203,16 @@ def module_of(spark: SparkSession, sf: str) -> DataFrame:
     return symbols(spark, sf).select("id", text.module(F.col("path")).alias("module"))
 
 
-@query("fn_16_detail_levels", "SELECT * FROM (VALUES ('Fix the crash', 'FULL', 0.95), ('explain it', 'SUMMARY', 0.3), ('rename this', 'SKELETON', 0.8), ('import graph', 'HIDDEN', 0.1), ('', 'SKELETON', 0.7)) t(task, level, precision)".replace("0.95)", "0.95::DOUBLE)"))
+#: Tasks on parts, by number: words that call for a level, in upper case too, and none.
+TASKS = {"Fix the crash of": ("FULL", 0.95), "explain": ("SUMMARY", 0.3), "rename": ("SKELETON", 0.8), "trace dep of": ("HIDDEN", 0.1), "AUDIT": ("SKELETON", 0.6), "design": ("SUMMARY", 0.3), "paint": ("SKELETON", 0.7)}
+_CASES = lambda values: "CASE p_partkey % 7 " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+@query("fn_16_detail_levels", "SELECT p_partkey, " + _CASES([f"'{x}'" for x, _ in TASKS.values()]) + " AS level, " + _CASES([f"{x}::DOUBLE" for _, x in TASKS.values()]) + " AS precision FROM part")
 def detail(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.createDataFrame([("Fix the crash",), ("explain it",), ("rename this",), ("import graph",), ("",)], "task string")
-    level, alpha = ct.level(F.col("task"))
-    return t.select("task", level.alias("level"), alpha.alias("precision"))
+    verb = F.element_at(F.array(*map(F.lit, TASKS)), (F.col("p_partkey") % 7 + 1).cast("int"))
+    level, alpha = ct.level(F.concat(verb, F.lit(" a "), "p_name"))
+    return table(spark, sf, "part").select("p_partkey", level.alias("level"), alpha.alias("precision"))
 
 
 @query("fn_18_gravity", with_views("SELECT id, round(1 / (1 + exp(-in_degree / 10.0::DOUBLE)), 6) AS gravity FROM degrees", "degrees"))
@@ -231,10 +236,13 @@ def dissipation(spark: SparkSession, sf: str) -> DataFrame:
     return symbols(spark, sf).select("id", roles.dissipation(cls).alias("dissipation"))
 
 
-@query("fn_48_generic_symbols", "SELECT * FROM (VALUES ('sym::main', TRUE), ('sym::place_order', FALSE), ('cat::io', TRUE), ('sym::on_click_handler', TRUE), ('sym::_x', FALSE)) t(id, generic)")
+@query("fn_48_generic_symbols", "SELECT p_partkey, p_partkey % 6 IN (1, 2, 3, 5) AS generic FROM part")
 def generic(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.createDataFrame([(x,) for x in ("sym::main", "sym::place_order", "cat::io", "sym::on_click_handler", "sym::_x")], "id string")
-    return t.select("id", ct.generic(F.col("id")).alias("generic"))
+    """Names of parts as they are, as a handler, in a category, as a callback, with an underscore (that of the name alone
+    doesn't count), and a generic name."""
+    name, k = F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey") % 6
+    ident = F.when(k == 0, F.concat(F.lit("sym::"), name)).when(k == 1, F.concat(F.lit("sym::on_"), name, F.lit("_handler"))).when(k == 2, F.concat(F.lit("cat::"), name)).when(k == 3, F.concat(F.lit("sym::"), name, F.lit("_cb"))).when(k == 4, F.concat(F.lit("sym::_"), name)).otherwise("sym::main")
+    return table(spark, sf, "part").select("p_partkey", ct.generic(ident).alias("generic"))
 
 
 @query("fn_55_data_complexity", "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'list') OR contains(lower(p_name), 'class') OR contains(lower(p_name), 'dto') OR contains(lower(p_name), 'object') OR contains(lower(p_name), 'dict') THEN 'complex' ELSE 'simple' END AS complexity FROM part")
@@ -246,11 +254,6 @@ def engine(spark: SparkSession, sf: str) -> Engine:
     return Engine(spark, symbols(spark, sf).select("id", "name", "kind", "is_noisy"), calls(spark, sf))
 
 
-@query("fn_56_resolve", "SELECT 'exact' AS status, 'sym::7' AS id")
-def resolve(spark: SparkSession, sf: str) -> DataFrame:
-    return engine(spark, sf).resolve("7")
-
-
 # --- graph building
 
 
@@ -372,12 +375,10 @@ def inventory(spark: SparkSession, sf: str) -> DataFrame:
     return sm.band_join(sm.signatures(t, "id", "tokens"), "id", least=0.6, top=3).select("a", "b", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
-@query("con_04_code_skeleton", "SELECT 'def t1():' || chr(10) || '    a.acquire()' || chr(10) || '    a.release()' AS code")
+@query("con_04_code_skeleton", "SELECT 'def ' || lower(p_type) || '():' || chr(10) || string_agg('    lock_' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '.acquire()' ELSE '.release()' END, chr(10) ORDER BY p_partkey) AS code FROM part GROUP BY p_type")
 def code_skeleton(spark: SparkSession, sf: str) -> DataFrame:
-    ops = spark.createDataFrame([("t1", 0, "ACQ", "a"), ("t1", 1, "REL", "a")], "thread string, pos int, op string, arg string")
-    line = F.concat(F.lit("    "), "arg", F.when(F.col("op") == "ACQ", ".acquire()").otherwise(".release()"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "\n")
-    return ops.groupBy("thread").agg(body.alias("body")).select(F.concat(F.lit("def "), "thread", F.lit("():\n"), "body").alias("code"))
+    ops = table(spark, sf, "part").select(F.lower("p_type").alias("thread"), F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 2 == 0, "ACQ").otherwise("REL").alias("op"), F.concat(F.lit("lock_"), "p_size").alias("arg"))
+    return codecs.skeletons(ops).select("code")
 
 
 @query("ref_05_flow_trace", with_views("SELECT 'edges' AS stage, count(*) AS n FROM calls UNION ALL SELECT 'strong', count(*) FROM calls WHERE weight >= 0.5 UNION ALL SELECT 'targets', count(DISTINCT dst) FROM calls WHERE weight >= 0.5", "calls"))

@@ -47,10 +47,15 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return codecs.latest(o, ["o_custkey"], "o_orderdate").select("o_custkey", "o_orderdate")
 
 
-@query("con_03_atom_dsl", "SELECT * FROM (VALUES (1, 'ACQ', 'a', NULL), (2, 'AWT', 'b', NULL), (3, 'REL', 'a', NULL), (4, 'XXX', 'a', 'unknown_op'), (5, '', '', 'syntax')) t(n, op, arg, error)")
+@query("con_03_atom_dsl", """SELECT p_partkey AS n, ['ACQ', 'REL', 'AWT', 'XXX', 'RET', 'CAL', ''][p_partkey % 7 + 1] AS op, CASE p_partkey % 7 WHEN 4 THEN '' WHEN 5 THEN '' WHEN 6 THEN '' ELSE lower(p_type) END AS arg, CASE WHEN p_partkey % 7 IN (2, 3) THEN 'f:Y' ELSE '' END AS note,
+    CASE p_partkey % 7 WHEN 3 THEN 'unknown_op' WHEN 5 THEN 'no_argument' WHEN 6 THEN 'syntax' END AS error FROM part""")
 def dsl(spark: SparkSession, sf: str) -> DataFrame:
-    lines = spark.createDataFrame([(1, "ACQ(a)"), (2, "AWT(b) [f:Y]"), (3, "REL(a)"), (4, "XXX(a)"), (5, "???")], "n int, value string")
-    return codecs.parse_dsl(lines).select("n", "op", "arg", "error")
+    """Lines of the atom language: good ones, one with a note, an unknown operation, one without the argument that it needs, no line."""
+    k, arg = F.col("p_partkey") % 7, F.lower("p_type")
+    call = lambda op, a=arg: F.concat(F.lit(op + "("), a, F.lit(")"))
+    none = F.lit("")
+    line = F.when(k == 0, call("ACQ")).when(k == 1, call("REL")).when(k == 2, F.concat(call("AWT"), F.lit(" [f:Y]"))).when(k == 3, F.concat(call("XXX"), F.lit(" [f:Y]"))).when(k == 4, call("RET", none)).when(k == 5, call("CAL", none)).otherwise("???")
+    return codecs.parse_dsl(table(spark, sf, "part").select(F.col("p_partkey").alias("n"), line.alias("value"))).select("n", "op", "arg", "note", "error")
 
 
 @query("con_01_state_space", "SELECT 'DEADLOCK_RISK' AS finding, 1::BIGINT AS n")

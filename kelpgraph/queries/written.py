@@ -11,7 +11,7 @@ from ..functions import text
 from ..operators import rules as rl
 from ..registry import query
 from ..sources import scan, typescript
-from ..tables import stored
+from ..tables import fresh
 
 BODIES = {
     "io": "def {name}(x):\n    import pathlib\n    return x.read_text()\n",
@@ -56,7 +56,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def parsed(spark: SparkSession, sf: str) -> DataFrame:
     """The symbols that the scanner finds in the files; kept, as a scan's rows are."""
-    return stored(spark, f"scan {sf}", lambda: scan.features(scan.symbols(sources(spark, sf))))
+    return fresh(spark, "scan", f"{sf}/part.parquet", lambda: scan.features(scan.symbols(sources(spark, sf))))
 
 
 #: The same from the tables: src, the files; decl, what they declare.

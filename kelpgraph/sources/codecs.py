@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import save
+
 MOST_ATOMS = 50
 
 
+@dataclass
+class Shelf:
+    """Files kept as a table of rows (file, value, ..): written whole, listed, and less some."""
+
+    rows: DataFrame
+
+    @classmethod
+    def write(cls, rows: DataFrame) -> Shelf:
+        return cls(save(rows))
+
+    def listed(self) -> DataFrame:
+        return self.rows.select("file")
+
+    def without(self, files: DataFrame) -> Shelf:
+        return Shelf(save(self.rows.join(files.select("file").distinct(), "file", "left_anti")))
+
+
 def read_shadows(spark: SparkSession, path: str) -> DataFrame:
     """file, header map, atoms array<struct<line, op, arg, fin>>, truncated of shadow files, one row for each."""
     raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), "value")
@@ -71,3 +92,10 @@ def balance(atoms: DataFrame) -> DataFrame:
     step = F.when(F.col("op") == "ACQ", 1).when(F.col("op") == "REL", -1).otherwise(0)
     run = atoms.withColumn("held", F.sum(step).over(Window.partitionBy("arg").orderBy("n")))
     return run.groupBy("arg").agg(F.max_by("held", "n").alias("held"), F.min("held").alias("least"))
+
+
+def skeletons(atoms: DataFrame) -> DataFrame:
+    """thread, code: a function for each thread, with its operations in order."""
+    line = F.concat(F.lit("    "), "arg", F.when(F.col("op") == "ACQ", ".acquire()").otherwise(".release()"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "\n")
+    return atoms.groupBy("thread").agg(body.alias("body")).select("thread", F.concat(F.lit("def "), "thread", F.lit("():\n"), "body").alias("code"))

@@ -49,6 +49,15 @@ def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def replace(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the whole of a running aggregate after each batch, in place of what was there."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def unseen(batch: DataFrame, done: DataFrame, key: str = "start") -> DataFrame:
     """Restart: starts that the log already has are left out."""
     return batch.join(done.select(key).distinct(), key, "left_anti")

@@ -32,15 +32,28 @@ def save(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-_STORED: dict[tuple[str, str], tuple[str, StructType]] = {}
+_STORED: dict[tuple[str, str], tuple[str, StructType, str]] = {}
 
 
-def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table of that name, made and written the first time that the application asks for it."""
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _STORED:
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def state(spark: SparkSession, path: str) -> str:
+    """Names, lengths and times of the files at a path: it changes when they do."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return "|".join(sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in found))
+
+
+def fresh(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of that name made from the files at source: made and written when the application first asks for it,
+    and again when the files have changed or what was written is gone."""
+    key, now = (spark.sparkContext.applicationId, f"{name} {source}"), state(spark, source)
+    if key not in _STORED or _STORED[key][2] != now or not _exists(spark, _STORED[key][0]):
         frame, path = make(), f"{folder(spark)}/stored-{uuid.uuid4().hex}"
         frame.write.parquet(path)
-        _STORED[key] = (path, frame.schema)
-    path, schema = _STORED[key]
+        _STORED[key] = (path, frame.schema, now)
+    path, schema, _ = _STORED[key]
     return spark.read.schema(schema).parquet(path)
