@@ -8,10 +8,11 @@
    whose signatures agree too little to reach the threshold are dropped. The others are confirmed on the full sets, those
    of most agreement first, unless links already confirmed connect them, and each in one of the buckets that it shares.
    What comes out are links that span a bucket's connections, never its pairs.
-4. A larger bucket first has stars: a member is compared with all others, which sends each text once; then one of those
-   not yet connected, STARS times. Members that links found so far connect need no comparison. What is outside of the
-   bucket's largest connected part is compared with all of it in pairs of blocks: by signatures alone, and only members
-   of pairs that agree enough send their texts to be confirmed.
+4. Members of larger buckets are first compared with one center: each class with that of the largest bucket that holds
+   it, which sends its text once; then, where that bucket's largest connected part is another than its own, with one of that,
+   STARS times in all. Members that links found so far connect need no comparison, so buckets that are connected
+   are done, of whatever size. Of the others, what is outside of a large bucket's largest part is compared with all of
+   it in pairs of blocks: by signatures alone, and only members of pairs that agree enough send their texts.
 5. Components of the links give the groups.
 
 Bands, rows and the least agreement follow from the threshold (`scheme`): a pair at the threshold misses all bands with
@@ -21,7 +22,7 @@ at most 2e-7, were the slots independent.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, comb, log
 from typing import NamedTuple
 
@@ -181,7 +182,9 @@ def _candidates(table: pa.Table, percent: int, plan: Scheme) -> Iterator[tuple[n
         for slot in range(plan.slots):
             agree += sig[one, slot][:, None] == sig[other, slot][None, :]
         fits = agree >= plan.agree
-        fits &= np.arange(len(one))[:, None] < np.arange(len(other))[None, :] if kind == WHOLE else column["label"][one][:, None] != column["label"][other][None, :]
+        fits &= column["label"][one][:, None] != column["label"][other][None, :]
+        if kind == WHOLE:
+            fits = np.triu(fits, 1)
         x, y = np.nonzero(fits)
         found, x, y = agree[x, y], one[x], other[y]
         good = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
@@ -250,41 +253,45 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep", "s1")
 
 
-def _large(members: DataFrame, unique: DataFrame, confirmed, percent: int, plan: Scheme) -> list[DataFrame]:  # noqa: ANN001
-    """Links of buckets of over BLOCK classes (rows of key, size, rep, s1). confirmed: links of rows of _ROW."""
+def _stars(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """members (key, size, rep, s1) with label, the part that links connect them in, and those links: of classes of buckets
+    of over BLOCK with one center each, again and again."""
     links: list[DataFrame] = []
     number = lambda x: F.lit(x).cast("int")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    place = F.xxhash64("rep", "s1", F.lit(len(links)))
+    part = F.pmod(F.xxhash64("rep", "s1"), F.ceil(F.col("size") / BLOCK).cast("int")).cast("int").alias("i")
     labelled = members.withColumn("label", F.col("rep"))
-    for turn in range(STARS):
-        sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(place.alias("h"), "rep", "s1")).alias("m"))
-        largest = F.max_by("label", F.struct("rows", "label")).alias("largest")
-        # the star's center: any member of the second largest connected part, of the only one at first
-        centers = sizes.join(sizes.groupBy("key").agg(largest), "key").where(F.lit(turn == 0) | (F.col("label") != F.col("largest"))).groupBy("key").agg(F.max_by(F.struct("m.rep", "m.s1", "label"), F.struct("rows", "label")).alias("c"))
-        centers = save(centers.select("key", "c.rep", "c.s1", "c.label"))
-        if centers.isEmpty():
-            drop(centers)
+    for _ in range(STARS):
+        large = labelled.where(F.col("size") > BLOCK)
+        sizes = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("rep", "s1")).alias("m"))
+        centers = sizes.groupBy("key").agg(F.max_by(F.struct(F.col("label").alias("c_label"), F.col("m.rep").alias("c_rep"), F.col("m.s1").alias("c_s1")), F.struct("rows", "label")).alias("c")).select("key", "c.*")
+        away = large.join(centers, "key").where("label != c_label")
+        one = F.max_by(F.struct("key", "size", "c_label", "c_rep", "c_s1"), F.struct("size", "key"))
+        sent = save(away.groupBy("rep", "s1", "label").agg(one.alias("b")).select("rep", "s1", "label", "b.*"))
+        if sent.isEmpty():
+            drop(sent)
             break
-        open_ = labelled.join(centers.select("key", F.col("rep").alias("c_rep"), F.col("s1").alias("c_s1")), "key").withColumn("part", F.pmod(F.xxhash64("rep", "s1"), parts).cast("int"))
-        mine = open_.where((F.col("rep") != F.col("c_rep")) | (F.col("s1") != F.col("c_s1"))).select("key", F.col("part").alias("i"), number(-1).alias("j"), number(STAR).alias("kind"), "rep", "s1", number(0).alias("side"), "label")
-        sizes = members.select("key", "size").distinct()
-        own = centers.join(sizes, "key").withColumn("i", F.explode(F.sequence(F.lit(0), parts - 1))).select("key", "i", number(-1).alias("j"), number(STAR).alias("kind"), "rep", "s1", number(1).alias("side"), "label")
+        mine = sent.select("key", part, number(-1).alias("j"), number(STAR).alias("kind"), "rep", "s1", number(0).alias("side"), "label")
+        own = sent.select("key", part, "c_rep", "c_s1", "c_label").distinct()
+        own = own.select("key", "i", number(-1).alias("j"), number(STAR).alias("kind"), F.col("c_rep").alias("rep"), F.col("c_s1").alias("s1"), number(1).alias("side"), F.col("c_label").alias("label"))
         links.append(save(confirmed(mine.unionByName(own))))
-        drop(centers)
+        drop(sent)
         known = components(_union(links))
         labelled = save(members.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("key", "size", "rep", "s1", F.coalesce("component", "rep").alias("label")))
         drop(known)
+    return labelled, links
+
+
+def _pairs_of_blocks(labelled: DataFrame, unique: DataFrame, percent: int, plan: Scheme) -> DataFrame:
+    """Rows (of _ROW) of large buckets that are in a pair that may be linked and that labels don't connect."""
+    number = lambda x: F.lit(x).cast("int")
+    parts, at = F.ceil(F.col("size") / BLOCK).cast("int"), lambda n: F.pmod(F.xxhash64("rep", "s1"), n).cast("int")
     largest = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"), (F.sum("rows") - F.max("rows")).alias("rest"))
     told = labelled.join(largest.where("rest > 0"), "key")
     blocks_ = F.ceil(F.col("rest") / BLOCK).cast("int")
-    at = lambda n: F.pmod(F.xxhash64("rep", "s1"), n).cast("int")
     rest = told.where("label != largest").select("key", at(blocks_).alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"), number(BLOCKS).alias("kind"), "rep", "s1", number(1).alias("side"), "label")
     whole = told.select("key", F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("i"), at(parts).alias("j"), number(BLOCKS).alias("kind"), "rep", "s1", number(0).alias("side"), "label")
     pairs = rest.unionByName(whole).join(unique.select("rep", "s1", "n", "bands", "signature"), ["rep", "s1"])
-    some = _dealt(pairs.select(*_ROW, "n", "bands", "signature")).mapInArrow(_taking_part(percent, plan), _DDL).distinct()
-    links.append(save(confirmed(some)))
-    return links
+    return _dealt(pairs.select(*_ROW, "n", "bands", "signature")).mapInArrow(_taking_part(percent, plan), _DDL).distinct()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -317,19 +324,23 @@ def groups(documents: DataFrame, *, width: int = 5, percent: int = 85, id_col: s
     # always by a shuffle of both: how many ids there are grows with the input
     ends = members.select(F.col("rep").alias("did")).distinct().hint("merge")
     texts = save(docs.join(ends, "did").select(F.col("did").alias("rep"), F.xxhash64("text").alias("h"), "text").dropDuplicates(["rep", "h"]).drop("h"))
+
     def confirmed(rows: DataFrame) -> DataFrame:
         rows = rows.join(unique.select("rep", "s1", "n", "bands", "signature"), ["rep", "s1"]).join(texts, "rep")
         return _dealt(rows.select(*_ROW, "n", "bands", "signature", "text")).mapInArrow(_links(width, percent, plan), "u long, v long")
 
+    labelled, links = members.withColumn("label", F.col("rep")), []
+    if not members.where(F.col("size") > BLOCK).isEmpty():
+        labelled, links = _stars(members, confirmed)
+        apart = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+        labelled = save(labelled.join(apart, "key"))
+        links.append(save(confirmed(_pairs_of_blocks(labelled.where(F.col("size") > BLOCK), unique, percent, plan))))
     zero = F.lit(0)
-    links = [confirmed(members.where(F.col("size") <= BLOCK).select("key", zero.alias("i"), zero.alias("j"), F.lit(WHOLE).alias("kind"), "rep", "s1", zero.alias("side"), F.col("rep").alias("label")))]
-    large = members.where(F.col("size") > BLOCK)
-    if not large.isEmpty():
-        links += _large(large, unique, confirmed, percent, plan)
+    links.append(confirmed(labelled.where(F.col("size") <= BLOCK).select("key", zero.alias("i"), zero.alias("j"), F.lit(WHOLE).alias("kind"), "rep", "s1", zero.alias("side"), "label")))
     labels = components(_union(links))
     named = save(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("comp")))
     rows = save(signed.select("did", "n", "s1", "s2"))
-    drop(signed, classes, unique, members, texts, labels, *links[1:])
+    drop(signed, classes, unique, members, texts, labels, *links[:-1])
     out = rows.join(named, ["s1", "s2"], "left")
     comp = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("did"))
     ident = lambda c: F.when(c > -(1 << 63), c)
