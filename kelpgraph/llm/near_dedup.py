@@ -5,14 +5,15 @@
    which lowers the variance). Ranks are dealt level by level; a document stops as soon as all its slots are filled.
 2. Documents of one set are one class; only its smallest id goes on.
 3. Bands of the signature are buckets; buckets with the same members count once. In a bucket of up to BLOCK classes, pairs
-   whose signatures agree too little to reach the threshold are dropped. The others are confirmed on the full sets, those
-   of most agreement first, unless links already confirmed connect them, and each in one of the buckets that it shares.
-   What comes out are links that span a bucket's connections, never its pairs.
+   whose signatures agree too little to reach the threshold are dropped, and each pair counts in one of the buckets that
+   it shares. Only rows of pairs that are left send their texts to be confirmed on the full sets, those of most agreement
+   first, unless links already confirmed connect them. What comes out are links that span a bucket's connections, never
+   its pairs.
 4. Members of larger buckets are first compared with one center: each class with that of the largest bucket that holds
-   it, which sends its text once; then, where that bucket's largest connected part is another than its own, with one of that,
-   STARS times in all. Members that links found so far connect need no comparison, so buckets that are connected
-   are done, of whatever size. Of the others, what is outside of a large bucket's largest part is compared with all of
-   it in pairs of blocks: by signatures alone, and only members of pairs that agree enough send their texts.
+   it (the member of most company over all buckets); then, where that bucket's largest connected part is another than its
+   own, with one of that, STARS times in all. Members that links found so far connect need no comparison, so buckets that are
+   connected are done, of whatever size. Of the others, what is outside of a large bucket's largest part is compared with
+   all of it in pairs of blocks, as in 3.
 5. Components of the links give the groups.
 
 Bands, rows and the least agreement follow from the threshold (`scheme`): a pair at the threshold misses all bands with
@@ -40,6 +41,8 @@ from .tokens import U, WORDS, Block, blocks, mix
 SLOTS = 120
 MISSED, DISAGREED = 8e-7, 2e-7
 BLOCK, STARS = 256, 3
+#: Bits of the filter of ids whose texts are needed, at most (8 MB).
+FILTER_BITS = 1 << 26
 
 
 class Scheme(NamedTuple):
@@ -259,11 +262,12 @@ def _stars(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame]) -> t
     links: list[DataFrame] = []
     number = lambda x: F.lit(x).cast("int")
     part = F.pmod(F.xxhash64("rep", "s1"), F.ceil(F.col("size") / BLOCK).cast("int")).cast("int").alias("i")
+    company = save(members.groupBy("rep", "s1").agg(F.sum("size").alias("company"), F.max("size").alias("most")).where(F.col("most") > BLOCK).drop("most"))
     labelled = members.withColumn("label", F.col("rep"))
     for _ in range(STARS):
-        large = labelled.where(F.col("size") > BLOCK)
-        sizes = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("rep", "s1")).alias("m"))
-        centers = sizes.groupBy("key").agg(F.max_by(F.struct(F.col("label").alias("c_label"), F.col("m.rep").alias("c_rep"), F.col("m.s1").alias("c_s1")), F.struct("rows", "label")).alias("c")).select("key", "c.*")
+        large = labelled.where(F.col("size") > BLOCK).join(company, ["rep", "s1"])
+        sizes = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct("company", "rep", "s1")).alias("m"))
+        centers = sizes.groupBy("key").agg(F.max_by(F.struct(F.col("label").alias("c_label"), F.col("m.rep").alias("c_rep"), F.col("m.s1").alias("c_s1")), F.struct("rows", "m.company", "label")).alias("c")).select("key", "c.*")
         away = large.join(centers, "key").where("label != c_label")
         one = F.max_by(F.struct("key", "size", "c_label", "c_rep", "c_s1"), F.struct("size", "key"))
         sent = save(away.groupBy("rep", "s1", "label").agg(one.alias("b")).select("rep", "s1", "label", "b.*"))
@@ -273,16 +277,17 @@ def _stars(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame]) -> t
         mine = sent.select("key", part, number(-1).alias("j"), number(STAR).alias("kind"), "rep", "s1", number(0).alias("side"), "label")
         own = sent.select("key", part, "c_rep", "c_s1", "c_label").distinct()
         own = own.select("key", "i", number(-1).alias("j"), number(STAR).alias("kind"), F.col("c_rep").alias("rep"), F.col("c_s1").alias("s1"), number(1).alias("side"), F.col("c_label").alias("label"))
-        links.append(save(confirmed(mine.unionByName(own))))
+        links.append(confirmed(mine.unionByName(own)))
         drop(sent)
         known = components(_union(links))
         labelled = save(members.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("key", "size", "rep", "s1", F.coalesce("component", "rep").alias("label")))
         drop(known)
+    drop(company)
     return labelled, links
 
 
-def _pairs_of_blocks(labelled: DataFrame, unique: DataFrame, percent: int, plan: Scheme) -> DataFrame:
-    """Rows (of _ROW) of large buckets that are in a pair that may be linked and that labels don't connect."""
+def _blocks_of(labelled: DataFrame) -> DataFrame:
+    """Rows (of _ROW) of large buckets that labels don't connect: those outside of the largest part against all."""
     number = lambda x: F.lit(x).cast("int")
     parts, at = F.ceil(F.col("size") / BLOCK).cast("int"), lambda n: F.pmod(F.xxhash64("rep", "s1"), n).cast("int")
     largest = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"), (F.sum("rows") - F.max("rows")).alias("rest"))
@@ -290,8 +295,28 @@ def _pairs_of_blocks(labelled: DataFrame, unique: DataFrame, percent: int, plan:
     blocks_ = F.ceil(F.col("rest") / BLOCK).cast("int")
     rest = told.where("label != largest").select("key", at(blocks_).alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"), number(BLOCKS).alias("kind"), "rep", "s1", number(1).alias("side"), "label")
     whole = told.select("key", F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("i"), at(parts).alias("j"), number(BLOCKS).alias("kind"), "rep", "s1", number(0).alias("side"), "label")
-    pairs = rest.unionByName(whole).join(unique.select("rep", "s1", "n", "bands", "signature"), ["rep", "s1"])
-    return _dealt(pairs.select(*_ROW, "n", "bands", "signature")).mapInArrow(_taking_part(percent, plan), _DDL).distinct()
+    return rest.unionByName(whole)
+
+
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of the rows (did, text) all those whose did is among the ids, and few others: a bit for each hash that occurs, 16
+    for an id and FILTER_BITS at most, goes to the tasks. So texts that nothing needs are not shuffled."""
+    number = ids.count()
+    size = min(FILTER_BITS, 1 << max(10, (16 * number - 1).bit_length()))
+    at = F.pmod(F.xxhash64("did"), F.lit(size))
+    words = ids.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(did), {size}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    mask = np.zeros(size // 64, np.int64)
+    for r in words.collect():  # at most FILTER_BITS / 64 rows
+        mask[r.word] = r.bits
+    shared = rows.sparkSession.sparkContext.broadcast(mask)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("at").to_numpy()
+            hit = (shared.value[place >> 6] >> (place & 63)) & 1
+            yield batch.filter(pa.array(hit.astype(bool))).select(["did", "text"])
+
+    return rows.select("did", "text", at.alias("at")).mapInArrow(run, "did long, text string")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -322,25 +347,32 @@ def groups(documents: DataFrame, *, width: int = 5, percent: int = 85, id_col: s
     members = save(banded.join(buckets.select("key", "size"), "key").select("key", "size", "rep", "s1"))
 
     # always by a shuffle of both: how many ids there are grows with the input
-    ends = members.select(F.col("rep").alias("did")).distinct().hint("merge")
-    texts = save(docs.join(ends, "did").select(F.col("did").alias("rep"), F.xxhash64("text").alias("h"), "text").dropDuplicates(["rep", "h"]).drop("h"))
+    ends = save(members.select("rep", "s1").distinct())
+    ids = ends.select(F.col("rep").alias("did")).distinct().hint("merge")
+    texts = _among(docs, ids).join(ids, "did").select(F.col("did").alias("rep"), F.xxhash64("text").alias("h"), "text").dropDuplicates(["rep", "h"]).drop("h")
+    sides = save(unique.join(ends.hint("merge"), ["rep", "s1"], "left_semi").join(texts, "rep"))
 
     def confirmed(rows: DataFrame) -> DataFrame:
-        rows = rows.join(unique.select("rep", "s1", "n", "bands", "signature"), ["rep", "s1"]).join(texts, "rep")
-        return _dealt(rows.select(*_ROW, "n", "bands", "signature", "text")).mapInArrow(_links(width, percent, plan), "u long, v long")
+        """Links among groups of rows: by signatures alone first, then by the texts of the rows that are in candidate pairs."""
+        told = _dealt(rows.join(sides.drop("text").distinct(), ["rep", "s1"]).select(*_ROW, "n", "bands", "signature"))
+        some = save(told.mapInArrow(_taking_part(percent, plan), _DDL).distinct())
+        found = _dealt(some.join(sides, ["rep", "s1"]).select(*_ROW, "n", "bands", "signature", "text"))
+        out = save(found.mapInArrow(_links(width, percent, plan), "u long, v long"))
+        drop(some)
+        return out
 
     labelled, links = members.withColumn("label", F.col("rep")), []
     if not members.where(F.col("size") > BLOCK).isEmpty():
         labelled, links = _stars(members, confirmed)
         apart = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
         labelled = save(labelled.join(apart, "key"))
-        links.append(save(confirmed(_pairs_of_blocks(labelled.where(F.col("size") > BLOCK), unique, percent, plan))))
+        links.append(confirmed(_blocks_of(labelled.where(F.col("size") > BLOCK))))
     zero = F.lit(0)
     links.append(confirmed(labelled.where(F.col("size") <= BLOCK).select("key", zero.alias("i"), zero.alias("j"), F.lit(WHOLE).alias("kind"), "rep", "s1", zero.alias("side"), "label")))
     labels = components(_union(links))
     named = save(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("comp")))
     rows = save(signed.select("did", "n", "s1", "s2"))
-    drop(signed, classes, unique, members, texts, labels, *links[:-1])
+    drop(signed, classes, unique, members, ends, sides, labels, *links)
     out = rows.join(named, ["s1", "s2"], "left")
     comp = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("did"))
     ident = lambda c: F.when(c > -(1 << 63), c)
