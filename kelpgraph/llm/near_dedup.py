@@ -10,10 +10,10 @@
    first, unless links already confirmed connect them. What comes out are links that span a bucket's connections, never
    its pairs.
 4. Members of larger buckets are first compared with one center: each class with that of the largest bucket that holds
-   it (the member of most company over all buckets); then, where that bucket's largest connected part is another than its
-   own, with one of that, STARS times in all. Members that links found so far connect need no comparison, so buckets that are
-   connected are done, of whatever size. Of the others, what is outside of a large bucket's largest part is compared with
-   all of it in pairs of blocks, as in 3.
+   it (the member of most company over all buckets); then those outside of their bucket's largest connected part with the one
+   of most company among them, as long as that finds links and STARS times at most. Members that links found so far connect need
+   no comparison, so buckets that are connected are done, of whatever size. Of the others, what is outside of a large
+   bucket's largest part is compared with all of it in pairs of blocks, as in 3.
 5. Components of the links give the groups.
 
 Bands, rows and the least agreement follow from the threshold (`scheme`): a pair at the threshold misses all bands with
@@ -262,40 +262,49 @@ def _stars(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame]) -> t
     links: list[DataFrame] = []
     number = lambda x: F.lit(x).cast("int")
     part = F.pmod(F.xxhash64("rep", "s1"), F.ceil(F.col("size") / BLOCK).cast("int")).cast("int").alias("i")
-    company = save(members.groupBy("rep", "s1").agg(F.sum("size").alias("company"), F.max("size").alias("most")).where(F.col("most") > BLOCK).drop("most"))
-    labelled = members.withColumn("label", F.col("rep"))
-    for _ in range(STARS):
-        large = labelled.where(F.col("size") > BLOCK).join(company, ["rep", "s1"])
-        sizes = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct("company", "rep", "s1")).alias("m"))
-        centers = sizes.groupBy("key").agg(F.max_by(F.struct(F.col("label").alias("c_label"), F.col("m.rep").alias("c_rep"), F.col("m.s1").alias("c_s1")), F.struct("rows", "m.company", "label")).alias("c")).select("key", "c.*")
-        away = large.join(centers, "key").where("label != c_label")
+    company = members.groupBy("rep", "s1").agg(F.sum("size").alias("company"), F.max("size").alias("most")).where(F.col("most") > BLOCK).drop("most")
+    large = save(members.where(F.col("size") > BLOCK).join(company, ["rep", "s1"]).withColumn("label", F.col("rep")))
+    known = None
+    for turn in range(STARS):
+        ranked = large
+        if turn:  # what is outside of the largest part of each bucket
+            most = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"))
+            ranked = large.join(most, "key").where("label != largest").drop("largest")
+        centers = ranked.groupBy("key").agg(F.max(F.struct("company", F.col("rep").alias("c_rep"), F.col("s1").alias("c_s1"), F.col("label").alias("c_label"))).alias("c")).select("key", "c.c_rep", "c.c_s1", "c.c_label")
         one = F.max_by(F.struct("key", "size", "c_label", "c_rep", "c_s1"), F.struct("size", "key"))
-        sent = save(away.groupBy("rep", "s1", "label").agg(one.alias("b")).select("rep", "s1", "label", "b.*"))
+        sent = save(ranked.join(centers, "key").where("label != c_label").groupBy("rep", "s1", "label").agg(one.alias("b")).select("rep", "s1", "label", "b.*"))
         if sent.isEmpty():
             drop(sent)
             break
         mine = sent.select("key", part, number(-1).alias("j"), number(STAR).alias("kind"), "rep", "s1", number(0).alias("side"), "label")
         own = sent.select("key", part, "c_rep", "c_s1", "c_label").distinct()
         own = own.select("key", "i", number(-1).alias("j"), number(STAR).alias("kind"), F.col("c_rep").alias("rep"), F.col("c_s1").alias("s1"), number(1).alias("side"), F.col("c_label").alias("label"))
-        links.append(confirmed(mine.unionByName(own)))
+        new = confirmed(mine.unionByName(own))
         drop(sent)
-        known = components(_union(links))
-        labelled = save(members.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("key", "size", "rep", "s1", F.coalesce("component", "rep").alias("label")))
-        drop(known)
-    drop(company)
-    return labelled, links
-
-
-def _blocks_of(labelled: DataFrame) -> DataFrame:
-    """Rows (of _ROW) of large buckets that labels don't connect: those outside of the largest part against all."""
+        if new.isEmpty():
+            break
+        links.append(new)
+        known = components(_union(links)).withColumnRenamed("node", "rep")
+        before, large = large, save(large.drop("label").join(known, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component"))
+        drop(before)
+    drop(large)
+    if known is None:
+        return members.withColumn("label", F.col("rep")), links
+    return members.join(known, "rep", "left").select("key", "size", "rep", "s1", F.coalesce("component", "rep").alias("label")), links
+
+
+def _blocks_of(labelled: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Rows (of _ROW and the signatures) of large buckets that labels don't connect: those outside of the largest part
+    against all. Signatures are joined before a row goes to its blocks."""
     number = lambda x: F.lit(x).cast("int")
     parts, at = F.ceil(F.col("size") / BLOCK).cast("int"), lambda n: F.pmod(F.xxhash64("rep", "s1"), n).cast("int")
     largest = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"), (F.sum("rows") - F.max("rows")).alias("rest"))
-    told = labelled.join(largest.where("rest > 0"), "key")
+    told = labelled.join(largest.where("rest > 0"), "key").join(signatures, ["rep", "s1"])
     blocks_ = F.ceil(F.col("rest") / BLOCK).cast("int")
-    rest = told.where("label != largest").select("key", at(blocks_).alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"), number(BLOCKS).alias("kind"), "rep", "s1", number(1).alias("side"), "label")
-    whole = told.select("key", F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("i"), at(parts).alias("j"), number(BLOCKS).alias("kind"), "rep", "s1", number(0).alias("side"), "label")
-    return rest.unionByName(whole)
+    outside = F.when(F.col("label") != F.col("largest"), F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(at(blocks_).alias("i"), j.alias("j"), number(1).alias("side"))))
+    all_ = F.transform(F.sequence(F.lit(0), blocks_ - 1), lambda i: F.struct(i.alias("i"), at(parts).alias("j"), number(0).alias("side")))
+    told = told.withColumn("x", F.explode(F.concat(F.coalesce(outside, F.array().cast("array<struct<i:int,j:int,side:int>>")), all_)))
+    return told.select("key", "x.i", "x.j", number(BLOCKS).alias("kind"), "rep", "s1", "x.side", "label", "n", "bands", "signature")
 
 
 def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -337,9 +346,9 @@ def groups(documents: DataFrame, *, width: int = 5, percent: int = 85, id_col: s
     docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did"), F.col(text_col).cast("string").alias("text"))
     schema = "did long, n long, s1 long, s2 long, bands array<bigint>, signature binary"
     signed = save(docs.mapInArrow(_signatures(width, plan), schema))
-    classes = save(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("did").alias("rep")))
-    unique = signed.where("n > 0").join(classes, ["s1", "s2"]).where("did = rep").dropDuplicates(["s1", "s2"]).select("rep", "s1", "n", "bands", "signature")
-    unique = save(unique)
+    # equal sets have equal signatures, whichever row's is taken
+    unique = save(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("did").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bands", "signature"))))
+    classes = unique.select("s1", "s2", "rep")
     banded = unique.select("s1", "rep", F.explode("bands").alias("key"))
     member = F.xxhash64("rep", "s1")
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.shiftright(member, 20)).alias("f"), F.bit_xor(member).alias("g")).where("size > 1")
@@ -350,11 +359,14 @@ def groups(documents: DataFrame, *, width: int = 5, percent: int = 85, id_col: s
     ends = save(members.select("rep", "s1").distinct())
     ids = ends.select(F.col("rep").alias("did")).distinct().hint("merge")
     texts = _among(docs, ids).join(ids, "did").select(F.col("did").alias("rep"), F.xxhash64("text").alias("h"), "text").dropDuplicates(["rep", "h"]).drop("h")
-    sides = save(unique.join(ends.hint("merge"), ["rep", "s1"], "left_semi").join(texts, "rep"))
+    signatures = save(unique.select("rep", "s1", "n", "bands", "signature").join(ends.hint("merge"), ["rep", "s1"], "left_semi"))
+    sides = save(signatures.join(texts, "rep"))
 
     def confirmed(rows: DataFrame) -> DataFrame:
         """Links among groups of rows: by signatures alone first, then by the texts of the rows that are in candidate pairs."""
-        told = _dealt(rows.join(sides.drop("text").distinct(), ["rep", "s1"]).select(*_ROW, "n", "bands", "signature"))
+        if "signature" not in rows.columns:
+            rows = rows.join(signatures, ["rep", "s1"])
+        told = _dealt(rows.select(*_ROW, "n", "bands", "signature"))
         some = save(told.mapInArrow(_taking_part(percent, plan), _DDL).distinct())
         found = _dealt(some.join(sides, ["rep", "s1"]).select(*_ROW, "n", "bands", "signature", "text"))
         out = save(found.mapInArrow(_links(width, percent, plan), "u long, v long"))
@@ -364,15 +376,16 @@ def groups(documents: DataFrame, *, width: int = 5, percent: int = 85, id_col: s
     labelled, links = members.withColumn("label", F.col("rep")), []
     if not members.where(F.col("size") > BLOCK).isEmpty():
         labelled, links = _stars(members, confirmed)
+        labelled = save(labelled)
         apart = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
         labelled = save(labelled.join(apart, "key"))
-        links.append(confirmed(_blocks_of(labelled.where(F.col("size") > BLOCK))))
+        links.append(confirmed(_blocks_of(labelled.where(F.col("size") > BLOCK), signatures)))
     zero = F.lit(0)
     links.append(confirmed(labelled.where(F.col("size") <= BLOCK).select("key", zero.alias("i"), zero.alias("j"), F.lit(WHOLE).alias("kind"), "rep", "s1", zero.alias("side"), "label")))
     labels = components(_union(links))
     named = save(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("comp")))
     rows = save(signed.select("did", "n", "s1", "s2"))
-    drop(signed, classes, unique, members, ends, sides, labels, *links)
+    drop(signed, unique, members, ends, signatures, sides, labels, *links)
     out = rows.join(named, ["s1", "s2"], "left")
     comp = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("did"))
     ident = lambda c: F.when(c > -(1 << 63), c)
