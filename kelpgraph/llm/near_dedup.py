@@ -307,25 +307,32 @@ def _blocks_of(labelled: DataFrame, signatures: DataFrame) -> DataFrame:
     return told.select("key", "x.i", "x.j", number(BLOCKS).alias("kind"), "rep", "s1", "x.side", "label", "n", "bands", "signature")
 
 
-def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Of the rows (did, text) all those whose did is among the ids, and few others: a bit for each hash that occurs, 16
-    for an id and FILTER_BITS at most, goes to the tasks. So texts that nothing needs are not shuffled."""
-    number = ids.count()
-    size = min(FILTER_BITS, 1 << max(10, (16 * number - 1).bit_length()))
-    at = F.pmod(F.xxhash64("did"), F.lit(size))
-    words = ids.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(did), {size}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+def flagged(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows with `maybe`: true for all whose key is among the ids (of one column of that name), and for few others.
+
+    A bit for each hash that occurs, 16 for an id and FILTER_BITS at most, goes to the tasks, so that texts that nothing
+    needs are not shuffled; what is flagged is joined with the ids then."""
+    size = min(FILTER_BITS, 1 << max(10, (16 * ids.count() - 1).bit_length()))
+    at = F.pmod(F.xxhash64(key), F.lit(size))
+    words = ids.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), {size}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     mask = np.zeros(size // 64, np.int64)
     for r in words.collect():  # at most FILTER_BITS / 64 rows
         mask[r.word] = r.bits
-    shared = rows.sparkSession.sparkContext.broadcast(mask)
+    shared, names = rows.sparkSession.sparkContext.broadcast(mask), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.column("at").to_numpy()
-            hit = (shared.value[place >> 6] >> (place & 63)) & 1
-            yield batch.filter(pa.array(hit.astype(bool))).select(["did", "text"])
+            place = batch.column(len(names)).to_numpy()
+            hit = ((shared.value[place >> 6] >> (place & 63)) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(hit)], names=[*names, "maybe"])
 
-    return rows.select("did", "text", at.alias("at")).mapInArrow(run, "did long, text string")
+    return rows.withColumn("at_", at).mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "maybe boolean"]))
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows whose key isn't among the ids (a stored table of one column). Only rows that may be are shuffled."""
+    told = flagged(rows, key, ids)
+    return told.where("not maybe").drop("maybe").unionByName(told.where("maybe").drop("maybe").join(ids, key, "left_anti"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -358,7 +365,7 @@ def groups(documents: DataFrame, *, width: int = 5, percent: int = 85, id_col: s
     # always by a shuffle of both: how many ids there are grows with the input
     ends = save(members.select("rep", "s1").distinct())
     ids = ends.select(F.col("rep").alias("did")).distinct().hint("merge")
-    texts = _among(docs, ids).join(ids, "did").select(F.col("did").alias("rep"), F.xxhash64("text").alias("h"), "text").dropDuplicates(["rep", "h"]).drop("h")
+    texts = flagged(docs, "did", ids).where("maybe").drop("maybe").join(ids, "did").select(F.col("did").alias("rep"), F.xxhash64("text").alias("h"), "text").dropDuplicates(["rep", "h"]).drop("h")
     signatures = save(unique.select("rep", "s1", "n", "bands", "signature").join(ends.hint("merge"), ["rep", "s1"], "left_semi"))
     sides = save(signatures.join(texts, "rep"))
 
