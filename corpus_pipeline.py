@@ -33,9 +33,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = near_dedup.groups(docs.select("node", "text"), percent=80, id_col="node").select("node", "component_id").distinct()
     least = F.min(F.struct("key", "node", "rows")).alias("m")
     kept = tables.save(found.join(named, "node").groupBy("component_id").agg(least).select("m.node", "m.rows"))
+    gone = tables.save(named.select("node").join(kept.select("node"), "node", "left_anti"))
+    docs = near_dedup.without(docs, "node", gone)
     if not kept.where("rows > 1").isEmpty():
         docs = docs.dropDuplicates(["node"])
-    return docs.join(kept.select("node"), "node", "left_semi").select(COLUMNS)
+    return docs.select(COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
