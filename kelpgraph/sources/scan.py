@@ -17,6 +17,8 @@ SYMBOL = "name string, kind string, path string, line int, signature string, doc
 #: What a scan leaves out.
 DEFAULT_IGNORE = [".git/", "__pycache__/", "*.pyc", ".venv/", "venv/", "node_modules/", "dist/", "build/"]
 MOST_BYTES = 10 * 1024 * 1024
+#: A file with a zero byte among so many first ones is binary.
+HEAD_BYTES = 8192
 _BUILTINS = frozenset(dir(builtins))
 
 
@@ -29,8 +31,7 @@ def files(spark: SparkSession, root: str, ignore: list[str] | None = None) -> Da
 
 def gated(raw: DataFrame, ignore: list[str] | None = None) -> DataFrame:
     """path, content, length and reason of files given as rows of the first three."""
-    head = F.substring(F.hex("content"), 1, 16_384)
-    has_nul = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(head)), F.lit(2)), lambda i: F.substring(head, i, F.lit(2)) == "00")
+    has_nul = F.contains(F.substring("content", 1, HEAD_BYTES), F.lit(b"\0"))
     reason = first_failure({"ignored": text.ignored(F.col("path"), ignore if ignore is not None else DEFAULT_IGNORE), "too_large": F.col("length") > MOST_BYTES, "binary": has_nul})
     return raw.withColumn("reason", reason)
 
