@@ -45,11 +45,11 @@ def written(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf: str) -> DataFrame:
-    """path, content, length, reason: a file of the symbols of each path, in order. Some are ignored, some hold a zero byte,
-    and some don't parse."""
+    """path, content, length, reason: a file of the symbols of each path, in order. Some are ignored, some begin with a zero
+    byte (further on in a long file the gate, which reads 8 KiB, needn't see it), and some don't parse."""
     code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("k").cast("int").alias("k"), "code"))), lambda x: x["code"]), "\n")
     f = written(spark, sf).groupBy("path", F.col("s").cast("int").alias("s")).agg(code.alias("code"))
-    f = f.withColumn("code", F.concat("code", F.when(F.col("s") % 25 == 0, "def (:\n").when(F.col("s") % 10 == 7, F.chr(F.lit(0))).otherwise("")))
+    f = f.withColumn("code", F.concat(F.when(F.col("s") % 10 == 7, F.chr(F.lit(0))).otherwise(""), "code", F.when(F.col("s") % 25 == 0, "def (:\n").otherwise("")))
     path = F.concat(F.when(F.col("s") % 10 == 3, "build/").otherwise(""), "path")
     return scan.gated(f.select(path.alias("path"), F.col("code").cast("binary").alias("content"), F.octet_length("code").cast("long").alias("length")))
 
