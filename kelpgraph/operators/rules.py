@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import roles
+from ..tables import save
 from .ranks import running_total
 
 #: Intents by what a symbol calls, imports, its path, name and kind, in the order that decides ties.
@@ -247,19 +248,35 @@ def resolved(tokens: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFra
     """token, status, id of distinct tokens (trimmed, lower): exact, alias, prefix or corrected (one edit) where one symbol
     fits at the first of these that any fits at, ambiguous where several do, not_found.
 
-    names: id, name; aliases: name, id. Prefixes and near names are found by equi-joins on what they have in common."""
+    names: id, name; aliases: name, id. Each step is for the tokens that the ones before have left. Prefixes and near names
+    are found by equi-joins on what they have in common, which are told to shuffle: a name has many prefixes, which sizes
+    that are estimated from its table don't show. Of the symbols that fit, the least and the greatest id tell whether they
+    are one."""
     from .similarity import near_pairs
 
-    t = tokens.select(F.lower(F.trim("token")).alias("token")).distinct()
     n = names.select("id", F.lower("name").alias("name"))
-    by = lambda rows, rank: t.join(rows.select(F.col("name").alias("token"), "id"), "token").withColumn("rank", F.lit(rank))
-    parts = n.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda k: F.substring(F.col("name"), F.lit(1), k))).alias("name"))
-    near = near_pairs(t.withColumnRenamed("token", "a"), n.select(F.col("name").alias("b")), 1).join(n.withColumnRenamed("name", "b"), "b").select(F.col("a").alias("name"), "id")
-    hits = by(n, 0).unionByName(by(aliases.select("id", F.lower("name").alias("name")), 1)).unionByName(by(parts, 2)).unionByName(by(near, 3))
-    best = hits.groupBy("token", "rank").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).groupBy("token").agg(F.min(F.struct("rank", "n", "id")).alias("b"))
-    names_ = F.element_at(F.array(*map(F.lit, ("exact", "alias", "prefix", "corrected"))), F.col("b.rank") + 1)
-    status = F.when(F.col("b").isNull(), "not_found").when(F.col("b.n") > 1, "ambiguous").otherwise(names_)
-    return t.join(best, "token", "left").select("token", status.alias("status"), F.when(F.col("b.n") == 1, F.col("b.id")).alias("id"))
+    ends = F.min("id").alias("low"), F.max("id").alias("high")
+    named = n.groupBy(F.col("name").alias("token")).agg(*ends)
+    prefix = F.transform(F.sequence(F.lit(0), F.length("name")), lambda k: F.substring(F.col("name"), F.lit(1), k))
+    prefixes = n.where("name is not null").select("id", F.explode(prefix).alias("token")).groupBy("token").agg(*ends)
+
+    def near(t: DataFrame) -> DataFrame:
+        pairs = near_pairs(t.withColumnRenamed("token", "a"), n.select(F.col("name").alias("b")), 1)
+        fits = pairs.hint("merge").join(named.withColumnRenamed("token", "b"), "b")
+        return fits.groupBy(F.col("a").alias("token")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+    steps = {
+        "exact": lambda t: t.hint("merge").join(named, "token"),
+        "alias": lambda t: t.hint("merge").join(aliases.groupBy(F.lower("name").alias("token")).agg(*ends), "token"),
+        "prefix": lambda t: t.hint("merge").join(prefixes, "token"),
+        "corrected": near,
+    }
+    rest, found = save(tokens.select(F.lower(F.trim("token")).alias("token")).distinct()), None
+    for step, fit in steps.items():
+        hit = save(fit(rest).select("token", F.when(F.col("low") != F.col("high"), "ambiguous").otherwise(step).alias("status"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("id")))
+        found = hit if found is None else found.unionByName(hit)
+        rest = save(rest.hint("merge").join(hit.select("token"), "token", "left_anti"))
+    return found.unionByName(rest.select("token", F.lit("not_found").alias("status"), F.lit(None).cast(dict(hit.dtypes)["id"]).alias("id")))
 
 
 def nearest(typed: DataFrame, names: DataFrame, k: int, most: int = 1) -> DataFrame:

@@ -243,21 +243,22 @@ def band_join(signed: DataFrame, key: str, least: float = 0.7, top: int = 10) ->
 
 def _shortened(names: DataFrame, most: int) -> DataFrame:
     """name, key: the name and what is left of it after up to so many deletions."""
-    n = names.select(F.col(names.columns[0]).alias("name")).distinct()
-    cut = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
-    keys = level = n.select("name", F.col("name").alias("key"))
+    n = names.select(F.col(names.columns[0]).alias("name")).where("name is not null").distinct()
+    cut = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+    keys = level = F.array("name")
     for _ in range(most):
-        level = level.where(F.length("key") > 0).select("name", F.explode(cut(F.col("key"))).alias("key")).distinct()
-        keys = keys.unionByName(level)
-    return keys.distinct()
+        level = F.array_distinct(F.flatten(F.transform(level, cut)))
+        keys = F.concat(keys, level)
+    return n.select("name", F.explode(F.array_distinct(keys)).alias("key"))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, most: int = 1) -> DataFrame:
     """a, b, distance: names of the left and of the right within `most` edits. Such two share themselves or a string with
-    as many characters deleted, so an equi-join on those finds all."""
+    as many characters deleted, so an equi-join on those finds all. A name has many keys, which sizes that are estimated
+    from its table don't show: the join is told to shuffle."""
     a, b = _shortened(left, most).withColumnRenamed("name", "a"), _shortened(right, most).withColumnRenamed("name", "b")
-    pairs = a.join(b, "key").select("a", "b").distinct()
-    return pairs.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")
+    pairs = a.hint("merge").join(b, "key").select("a", "b", F.levenshtein("a", "b", most).alias("distance"))
+    return pairs.where("distance >= 0").distinct()
 
 
 def close_names(names: DataFrame, most: int = 1) -> DataFrame:
