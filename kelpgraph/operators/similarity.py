@@ -20,6 +20,8 @@ from ..tables import save
 PERMUTATIONS, BANDS, PRIME = 128, 16, 2**31 - 1
 #: Tokens of documents that are permuted together; classes of a bucket that are compared at once.
 BLOCK_TOKENS, BLOCK = 1 << 16, 256
+#: Where bands don't select: the most classes in a block; pairs of them whose bits are compared, and that are ranked, at once.
+ROWS, TILE, RANKED = 5000, 1 << 16, 1 << 20
 
 
 @cache
@@ -142,6 +144,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
 
 
+def _first(x: np.ndarray, score: np.ndarray, name: np.ndarray, top: int) -> np.ndarray:
+    """Where the `top` best of each x are: the highest scores, then the smallest names."""
+    order = np.lexsort((name, -score, x))
+    x = x[order]
+    new = np.append(True, x[1:] != x[:-1])
+    place = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+    return order[place < top]
+
+
 def _pairs(slots: int, equal: int, top: int):  # noqa: ANN202
     """(a, b, agree): of each row of two blocks of a bucket its `top` best in the other one, from `equal` slots on.
 
@@ -165,11 +176,8 @@ def _pairs(slots: int, equal: int, top: int):  # noqa: ANN202
         for scores, mine, others in ((agree, one, other),) if whole else ((agree, one, other), (agree.T, other, one)):
             x, y = np.nonzero(scores)
             if len(x):
-                order = np.lexsort((name[others[y]], -scores[x, y], x))
-                x, y = x[order], y[order]
-                new = np.append(True, x[1:] != x[:-1])
-                place = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-                x, y = x[place < top], y[place < top]
+                kept = _first(x, scores[x, y], name[others[y]], top)
+                x, y = x[kept], y[kept]
                 yield pa.RecordBatch.from_arrays([pa.array(key[mine[x]]), pa.array(key[others[y]]), pa.array(scores[x, y].astype(np.int32))], names=["a", "b", "agree"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +211,106 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
+def _bits(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each slot, mixed from its value, as planes x words x rows."""
+    mixed = sig * np.uint32(0x9E3779B1)
+    planes = [np.packbits((mixed >> np.uint32(k)).astype(np.uint8) & 1, axis=1).view(np.uint64).T for k in (31, 30)]
+    return np.ascontiguousarray(planes)
+
+
+def _alike(one: np.ndarray, other: np.ndarray, equal: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, agree): all rows of two blocks of signatures that agree in `equal` slots or more.
+
+    Slots whose bits differ have other values, so a pair with more than 128 - `equal` of these is out; whole values decide
+    on the rest."""
+    p, q = _bits(one), _bits(other)
+    step = max(1, TILE // len(other))
+    for low in range(0, len(one), step):
+        differ = 0
+        for word in range(p.shape[1]):
+            apart = p[0, word, low : low + step, None] ^ q[0, word]
+            apart |= p[1, word, low : low + step, None] ^ q[1, word]
+            differ = differ + np.bitwise_count(apart)
+        x, y = np.divmod(np.flatnonzero(differ <= PERMUTATIONS - equal), len(other))
+        if len(x):
+            x += low
+            agree = np.count_nonzero(one[x] == other[y], axis=1).astype(np.int16)
+            kept = agree >= equal
+            yield x[kept], y[kept], agree[kept]
+
+
+def _all_pairs(equal: int, top: int):  # noqa: ANN202
+    """(a, b, agree, b_name): of each row of two blocks its `top` best in the other one, from `equal` slots on."""
+
+    def told(x: np.ndarray, y: np.ndarray, agree: np.ndarray, mine: pa.Array, others: pa.Array, names: pa.Array) -> Iterator[pa.RecordBatch]:
+        order = np.unique(names.to_numpy(zero_copy_only=False), return_inverse=True)[1]  # places in their order
+        step = max(1, len(mine) * RANKED // len(x))
+        for low in range(0, len(mine), step):
+            part = np.flatnonzero((x >= low) & (x < low + step))
+            if len(part):
+                part = part[_first(x[part], agree[part], order[y[part]], top)]
+                b = pa.array(y[part])
+                yield pa.RecordBatch.from_arrays([mine.take(pa.array(x[part])), others.take(b), pa.array(agree[part].astype(np.int32)), names.take(b)], names=["a", "b", "agree", "b_name"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, j = (batch.column(c)[k].as_py() for c in ("i", "j"))
+                one, other = (np.frombuffer(batch.column(c)[k].as_buffer(), ">u4").astype(np.uint32).reshape(-1, PERMUTATIONS) for c in ("packed_i", "packed_j"))
+                found = list(_alike(one, other, equal))
+                if not found:
+                    continue
+                x, y, agree = (np.concatenate(c) for c in zip(*found, strict=True))
+                if i == j:
+                    x, y, agree = (c[x != y] for c in (x, y, agree))
+                if not len(x):
+                    continue
+                reps, names = ([batch.column(f"{c}_{side}")[k].values for side in "ij"] for c in ("reps", "names"))
+                yield from told(x, y, agree, reps[0], reps[1], names[1])
+                if i != j:
+                    yield from told(y, x, agree, reps[1], reps[0], names[0])
+
+    return run
+
+
+def _blocks(most: int):  # noqa: ANN202
+    """block, reps, names, packed: up to `most` classes in a row, under the first one's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in np.array_split(np.arange(batch.num_rows), -(-batch.num_rows // most) or 1):
+                if len(part):
+                    reps, names, packed = (batch.column(c).slice(int(part[0]), len(part)) for c in ("rep", "name", "packed"))
+                    ends = pa.array([0, len(part)], pa.int32())
+                    lists = [pa.ListArray.from_arrays(ends, c) for c in (reps, names)]
+                    yield pa.RecordBatch.from_arrays([reps.slice(0, 1), *lists, pa.array([b"".join(packed.to_pylist())])], names=["block", "reps", "names", "packed"])
+
+    return run
+
+
+def _compared(classes: DataFrame, kind: str, equal: int, top: int) -> DataFrame:
+    """a, b, agree, b_name: the `top` best others of each class, by comparing all.
+
+    Each task reads two parts of the table of blocks, from the folder where it is written: nothing is shuffled for a
+    pair but what was found. Of (i, j) and (j, i) one is taken, by the parity of both, so that tasks have about as much to do."""
+    blocks = save(classes.select("rep", "name", "packed").mapInArrow(_blocks(ROWS), f"block long, reps array<long>, names array<{kind}>, packed binary"))
+    one, other = (blocks.toDF(side, f"reps_{side}", f"names_{side}", f"packed_{side}") for side in "ij")
+    met = one.hint("shuffle_replicate_nl").join(other, F.expr("i = j or (i < j) = ((i ^ j) & 1 = 0)"))
+    return met.mapInArrow(_all_pairs(equal, top), f"a long, b long, agree int, b_name {kind}")
+
+
+def _banded(classes: DataFrame, slots: int, equal: int, top: int) -> DataFrame:
+    """a, b, agree: the best others of each class in blocks of the buckets that they share."""
+    value = lambda k: F.xxhash64(F.lit(k), F.substring("packed", 4 * slots * k + 1, 4 * slots))
+    banded = classes.select("rep", F.posexplode(F.array(*(value(k) for k in range(PERMUTATIONS // slots)))).alias("band", "bucket"))
+    buckets = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    members = banded.join(buckets.drop("band"), "bucket").withColumn("side", F.pmod(F.col("rep"), parts).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select("bucket", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep")
+    met = members.join(classes.select("rep", "name", "packed"), "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+    return met.mapInArrow(_pairs(slots, equal, top), "a long, b long, agree int")
+
+
 def band_join(signed: DataFrame, key: str, least: float = 0.7, top: int = 10) -> DataFrame:
     """a, b, similarity, rank: the `top` most similar others of each row (ties: smaller key), of agreement `least` or more.
 
@@ -210,33 +318,34 @@ def band_join(signed: DataFrame, key: str, least: float = 0.7, top: int = 10) ->
     width one agrees whole. Rows of equal signature are one class, of which the first top + 1 keys are enough. Classes
     that share a band's value meet in pairs of blocks, and what leaves a task is each class's best. The signature goes
     out only for buckets of more than one class, once for those of the same members.
+
+    From `least` 0.5 down a band is one slot, whose values most classes share, so each would go out more than a hundred
+    times. There all classes are compared instead, in blocks and by bits first: time grows with the square of the classes,
+    disk with the classes and what is found.
     """
     kind = dict(signed.dtypes)[key]
     equal = max(1, -int(-least * PERMUTATIONS // 1))
     slots = max(1, PERMUTATIONS // (PERMUTATIONS - equal + 1))
     packed = F.unhex(to_text(F.col("signature")))
-    rows = save(signed.select(F.col(key).alias("key"), packed.alias("packed")))
+    rows = save(signed.select(F.col(key).alias("key"), packed.alias("packed")).select("*", F.xxhash64("packed").alias("rep"), F.crc32("packed").alias("mark")))
     salt = F.pmod(F.xxhash64("key"), F.lit(64))
-    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("packed", salt).orderBy("key"))).where(F.col("place") <= top + 1)
-    first = first.groupBy("packed").agg(F.slice(F.array_sort(F.collect_list("key")), 1, top + 1).alias("keys"))
-    classes = save(first.select("packed", "keys", F.element_at("keys", 1).alias("name"), F.xxhash64("packed").alias("rep")))
-    value = lambda k: F.xxhash64(F.lit(k), F.substring("packed", 4 * slots * k + 1, 4 * slots))
-    banded = classes.select("rep", F.posexplode(F.array(*(value(k) for k in range(PERMUTATIONS // slots)))).alias("band", "bucket"))
-    buckets = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = banded.join(buckets.drop("band"), "bucket").withColumn("side", F.pmod(F.col("rep"), parts).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select("bucket", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep")
-    met = members.join(classes.select("rep", "name", "packed"), "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
-    near = met.mapInArrow(_pairs(slots, equal, top), "a long, b long, agree int")
-    near = near.join(classes.select(F.col("rep").alias("b"), F.col("name").alias("b_name"), F.col("keys").alias("b_keys")), "b")
+    first = rows.drop("packed").withColumn("place", F.row_number().over(Window.partitionBy("rep", "mark", salt).orderBy("key"))).where(F.col("place") <= top + 1)
+    first = first.groupBy("rep", "mark").agg(F.slice(F.array_sort(F.collect_list("key")), 1, top + 1).alias("keys"))
+    first = first.join(rows.groupBy("rep", "mark").agg(F.any_value("packed").alias("packed")), ["rep", "mark"])
+    classes = save(first.select("packed", "keys", F.element_at("keys", 1).alias("name"), "rep", "mark"))
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b_name"))
-    near = near.withColumn("place", best).where(F.col("place") <= top).select(F.col("a").alias("rep"), F.explode("b_keys").alias("b"), "agree")
+    members = classes.select(F.col("rep").alias("b"), F.col("name").alias("b_name"), F.col("keys").alias("b_keys"))
+    if slots > 1:
+        near = _banded(classes, slots, equal, top).join(members, "b").withColumn("place", best).where(F.col("place") <= top)
+    else:  # the best in each task are found before they are shuffled
+        near = _compared(classes, kind, equal, top).withColumn("place", best).where(F.col("place") <= top).drop("b_name").join(members, "b")
+    near = near.select(F.col("a").alias("rep"), F.explode("b_keys").alias("b"), "agree")
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("agree"), "b"))).where(F.col("place") <= top)
     others = near.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("place", "b", "agree"))).alias("others"))
     own = F.transform("keys", lambda k: F.struct(F.lit(0).alias("place"), k.alias("b"), F.lit(PERMUTATIONS).alias("agree")))
     none = F.array().cast(f"array<struct<place:int,b:{kind},agree:int>>")
-    told = classes.join(others, "rep", "left").select("packed", F.concat(own, F.coalesce("others", none)).alias("all"))
-    joined = rows.join(told, "packed").select(F.col("key").alias("a"), F.slice(F.filter("all", lambda x: x["b"] != F.col("key")), 1, top).alias("all"))
+    told = classes.drop("packed").join(others, "rep", "left").select("rep", "mark", F.concat(own, F.coalesce("others", none)).alias("all"))
+    joined = rows.drop("packed").join(told, ["rep", "mark"]).select(F.col("key").alias("a"), F.slice(F.filter("all", lambda x: x["b"] != F.col("key")), 1, top).alias("all"))
     out = joined.select("a", F.posexplode("all").alias("pos", "x"))
     return out.select("a", F.col("x.b").alias("b"), (F.col("x.agree") / F.lit(float(PERMUTATIONS))).alias("similarity"), (F.col("pos") + 1).alias("rank"))
 

@@ -57,6 +57,51 @@ def test_band_join_by_names(spark):
     assert got == first[1:4]
 
 
+def hub_rows(spark, n=600):
+    """Signatures that all have 40 slots in common, and more in three groups."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 2**31 - 1, (3, 128))
+    rows = []
+    for k in range(n):
+        own = rng.integers(1, 2**31 - 1, 128)
+        own[:40] = base[0, :40]
+        more = rng.choice(np.arange(40, 128), rng.integers(20, 70), replace=False)
+        own[more] = base[k % 3, more]
+        rows.append((k, own.tolist()) if k % 40 else (k, base[0].tolist()))
+    return rows, spark.createDataFrame(rows, "id long, signature array<long>")
+
+
+@pytest.mark.parametrize(("least", "top", "size", "ranked"), [(0.5, 100, 5000, 1 << 20), (0.5, 7, 70, 300), (0.3, 3, 70, 50)])
+def test_band_join_of_one_slot_compares_all_without_shuffling_signatures(spark, monkeypatch, least, top, size, ranked):
+    """Rows that all share slots: the same result as a plain model, and signatures meet in blocks that nothing shuffles."""
+    monkeypatch.setattr(sm, "ROWS", size)
+    monkeypatch.setattr(sm, "RANKED", ranked)
+    rows, signed = hub_rows(spark)
+    got = sm.band_join(signed, "id", least, top)
+    sig = np.array([s for _, s in rows])
+    agree = (sig[:, None, :] == sig[None, :, :]).sum(2)
+    want = []
+    for a in range(len(rows)):
+        close = sorted((-int(agree[a, b]), b) for b in range(len(rows)) if b != a and agree[a, b] >= least * 128)[:top]
+        want += [(a, k + 1, b, -s / 128) for k, (s, b) in enumerate(close)]
+    assert len({x[3] for x in want}) > 10
+    assert sorted((r.a, r["rank"], r.b, r.similarity) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "packed_i" in plan and "RepartitionByExpression" not in plan
+
+
+@pytest.mark.parametrize("equal", [1, 64, 65, 128])
+def test_alike_is_exact_at_the_threshold(equal):
+    rng = np.random.default_rng(7)
+    one, other = rng.integers(0, 2**31, (130, 128)).astype(np.uint32), rng.integers(0, 2**31, (90, 128)).astype(np.uint32)
+    for k in range(90):
+        same = rng.choice(128, min(128, 30 + k), replace=False) if k < 85 else np.arange(128)
+        other[k, same] = one[k, same]
+    agree = (one[:, None, :] == other[None, :, :]).sum(2)
+    found = [(x, y, n) for part in sm._alike(one, other, equal) for x, y, n in zip(*map(np.ndarray.tolist, part), strict=True)]
+    assert found == [(x, y, agree[x, y]) for x, y in np.argwhere(agree >= equal).tolist()]
+
+
 def test_index(spark):
     signed = sm.signatures(spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b"]), (3, ["z"])], "id long, tokens array<string>"), "id", "tokens").cache()
     held = sm.insert(sm.index(signed.where("id = 1"), "id"), sm.index(signed, "id"), "id")
